@@ -34,7 +34,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = ngram_jaccard.join_components(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     rest = [F.col(c) for c in docs.columns if c != "doc_id"]
-    kept = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("least"))
+    kept = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("least"))
     kept = kept.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"least.{c}").alias(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null"))
 
