@@ -7,7 +7,7 @@ nearly all training texts of that language are from theirs is rejected.
 
 Null texts and texts without a letter get `und`, score 0, and are rejected. Whole texts are read, in chunks that bound
 memory. Ties go to the first language in alphabetical order. With nothing to learn from, all texts get `und`.
-Extra columns and repeated rows are kept.
+Extra columns and repeated rows are kept; columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -118,6 +118,7 @@ def fit(documents: DataFrame, train: Column) -> LanguageModel:
 
 def identify(documents: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """`documents` with lang_pred, score and rejected, from the text alone."""
+    documents = documents.drop("lang_pred", "score", "rejected")
     schema = documents.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
     shipped = documents.sparkSession.sparkContext.broadcast((model.languages, model.centroids, model.idf, model.floor))
 

@@ -7,7 +7,7 @@ on a bounded sample of labelled rows and are re-weighted to the labels' true sha
 
 Null and empty texts score by the bias alone. Labels that are null, or neither 0 nor 1, teach nothing; a doc_id with several
 labels teaches its highest. Without both labels to learn from, all texts score the share of label 1 (0.5 with none).
-Repeated rows and extra columns are kept. Texts are read whole.
+Repeated rows and extra columns are kept, a column named score is replaced. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -110,6 +110,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column) -> np.ndarray:
 
 def score(documents: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """`documents` with `score`, the likelihood of label 1, from the text alone."""
+    documents = documents.drop("score")
     schema = documents.select("*", F.lit(0.0).alias("score")).schema
     shipped = documents.sparkSession.sparkContext.broadcast(weights)
 

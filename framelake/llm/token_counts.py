@@ -10,7 +10,7 @@ start of a word and a text's count is the sum over its words; that is checked wh
 and a model without the property is merged over whole texts.
 
 Null and empty texts count 0 tokens; texts of any length are counted whole; repeated rows and extra
-columns are kept as they come.
+columns are kept as they come, a column named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ class PieceCounter:
 
 def count_tokens(documents: DataFrame, model_path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """`documents` with the token count of every whole text in a column `out`."""
+    documents = documents.drop(out)
     schema = documents.select("*", F.lit(0).cast("bigint").alias(out)).schema
 
     def count(batches: Iterator):
