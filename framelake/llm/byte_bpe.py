@@ -17,7 +17,6 @@ repeated and null ids are kept. Extra columns are dropped. Texts are encoded who
 from __future__ import annotations
 
 import base64
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -27,12 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, materialize, table
+from .common import Memo, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_CHARS = 32_000_000  # text of a block: bounds the memory of steps 1 and 3
-SHARE_BYTES = 4_000_000  # packed words of one share of the hash space: bounds the memory of step 2
-SHARES = 64  # shares that a block's words are dealt into
+BLOCK_CHARS = 10_000_000  # text of a block: bounds the memory of steps 1 and 3
+LEAST_SHARES = 64  # shares of the hash space that a block's words are dealt into; as many as shuffle partitions, if these are more
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,7 +78,7 @@ def merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def split_blocks(documents: DataFrame, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def split_blocks(documents: DataFrame, pattern: str, shares: int = LEAST_SHARES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of step 1. share -1: a document's positions (word numbers as packed 32-bit integers); else the words of that share."""
 
     def split(batches: Iterator):
@@ -95,13 +93,13 @@ def split_blocks(documents: DataFrame, pattern: str, doc_id: str = "doc_id", tex
             at = (task << 20) + count
             count += 1
             words = [w.encode() for w in number]
-            share = np.fromiter((zlib.crc32(w) % SHARES for w in words), np.int64, len(words))
+            share = np.fromiter((zlib.crc32(w) % shares for w in words), np.int64, len(words))
             rank = np.empty(len(words), np.int64)  # numbers in the order in which the shares list the words
             order = np.argsort(share, kind="stable")
             rank[order] = np.arange(len(words))
             rows = [(at, -1, d, len(p), zlib.compress(rank[p].astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)) for d, p in zip(docs, parts, strict=True)]
-            edges = np.searchsorted(share[order], np.arange(SHARES + 1))
-            for s in range(SHARES):
+            edges = np.searchsorted(share[order], np.arange(shares + 1))
+            for s in range(shares):
                 own = [words[i] for i in order[edges[s] : edges[s + 1]]]
                 sizes = np.fromiter(map(len, own), "<u4", len(own)).tobytes()
                 rows.append((at, s, None, len(own), zlib.compress(sizes + b"".join(own), 1)))
@@ -135,14 +133,17 @@ def unpack_words(packed: bytes, n: int) -> list[bytes]:
 
 def encode(documents: DataFrame, rank_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of (doc_id, text); ids are packed little-endian unsigned 32-bit integers."""
-    rows = materialize(split_blocks(documents, pattern), "blocks")
+    shares = max(LEAST_SHARES, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Split twice, for words and for positions: a block's number and word order follow from its input alone, and the rows of
+    # step 1 are as large as the input, so that writing them would cost more than splitting again.
+    rows = split_blocks(documents, pattern, shares)
     words, docs = rows.where("share >= 0"), rows.where("share < 0")
 
     def encode_share(batches: Iterator):
         import pandas as pd
 
         ranks = read_ranks(rank_path)
-        once = Memo(lambda w: np.asarray(merge_word(w, ranks), "<u2" if len(ranks) <= 65536 else "<u4").tobytes(), 4_000_000)
+        once = Memo(lambda w: np.asarray(merge_word(w, ranks), "<u2" if len(ranks) <= 65536 else "<u4").tobytes(), 500_000)
         for batch in batches:
             out = []
             for block, share, n, packed in zip(batch["block"], batch["share"], batch["n"], batch["packed"], strict=True):
@@ -152,7 +153,7 @@ def encode(documents: DataFrame, rank_path: str, pattern: str = public_tokenizer
             yield pd.DataFrame(out, columns=["block", "share", "n", "packed"])
 
     # Equal words lie in equal shares, so a share is the unit of the shuffle; its rows stay small and many.
-    encoded = words.select("block", "share", "n", "packed").repartition(SHARES, "share").mapInPandas(encode_share, "block bigint, share int, n bigint, packed binary")
+    encoded = words.select("block", "share", "n", "packed").repartition(shares, "share").mapInPandas(encode_share, "block bigint, share int, n bigint, packed binary")
     width = 2
 
     def assemble(key, positions, ids):
