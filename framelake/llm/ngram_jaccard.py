@@ -11,8 +11,9 @@ Documents are sets of word shingles; two link when their Jaccard similarity reac
    either side meet).
 3. Keys with the same members are one bucket. Buckets of two yield a pair if two of their keys agree; larger ones are compared
    in blocks of bounded size by length and by a parity signature, whose Hamming distance is a lower bound of the symmetric difference: no
-   linked pair is refused. A block returns a spanning forest of what is left, not all its pairs.
-4. Pairs are verified on the full sets. Linked ones make components; buckets that still span several components return
+   linked pair is refused. A block returns a spanning forest of what is left, not all its pairs: at first for some
+   keys of each document, then between the components for all keys.
+4. Pairs are verified on the full sets. Linked ones make components; at last, buckets that still span several components return
    their remaining pairs between components, which are verified as well, so no link between components is lost.
 
 Null texts and texts without words have an empty set and link with nothing; their component is themselves. Rows with a null doc_id
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, Memo, connected_components, materialize, roots, runs, table, text_bytes
@@ -34,6 +35,7 @@ FREQUENT = 64  # a token in at least so many documents is frequent, if not more
 MOST_FREQUENT = 1 << 20  # frequent tokens, at most: 8 MB sent to the executors
 LOCAL = 4  # a token counts in a block of documents from so many on
 LONG = 300
+FIRST_KEYS = 3  # of its keys in large buckets, that a document takes part in at first
 BLOCK = 1000  # members of a bucket that meet in one comparison
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,17 +59,12 @@ def word_memo() -> Memo:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens that fall on each of at least 2n bits."""
-    bits = 1 << max(7, int(2 * len(tokens) - 1).bit_length())
+    """Parity of the tokens that fall on each of at least n / 2 bits."""
+    bits = 1 << max(7, int(len(tokens) // 2).bit_length())
     parity = (np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").tobytes()
 
 
-def fold(signatures: np.ndarray) -> np.ndarray:
-    half = signatures.shape[1] // 2
-    return signatures[:, :half] ^ signatures[:, half:]
-
-
 def profile(documents: DataFrame, size: int) -> DataFrame:
     """A row for each document (doc_id, n, digest of its set) and one for each block: the tokens that stand in several of its documents."""
 
@@ -139,63 +136,104 @@ def index(documents: DataFrame, size: int, percent: int, frequent: np.ndarray) -
     return rows.mapInPandas(keys, "doc_id bigint, n bigint, sig binary, keys array<bigint>")
 
 
-def near(frame, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, others j > i in order of size, Hamming distances) for members of a block that sizes and signatures leave. Sorted by n already."""
-    n = frame["n"].to_numpy()
-    sigs = frame["sig"].tolist()
+def near(n: np.ndarray, sigs: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others j > i, Hamming distances) for members of a block, sorted by n, that sizes and signatures leave."""
     width = np.fromiter(map(len, sigs), np.int64, len(sigs))
-    same, halved = {}, {}
-    for w in np.unique(width).tolist():
-        m = np.frombuffer(b"".join(s for s in sigs if len(s) == w), np.uint8).reshape(-1, w)
-        same[w], halved[w // 2] = m.view(np.uint64), fold(m).view(np.uint64) if w >= 16 else None
-    first = {w: int(np.searchsorted(width, w)) for w in same}
-    for i in range(len(n) - 1):
-        w, top = int(width[i]), int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+    same, halved, first = {}, {}, {}
+    tops = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in np.flatnonzero(tops > np.arange(1, len(n) + 1)).tolist():
+        w, top = int(width[i]), int(tops[i])
+        for x in (w, 2 * w):
+            if x not in same:
+                first[x] = int(np.searchsorted(width, x))
+                m = np.frombuffer(b"".join(sigs[first[x] : int(np.searchsorted(width, x, side="right"))]), np.uint8).reshape(-1, x)
+                same[x], halved[x // 2] = m.view(np.uint64), (m[:, : x // 2] ^ m[:, x // 2 :]).view(np.uint64)
         own, found, apart = same[w][i - first[w]], [], []
         stop = min(top, first[w] + len(same[w]))
         if stop > i + 1:
             found.append(np.arange(i + 1, stop))
             apart.append(np.bitwise_count(same[w][i + 1 - first[w] : stop - first[w]] ^ own).sum(axis=1, dtype=np.int64))
-        if 2 * w in first and top > first[2 * w]:
+        if top > first[2 * w]:
             found.append(np.arange(first[2 * w], top))
             apart.append(np.bitwise_count(halved[w][: top - first[2 * w]] ^ own).sum(axis=1, dtype=np.int64))
-        if found:
-            j, d = np.concatenate(found), np.concatenate(apart)
-            ok = (100 + percent) * d <= (100 - percent) * (n[i] + n[j])
+        j, d = np.concatenate(found), np.concatenate(apart)
+        ok = (100 + percent) * d <= (100 - percent) * (n[i] + n[j])
+        if ok.any():
             yield i, j[ok], d[ok]
 
 
+def blocks_of(batches: Iterator, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each block (equal key, bi, bj) of batches sorted by block, size and document."""
+    for frame in runs(batches, ["part"]):
+        columns = {c: frame[c].to_numpy() for c in names}
+        k = frame[["key", "bi", "bj"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            if end > at + 1:
+                yield {c: v[at:end] for c, v in columns.items()}
+
+
+def deal(rows: DataFrame) -> DataFrame:
+    """Rows (key, nb, doc_id, n, ...) copied to the pairs of blocks of their bucket and sorted by them.
+
+    `part` gathers neighbouring keys, so that a task turns some hundred small buckets at once into arrays.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in rows.columns if c != "nb"]
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "key"), F.col("nb")).cast("int")).select(*rest, "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    dealt = dealt.select(*rest, "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
+    return dealt.repartition(parts, "key", "bi", "bj").withColumn("part", F.shiftright(F.xxhash64("key", "bi", "bj"), 52)).sortWithinPartitions("part", "key", "bi", "bj", "n", "doc_id")
+
+
+def with_partner(slim: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, nb, doc_id, n) that have a member of fitting size in their block."""
+
+    def fitting(batches: Iterator):
+        import pandas as pd
+
+        for block in blocks_of(batches, ["key", "nb", "doc_id", "n"]):
+            n = block["n"]
+            fits = n[1:] * percent <= n[:-1] * 100
+            ok = np.append(fits, False) | np.append(False, fits)
+            if ok.any():
+                yield pd.DataFrame({c: v[ok] for c, v in block.items()})
+
+    kept = deal(slim.withColumn("nb0", F.col("nb"))).withColumnRenamed("nb0", "nb").mapInPandas(fitting, "key bigint, nb int, doc_id bigint, n bigint")
+    return kept.distinct()
+
+
 def compare(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (u, v) that sizes and signatures leave, from rows (key, bi, bj, b, doc_id, n, sig, component) dealt by block.
+    """Pairs (u, v) between components that sizes and signatures leave, from rows (key, nb, doc_id, n, sig, component).
 
-    forest: of each block a spanning forest of them by distance; else all that lie between components.
+    forest: of each block a spanning forest of them by distance; else all.
     """
 
     def pairs(batches: Iterator):
         import pandas as pd
 
-        for block in runs(batches, ["key", "bi", "bj"]):
-            block = block.sort_values(["n", "doc_id"])
-            if block["component"].nunique() < 2:
+        for block in blocks_of(batches, ["doc_id", "b", "bi", "bj", "n", "sig", "component"]):
+            doc, side, component = block["doc_id"], block["b"], block["component"]
+            if (component == component[0]).all():
                 continue
-            doc, side, component = block["doc_id"].to_numpy(), block["b"].to_numpy(), block["component"].to_numpy()
-            across = block["bi"].iat[0] != block["bj"].iat[0]
+            across = block["bi"][0] != block["bj"][0]
             u, v, apart = [], [], []
-            for i, j, d in near(block, percent):
+            for i, j, d in near(block["n"], block["sig"].tolist(), percent):
                 ok = component[j] != component[i]
                 if across:
                     ok &= side[j] != side[i]
-                j, d = j[ok], d[ok]
-                u.append(np.full(len(j), i))
-                v.append(j)
-                apart.append(d)
+                if ok.any():
+                    j, d = j[ok], d[ok]
+                    u.append(np.full(len(j), i))
+                    v.append(j)
+                    apart.append(d)
             if not u:
                 continue
             u, v, apart = np.concatenate(u), np.concatenate(v), np.concatenate(apart)
             if forest and len(u) > 1:
+                _, group = np.unique(component, return_inverse=True)
                 parent, kept = np.arange(len(doc)), []
-                for k in np.argsort(apart, kind="stable").tolist():
-                    a, b = roots(parent, int(u[k])), roots(parent, int(v[k]))
+                for k in np.lexsort((doc[v], doc[u], apart)).tolist():
+                    a, b = roots(parent, int(group[u[k]])), roots(parent, int(group[v[k]]))
                     if a != b:
                         parent[a] = b
                         kept.append(k)
@@ -203,7 +241,7 @@ def compare(members: DataFrame, percent: int, forest: bool) -> DataFrame:
             a, b = doc[u], doc[v]
             yield pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
 
-    return members.mapInPandas(pairs, "u bigint, v bigint").distinct()
+    return deal(members).mapInPandas(pairs, "u bigint, v bigint").distinct()
 
 
 def verify(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
@@ -248,21 +286,29 @@ def join_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
     twos = buckets.where("m = 2 and keys > 1").select("u", "v")
     twos = twos.join(sizes.select(F.col("doc_id").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("doc_id").alias("v"), F.col("n").alias("nv")), "v")
     twos = twos.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).select("u", "v")
-    many = keyed.join(buckets.where("m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "key")
-    many = many.join(held.select("doc_id", "n", "sig"), "doc_id").withColumn("b", F.pmod(F.xxhash64("doc_id", "key"), F.col("nb")).cast("int"))
-    dealt = many.select("key", "doc_id", "n", "sig", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    dealt = dealt.select("key", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "doc_id", "n", "sig")
-    by_block = ["key", "bi", "bj"]
-    dealt = materialize(dealt.repartition(int(parts), *by_block).sortWithinPartitions(*by_block), "dealt")
-    first = compare(dealt.withColumn("component", F.col("doc_id")).repartition(int(parts), *by_block).sortWithinPartitions(*by_block), percent, True)
-    checked = verify(materialize(first.union(twos).distinct(), "pairs"), documents, size, percent)
-    components = materialize(connected_components(checked.where("linked")), "components")
-    again = dealt.join(components, dealt["doc_id"] == components["node"], "left").select(*dealt.columns, F.coalesce("component", "doc_id").alias("component"))
-    rest = compare(again.repartition(int(parts), *by_block).sortWithinPartitions(*by_block), percent, False)
-    rest = materialize(rest.join(checked, ["u", "v"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = verify(rest, documents, size, percent).where("linked").select("u", "v")
-        components = materialize(connected_components(more.union(checked.where("linked").select("u", "v"))), "components")
+    slim = keyed.join(buckets.where("m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "key").join(sizes, "doc_id")
+    slim = materialize(with_partner(slim.select("key", "nb", "doc_id", "n"), percent), "members")
+    sigs = held.select("doc_id", "sig")
+
+    # A document's first keys join most of a large group; what they leave is few.
+    some = slim.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("key")))).where((F.col("r") <= FIRST_KEYS)).drop("r")
+    checked = None
+    components = None
+    for members, forest in ((some, True), (slim, True), (slim, False)):
+        if components is None:
+            members = members.withColumn("component", F.col("doc_id"))
+        else:
+            members = members.join(components, members["doc_id"] == components["node"], "left").select(*members.columns, F.coalesce("component", "doc_id").alias("component"))
+            spread = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+            members = members.join(spread, "key")
+        found = compare(members.join(sigs, "doc_id"), percent, forest)
+        found = found.union(twos).distinct() if checked is None else found.join(checked, ["u", "v"], "left_anti")
+        found = materialize(found, "pairs")
+        if checked is not None and found.isEmpty():
+            continue
+        now = verify(found, documents, size, percent)
+        checked = now if checked is None else checked.union(now)
+        components = materialize(connected_components(checked.where("linked")), "components")
     named = classes.join(components, classes["rep"] == components["node"], "left").select("n", "digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, ["n", "digest"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
