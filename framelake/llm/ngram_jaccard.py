@@ -36,6 +36,7 @@ MOST_FREQUENT = 1 << 20  # frequent tokens, at most: 8 MB sent to the executors
 LOCAL = 4  # a token counts in a block of documents from so many on
 LONG = 300
 FIRST_KEYS = 3  # of its keys in large buckets, that a document takes part in at first
+SLOTS = 1 << 22  # bits of the filter of documents that a verification needs: 512 KB
 BLOCK = 1000  # members of a bucket that meet in one comparison
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,8 +60,9 @@ def word_memo() -> Memo:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens that fall on each of at least n / 2 bits."""
-    bits = 1 << max(7, int(len(tokens) // 2).bit_length())
+    """Parity of the tokens that fall on each of at least 2n bits in short sets and n / 2 in long ones; the width never falls with n."""
+    n = len(tokens)
+    bits = 1 << max(7, int(n // 2).bit_length(), min(10, int(2 * n - 1).bit_length()))
     parity = (np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").tobytes()
 
@@ -247,14 +249,22 @@ def compare(members: DataFrame, percent: int, forest: bool) -> DataFrame:
 def verify(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v, linked) of `pairs`, compared on their full sets."""
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    words = needed.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("bits")).collect()
+    wanted = np.zeros(SLOTS // 32, np.uint32)  # of fixed size; documents outside it need not be hashed or shuffled
+    wanted[[r["w"] for r in words]] = [r["bits"] for r in words]
+    shipped = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator):
-        codes = word_memo()
+        codes, wanted = word_memo(), shipped.value
         for batch in batches:
+            s = batch["slot"].to_numpy()
+            batch = batch[(wanted[s // 32] >> (s % 32).astype(np.uint32)) & np.uint32(1) > 0]
             yield batch[["doc_id"]].assign(tokens=[shingle_set(t, size, codes).tobytes() for t in batch["text"]])
 
-    texts = documents.select("doc_id", text_bytes().alias("text")).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = materialize(texts.mapInPandas(sets, "doc_id bigint, tokens binary"), "sets")
+    texts = documents.where("doc_id is not null").select("doc_id", text_bytes().alias("text"), slot.alias("slot"))
+    found = texts.mapInPandas(sets, "doc_id bigint, tokens binary").join(needed, "doc_id", "left_semi")
+    held = materialize(found.groupBy("doc_id").agg(F.min("tokens").alias("tokens")), "sets")
     both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("tokens").alias("x")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("tokens").alias("y")), "v")
 
     def decide(batches: Iterator):
