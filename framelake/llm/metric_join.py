@@ -22,12 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, roots, runs, table
+from .common import connected_components, materialize, runs, table
 
 THRESHOLD = 0.95
-MOST_PIVOTS = 1024
-PER_CELL = 200  # vectors to a pivot, while there are fewer than MOST_PIVOTS
-BLOCK = 2000
+MOST_PIVOTS = 256
+PER_CELL = 2500  # vectors to a pivot, while there are fewer than MOST_PIVOTS; vectors of no clear neighbourhood are copied to most cells
+HOME_BLOCK, BLOCK = 1000, 4000  # vectors at home and members of a cell that meet in one comparison
+SLICE = 500
 SLACK = 1e-9
 
 
@@ -77,29 +78,52 @@ def cells(units: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     shipped = units.sparkSession.sparkContext.broadcast(pivots)
 
     def deal(batches: Iterator):
-        import pandas as pd
-
         p = shipped.value
         between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
         for batch in batches:
             right = batch["unit"].map(len).to_numpy() == 8 * p.shape[1]
-            batch = batch[right]
-            if not len(batch):
-                continue
-            x = np.frombuffer(b"".join(batch["unit"])).reshape(len(batch), -1)
-            square = np.maximum(0, 2 - 2 * x @ p.T)
-            d = np.sqrt(square)
-            home = np.argmin(square, axis=1)
-            own = np.arange(len(x)), home
-            plane = (square - square[own][:, None]) / np.maximum(2 * between[home], SLACK)
-            reach = (d - d[own][:, None] <= 2 * radius + SLACK) & (plane <= radius + SLACK)
-            reach[own] = True
-            i, cell = np.nonzero(reach)
-            yield pd.DataFrame({"cell": cell, "home": cell == home[i], "rep": batch["rep"].to_numpy()[i], "many": batch["many"].to_numpy()[i], "unit": batch["unit"].to_numpy()[i]})
+            for at in range(0, int(right.sum()), SLICE):
+                yield deal_slice(batch[right].iloc[at : at + SLICE], p, between)
+
+    def deal_slice(batch, p, between):
+        import pandas as pd
+
+        x = np.frombuffer(b"".join(batch["unit"])).reshape(len(batch), -1)
+        square = np.maximum(0, 2 - 2 * x @ p.T)
+        d = np.sqrt(square)
+        home = np.argmin(square, axis=1)
+        own = np.arange(len(x)), home
+        plane = (square - square[own][:, None]) / np.maximum(2 * between[home], SLACK)
+        reach = (d - d[own][:, None] <= 2 * radius + SLACK) & (plane <= radius + SLACK)
+        reach[own] = True
+        i, cell = np.nonzero(reach)
+        return pd.DataFrame({"cell": cell, "home": cell == home[i], "rep": batch["rep"].to_numpy()[i], "many": batch["many"].to_numpy()[i], "unit": batch["unit"].to_numpy()[i]})
 
     return units.mapInPandas(deal, "cell bigint, home boolean, rep bigint, many bigint, unit binary")
 
 
+def stars(hit: np.ndarray, ids: np.ndarray, other: np.ndarray):
+    """Edges (u, v) that join what a block's links join: of each component of the matrix a star on its smallest id."""
+    import pandas as pd
+
+    found, row_seen = [], np.zeros(len(ids), np.bool_)
+    for i in np.flatnonzero(hit.any(axis=1)).tolist():
+        if row_seen[i]:
+            continue
+        rows = np.arange(len(ids)) == i
+        all_rows, all_columns = rows.copy(), np.zeros(len(other), np.bool_)
+        while rows.any():
+            columns = hit[rows].any(axis=0) & ~all_columns
+            all_columns |= columns
+            rows = hit[:, columns].any(axis=1) & ~all_rows
+            all_rows |= rows
+        row_seen |= all_rows
+        if all_columns.any():
+            nodes = np.unique(np.concatenate([ids[all_rows], other[all_columns]]))
+            found.append(pd.DataFrame({"u": nodes[1:], "v": nodes[0]}))
+    return pd.concat(found) if found else pd.DataFrame({"u": [], "v": []})
+
+
 def link_blocks(members: DataFrame, threshold: float) -> DataFrame:
     """(u, v, n): counts (v null) and forest edges (n null) of each pair of blocks. Rows are dealt and sorted by cell, bi, bj."""
 
@@ -117,22 +141,17 @@ def link_blocks(members: DataFrame, threshold: float) -> DataFrame:
             hit = cosine >= threshold
             for i, j in zip(*np.nonzero(close), strict=True):
                 hit[i, j] = float(np.dot(x[i], y[j])) >= threshold
-            same = {k: i for i, k in enumerate(a["unit"])}
+            same, own = {k: i for i, k in enumerate(a["unit"])}, []
             for j, k in enumerate(b["unit"]):
                 if (i := same.get(k)) is not None:
                     hit[i, j] = True
-            i, j = np.nonzero(hit)
+                    own.append((i, j))
             yield pd.DataFrame({"u": a["key"].to_numpy(), "v": pd.array([None] * len(a), "Int64"), "n": hit.astype(np.int64) @ many})
-            node = {k: at for at, k in enumerate(dict.fromkeys([*ids.tolist(), *other.tolist()]))}
-            left, right = np.array([node[k] for k in ids.tolist()]), np.array([node[k] for k in other.tolist()])
-            parent, edges = np.arange(len(node)), []
-            for s, t in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = roots(parent, left[s]), roots(parent, right[t])
-                if p != q:
-                    parent[p] = q
-                    edges.append((ids[s], other[t]))
-            if edges:
-                yield pd.DataFrame(edges, columns=["u", "v"]).assign(n=pd.array([None] * len(edges), "Int64"))
+            if own:
+                hit[tuple(np.array(own).T)] = False
+            edges = stars(hit, ids, other)
+            if len(edges):
+                yield edges.assign(n=pd.array([None] * len(edges), "Int64"))
 
     return members.mapInPandas(links, "u bigint, v bigint, n bigint")
 
@@ -147,11 +166,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(cells(units.select("rep", "many", "unit"), pivots, radius), "cells")
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    placed = dealt.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("unit"), F.col("nb")).cast("int")).withColumn("key", F.xxhash64("unit"))
-    blocks = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    left = placed.where("home").select("cell", F.col("b").alias("bi"), blocks.alias("bj"), F.lit(True).alias("left"), "key", "rep", "many", "unit")
-    right = placed.select("cell", blocks.alias("bi"), F.col("b").alias("bj"), F.lit(False).alias("left"), "key", "rep", "many", "unit")
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if(F.col("home")) / HOME_BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = dealt.join(sizes.where("homes > 0"), "cell").withColumn("key", F.xxhash64("unit"))
+    block = lambda n: F.pmod(F.xxhash64("unit"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where("home").select("cell", block("homes").alias("bi"), each("blocks").alias("bj"), F.lit(True).alias("left"), "key", "rep", "many", "unit")
+    right = placed.select("cell", each("homes").alias("bi"), block("blocks").alias("bj"), F.lit(False).alias("left"), "key", "rep", "many", "unit")
     by_block = ["cell", "bi", "bj"]
     found = materialize(link_blocks(left.union(right).repartition(parts, *by_block).sortWithinPartitions(*by_block), threshold), "links")
     counts = found.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))

@@ -153,6 +153,8 @@ def test_ngram_jaccard_awkward(awkward, nothing):
 
 def test_metric_join(spark, monkeypatch):
     monkeypatch.setattr(metric_join, "BLOCK", 9)
+    monkeypatch.setattr(metric_join, "HOME_BLOCK", 4)
+    monkeypatch.setattr(metric_join, "SLICE", 7)
     monkeypatch.setattr(metric_join, "PER_CELL", 10)
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(12, 8))
