@@ -137,18 +137,19 @@ def link_blocks(members: DataFrame, threshold: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(part["unit"])).reshape(len(part), -1) for part in (a, b))
             ids, other, many = a["rep"].to_numpy(), b["rep"].to_numpy(), b["many"].to_numpy()
             cosine = x @ y.T
-            close = np.abs(cosine - threshold) < SLACK
-            hit = cosine >= threshold
-            for i, j in zip(*np.nonzero(close), strict=True):
-                hit[i, j] = float(np.dot(x[i], y[j])) >= threshold
-            same, own = {k: i for i, k in enumerate(a["unit"])}, []
-            for j, k in enumerate(b["unit"]):
-                if (i := same.get(k)) is not None:
-                    hit[i, j] = True
-                    own.append((i, j))
-            yield pd.DataFrame({"u": a["key"].to_numpy(), "v": pd.array([None] * len(a), "Int64"), "n": hit.astype(np.int64) @ many})
-            if own:
-                hit[tuple(np.array(own).T)] = False
+            i, j = np.nonzero(cosine >= threshold - SLACK)
+            near = cosine[i, j]
+            edge = np.flatnonzero(near < threshold + SLACK)
+            ok = near >= threshold
+            ok[edge] = [float(np.dot(x[i[e]], y[j[e]])) >= threshold for e in edge]
+            itself = (ids[i] == other[j]) & (a["key"].to_numpy()[i] == b["key"].to_numpy()[j])
+            i, j, itself = i[ok | itself], j[ok | itself], itself[ok | itself]
+            counts = np.bincount(i, weights=many[j], minlength=len(a)).astype(np.int64)
+            yield pd.DataFrame({"u": a["key"].to_numpy(), "v": pd.array([None] * len(a), "Int64"), "n": counts})
+            if itself.all():
+                continue
+            hit = np.zeros(cosine.shape, np.bool_)
+            hit[i[~itself], j[~itself]] = True
             edges = stars(hit, ids, other)
             if len(edges):
                 yield edges.assign(n=pd.array([None] * len(edges), "Int64"))
