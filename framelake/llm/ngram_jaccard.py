@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Memo, connected_components, materialize, roots, runs, table, text_bytes
+from .common import ASCII_LOWER, Memo, connected_components, materialize, roots, table, text_bytes
 
 FREQUENT = 64  # a token in at least so many documents is frequent, if not more are needed to bound their number
 MOST_FREQUENT = 1 << 20  # frequent tokens, at most: 8 MB sent to the executors
@@ -164,44 +164,46 @@ def near(n: np.ndarray, sigs: list[bytes], percent: int) -> Iterator[tuple[int,
             yield i, j[ok], d[ok]
 
 
-def blocks_of(batches: Iterator, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of each block (equal key, bi, bj) of batches sorted by block, size and document."""
-    for frame in runs(batches, ["part"]):
-        columns = {c: frame[c].to_numpy() for c in names}
+def whole_blocks(batches: Iterator, percent: int) -> Iterator[tuple]:
+    """(frame, starts, ends, fits) of batches sorted by block, size and document; the last block of a batch waits for the next one.
+
+    starts and ends bound the blocks (equal key, bi, bj); fits marks rows whose successor in the block has a fitting size.
+    """
+    import pandas as pd
+
+    def bounded(frame, cuts: np.ndarray) -> tuple:
+        starts, ends, n = np.append(0, cuts), np.append(cuts, len(frame)), frame["n"].to_numpy()
+        fits = np.append(n[1:] * percent <= n[:-1] * 100, False)
+        fits[ends - 1] = False
+        return frame, starts, ends, fits
+
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
         k = frame[["key", "bi", "bj"]].to_numpy()
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
-        for at, end in zip(cuts, cuts[1:], strict=False):
-            if end > at + 1:
-                yield {c: v[at:end] for c, v in columns.items()}
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if len(cuts):
+            yield bounded(frame.iloc[: cuts[-1]], cuts[:-1])
+            frame = frame.iloc[cuts[-1] :]
+        held = frame
+    if held is not None:
+        yield bounded(held, np.zeros(0, np.int64))
 
 
 def deal(rows: DataFrame) -> DataFrame:
-    """Rows (key, nb, doc_id, n, ...) copied to the pairs of blocks of their bucket and sorted by them.
-
-    `part` gathers neighbouring keys, so that a task turns some hundred small buckets at once into arrays.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows (key, nb, doc_id, n, ...) copied to the pairs of blocks (bi, bj) of their bucket; b is their own block."""
     rest = [c for c in rows.columns if c != "nb"]
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "key"), F.col("nb")).cast("int")).select(*rest, "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    dealt = dealt.select(*rest, "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
-    return dealt.repartition(parts, "key", "bi", "bj").withColumn("part", F.shiftright(F.xxhash64("key", "bi", "bj"), 52)).sortWithinPartitions("part", "key", "bi", "bj", "n", "doc_id")
+    return dealt.select(*rest, "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
 
 
 def with_partner(slim: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, nb, doc_id, n) that have a member of fitting size in their block."""
-
-    def fitting(batches: Iterator):
-        import pandas as pd
-
-        for block in blocks_of(batches, ["key", "nb", "doc_id", "n"]):
-            n = block["n"]
-            fits = n[1:] * percent <= n[:-1] * 100
-            ok = np.append(fits, False) | np.append(False, fits)
-            if ok.any():
-                yield pd.DataFrame({c: v[ok] for c, v in block.items()})
-
-    kept = deal(slim.withColumn("nb0", F.col("nb"))).withColumnRenamed("nb0", "nb").mapInPandas(fitting, "key bigint, nb int, doc_id bigint, n bigint")
-    return kept.distinct()
+    """Rows (key, nb, doc_id, n) that have a member of fitting size in their block: one of the two next to them in order of size."""
+    block = Window.partitionBy("key", "bi", "bj").orderBy("n", "doc_id")  # of about 2 BLOCK rows at most
+    beside = deal(slim.withColumn("nb0", F.col("nb"))).withColumns({"less": F.lag("n").over(block), "more": F.lead("n").over(block)})
+    return beside.where(f"n * {percent} <= less * 100 or more * {percent} <= n * 100").select("key", F.col("nb0").alias("nb"), "doc_id", "n").distinct()
 
 
 def compare(members: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -210,40 +212,49 @@ def compare(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     forest: of each block a spanning forest of them by distance; else all.
     """
 
+    def block_pairs(block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        doc, side, component = block["doc_id"], block["b"], block["component"]
+        across = block["bi"][0] != block["bj"][0]
+        u, v, apart = [], [], []
+        for i, j, d in near(block["n"], block["sig"].tolist(), percent):
+            ok = component[j] != component[i]
+            if across:
+                ok &= side[j] != side[i]
+            if ok.any():
+                j, d = j[ok], d[ok]
+                u.append(np.full(len(j), i))
+                v.append(j)
+                apart.append(d)
+        if not u:
+            return None
+        u, v, apart = np.concatenate(u), np.concatenate(v), np.concatenate(apart)
+        if forest and len(u) > 1:
+            _, group = np.unique(component, return_inverse=True)
+            parent, kept = np.arange(len(doc)), []
+            for k in np.lexsort((doc[v], doc[u], apart)).tolist():
+                a, b = roots(parent, int(group[u[k]])), roots(parent, int(group[v[k]]))
+                if a != b:
+                    parent[a] = b
+                    kept.append(k)
+            u, v = u[kept], v[kept]
+        return doc[u], doc[v]
+
     def pairs(batches: Iterator):
         import pandas as pd
 
-        for block in blocks_of(batches, ["doc_id", "b", "bi", "bj", "n", "sig", "component"]):
-            doc, side, component = block["doc_id"], block["b"], block["component"]
-            if (component == component[0]).all():
-                continue
-            across = block["bi"][0] != block["bj"][0]
-            u, v, apart = [], [], []
-            for i, j, d in near(block["n"], block["sig"].tolist(), percent):
-                ok = component[j] != component[i]
-                if across:
-                    ok &= side[j] != side[i]
-                if ok.any():
-                    j, d = j[ok], d[ok]
-                    u.append(np.full(len(j), i))
-                    v.append(j)
-                    apart.append(d)
-            if not u:
-                continue
-            u, v, apart = np.concatenate(u), np.concatenate(v), np.concatenate(apart)
-            if forest and len(u) > 1:
-                _, group = np.unique(component, return_inverse=True)
-                parent, kept = np.arange(len(doc)), []
-                for k in np.lexsort((doc[v], doc[u], apart)).tolist():
-                    a, b = roots(parent, int(group[u[k]])), roots(parent, int(group[v[k]]))
-                    if a != b:
-                        parent[a] = b
-                        kept.append(k)
-                u, v = u[kept], v[kept]
-            a, b = doc[u], doc[v]
-            yield pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
-
-    return deal(members).mapInPandas(pairs, "u bigint, v bigint").distinct()
+        for frame, starts, ends, fits in whole_blocks(batches, percent):
+            columns = {c: frame[c].to_numpy() for c in ("doc_id", "b", "bi", "bj", "n", "sig", "component")}
+            component = columns["component"]
+            several = np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)
+            wanted = np.flatnonzero(several & np.logical_or.reduceat(fits, starts)).tolist()
+            found = [x for i in wanted if (x := block_pairs({c: a[starts[i] : ends[i]] for c, a in columns.items()})) is not None]
+            if found:
+                a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+                yield pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = deal(members).repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n", "doc_id")
+    return dealt.mapInPandas(pairs, "u bigint, v bigint").distinct()
 
 
 def verify(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
