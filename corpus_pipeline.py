@@ -45,7 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", known_language), ("quality_classifier", good_quality), ("ngram_jaccard_join", one_of_each_group), ("best_fit_packing", packed)]
-ORACLE_SQL = None  # trained models and tokenisers have no SQL form; tests hold run() against a brute-force version
+ORACLE_SQL = None  # trained models and tokenisers have no SQL form; tests hold the stages to their contracts, not yet run() to a brute-force result
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
