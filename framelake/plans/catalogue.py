@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import merge, pixels, stats, tonemap
+from ..operators import brackets, levels, merge, pixels, stats, tonemap
 from ..sources import views
 from ..sources.views import CTE
 from ..streaming import sequences
@@ -224,3 +224,64 @@ add("temporal_adaptation", lambda s, d: r6(sequences.temporal_adaptation(views.s
 union all select s.seq_id, s.n, f.cone*exp(-0.04e0/0.08e0)+(1e0-exp(-0.04e0/0.08e0))*s.lum, f.rod*exp(-0.04e0/0.15e0)+(1e0-exp(-0.04e0/0.15e0))*s.lum from f join seq s on s.seq_id = f.seq_id and s.n = f.n+1) select * from f)
 select seq_id, n, round(cone + 1.7e-08, 6) + 0e0 as cone, round(rod + 1.7e-08, 6) + 0e0 as rod from ad""")
 add("frame_stats", lambda s, d: r6(sequences.frame_stats(views.seq(s, d)), "lo", "hi", "mean"), f"select date_trunc('hour', ts) as start, count(*) as frames, {s6('min(lum)', 'lo')}, {s6('max(lum)', 'hi')}, {s6('avg(lum)', 'mean')} from seq group by 1")
+
+
+# Histograms, levels and zones
+def pct(name: str, src: str, c: str, keys: str, lo: float, hi: float) -> str:
+    """SQL of interpolated histogram percentiles: `name` (keys, q_lo, q_hi)."""
+    at = lambda share, q: f"greatest(lo, least(hi, max(case when cum-n < {share!r}e0*total and cum >= {share!r}e0*total then lo+(bin+({share!r}e0*total-(cum-n))/n)*wd end))) as {q}"
+    return f"""{name}s as (select {keys}, min({c}) as lo, max({c}) as hi, count(*) as total from {src} group by {keys}), {name}w as (select *, case when hi > lo then (hi-lo)/(least(65536, total)-1) end as wd from {name}s),
+{name}h as (select {keys}, lo, hi, total, wd, coalesce(floor(({c}-lo)/wd+1e-9), 0e0) as bin, count(*) as n from {src} join {name}w using ({keys}) group by all), {name}c as (select *, sum(n) over (partition by {keys} order by bin) as cum from {name}h),
+{name} as (select {keys}, {at(lo, 'q_lo')}, {at(hi, 'q_hi')} from {name}c group by {keys}, lo, hi)"""
+
+
+add("percentiles", lambda s, d: r6(levels.percentiles(lum(s, d), "lum", 0.01, 0.99), "q_lo", "q_hi"), f"{LUM}, {pct('pp', 'lm', 'lum', 'frame_id', 0.01, 0.99)} select frame_id, {s6('q_lo', 'q_lo')}, {s6('q_hi', 'q_hi')} from pp")
+over_px("tm_kimkautz", levels.tm_kimkautz, f"{LUM}, k0 as (select frame_id, avg(ln(lum+1e-6)) as mu, max(ln(lum+1e-6))-min(ln(lum+1e-6)) as rg from lm group by 1), k1 as (select lm.*, mu, rg, (ln(300e0)-ln(0.3e0))/rg as k from lm join k0 using (frame_id)), k2 as (select *, exp(0.5e0*((1e0-k)*exp(-(lum-mu)*(lum-mu)/(2e0*(rg/3e0)*(rg/3e0)))+k)*(ln(lum+1e-6)-mu)+mu) as v from k1), {pct('pk', 'k2', 'v', 'frame_id', 0.01, 0.99)} select {PIX}, {three('$*((least(greatest(v, q_lo), q_hi)-q_lo)/(q_hi-q_lo))/lum')} from k2 join pk using (frame_id)")
+AT = lambda c: f"((log10(greatest({c}, 1e-5))+6e0)/0.1e0+1e-9)"
+over_px("tm_mai", levels.tm_mai, f"mh as (select frame_id, cast(floor({AT('g')}) as int) as bin, cbrt(count(*)) as rise from px group by 1, 2), mw as (select frame_id, sum(rise) as whole from mh where bin < 150 group by 1), mg as (select frame_id, whole, unnest(range(150)) as i from mw), mc as (select mg.frame_id, i, coalesce(sum(rise), 0e0)/any_value(whole) as v from mg left join mh on mh.frame_id = mg.frame_id and bin between 1 and i group by 1, 2), ml as (select frame_id, list(v order by i) as vs from mc group by 1), mp as (select {PIX}, vs, {', '.join(f'{AT(c)} as {c}, cast(least(floor({AT(c)}), 149) as int) as i{c}' for c in RGB)} from px join ml using (frame_id)) select {PIX}, {three('vs[i$+1]+(vs[least(i$+2, 150)]-vs[i$+1])*($-i$)')} from mp")
+ZONES = f"""{LUM}, {pct('pz', 'lm', 'lum', 'frame_id', 0.01, 0.99)}, za as (select frame_id, exp(avg(ln(lum+1e-6))) as av from lm group by 1), zb as (select frame_id, av, log2(q_lo+1e-6) as mn, log2(q_hi+1e-6)-log2(q_lo+1e-6) as rg from pz join za using (frame_id)),
+zc as (select *, 0.18e0*pow(4e0, (2e0*(log2(av+1e-6)-mn)-rg)/rg) as ky, 1.5e0*pow(2e0, rg-5e0) as wh from zb), zl as (select lm.*, cast(greatest(0e0, least(ceil(rg)-1e0, ceil(log2(lum+1e-6)-mn-1e-9))) as int) as zone from lm join zc using (frame_id)), {pct('pm', 'zl', 'lum', 'frame_id, zone', 0.5, 0.5)},
+zd as (select frame_id, zone, q_lo, q_lo*ky/av as b, wh from pm join zc using (frame_id)), zs as (select frame_id, zone, log2(b*(1e0+b/(wh*wh))/(1e0+b)/q_lo+1e-6) as stop from zd)"""
+add("zone_exposure", lambda s, d: r6(levels.zone_exposure(views.px(s, d))[1], "stop"), f"{ZONES} select frame_id, zone, {s6('stop', 'stop')} from zs")
+over_px("tm_zone", levels.tm_zone, f"{ZONES} select {PIX}, {three('$*pow(2e0, stop)')} from zl join zs using (frame_id, zone)")
+add("auto_levels", lambda s, d: r6(levels.auto_levels(pixels.quantize(views.px(s, d), 0.0, 60.0), 0.9), "lo", "hi", "gamma"), f"""au as (select frame_id, {', '.join(f'cast(floor(floor(least(greatest({c}/60e0, 0e0), 1e0)*255e0+0.5e0)/255e0*255e0+1e-9) as int) as {c}' for c in RGB)} from px),
+ah as (select frame_id, ch, bin, count(*) as n from (select frame_id, 'r' as ch, r as bin from au union all select frame_id, 'g', g from au union all select frame_id, 'b', b from au union all select frame_id, 'light', cast(floor((greatest(r,g,b)+least(r,g,b))/2) as int) from au) group by 1, 2, 3),
+ap as (select frame_id, ch, greatest(1, least(254, min(bin))) as pk from (select *, max(n) over (partition by frame_id, ch) as top from ah) where n = top group by 1, 2), ag as (select *, unnest(range(256)) as bin from ap), ad as (select ag.*, coalesce(n, 0) as n from ag left join ah using (frame_id, ch, bin)),
+aw as (select *, sum(case when bin < pk then n else 0 end) over (partition by frame_id, ch order by bin desc) as bl, sum(case when bin < pk then n else 0 end) over (partition by frame_id, ch) as lt, sum(case when bin >= pk then n else 0 end) over (partition by frame_id, ch order by bin) as ab, sum(case when bin >= pk then n else 0 end) over (partition by frame_id, ch) as rt from ad),
+ae as (select frame_id, ch, coalesce(max(case when bin >= 1 and bin < pk and bl >= 0.9e0*lt then bin end), 0) as xa, coalesce(min(case when bin >= pk and bin < 254 and ab >= 0.9e0*rt then bin+1 end), 255) as xb from aw group by 1, 2)
+select frame_id, {s6('min(xa)/255e0', 'lo')}, {s6('max(xb)/255e0', 'hi')}, 1e0 as gamma from ae group by 1""")
+add("upsample2", lambda s, d: r6(levels.upsample2(views.px(s, d), "g"), "g"), f"select frame_id, cast(x*2+i as int) as x, cast(y*2+j as int) as y, {s6('g', 'g')} from px cross join (select unnest(range(2)) as i) cross join (select unnest(range(2)) as j)")
+
+# Whole brackets
+add("reference_exposure", lambda s, d: r6(brackets.reference_exposure(views.stack(s, d)), "spread"), f"{HSL_SQL.replace('frame_id, x, y, r/60e0 as r, g/60e0 as g, b/60e0 as b from px', 'scene_id, exposure_idx, x, y, r, g, b from stack').replace('select frame_id', 'select scene_id')}, o1 as (select *, h-avg(h) over (partition by scene_id, x, y) as o from h3), o2 as (select scene_id, exposure_idx, round(avg(o*o), 9) as spread from o1 group by 1, 2) select scene_id, cast(exposure_idx as int) as exposure_idx, {s6('spread', 'spread')} from (select *, row_number() over (partition by scene_id order by spread desc, exposure_idx) as rn from o2) where rn = 1")
+DV = lambda c: f"case when greatest(s.r,s.g,s.b,o.r,o.g,o.b) < 1 and least(s.r,s.g,s.b,o.r,o.g,o.b) > 0 then abs(ln(s.{c})-ln(o.{c})-sign(s.ev-o.ev)*ln(abs(s.ev-o.ev))) else 0e0 end"
+add("pair_deviation", lambda s, d: r6(brackets.pair_deviation(views.stack(s, d), 1), "dev_r", "dev_g", "dev_b"), f"select scene_id, s.exposure_idx, {', '.join(s6(f'avg({DV(c)})+stddev_pop({DV(c)})', f'dev_{c}') for c in RGB)} from stack s join stack o using (scene_id, x, y) where o.exposure_idx = 1 and s.exposure_idx <> 1 group by 1, 2")
+
+
+def bright_patches(spark, sf_dir, exposure: int) -> DataFrame:
+    patch = [F.floor(F.col(c) / 4).cast("int").alias(f"p{c}") for c in ("x", "y")]
+    return views.stack(spark, sf_dir).where((F.col("exposure_idx") == exposure) & (F.col("r") >= 1)).select("scene_id", *patch).distinct()
+
+
+for how in ("union", "intersect", "subtract"):
+    masks = [f"select scene_id, cast(floor(x/4) as int) as px, cast(floor(y/4) as int) as py from stack where exposure_idx = {i} and r >= 1" for i in (1, 2)]
+    first, second = (1, 2) if how != "subtract" else (2, 1)
+    add(f"combine_masks_{how}", lambda s, d, how=how, a=first, b=second: brackets.combine_masks(bright_patches(s, d, a), bright_patches(s, d, b), how), f"select * from ({masks[first - 1]} {'except' if how == 'subtract' else how} {masks[second - 1]})")
+
+
+def pair_shifts(spark, sf_dir) -> DataFrame:
+    return views.stack(spark, sf_dir).select("scene_id", "exposure_idx").distinct().select("*", (F.col("scene_id") % 3 * F.signum("exposure_idx")).cast("int").alias("dx"), F.signum("exposure_idx").cast("int").alias("dy"))
+
+
+MOVES = "sh as (select scene_id, exposure_idx, cast(scene_id % 3 * exposure_idx as int) as dx, cast(exposure_idx as int) as dy from (select distinct scene_id, exposure_idx from stack))"
+add("cumulative_shifts", lambda s, d: brackets.cumulative_shifts(pair_shifts(s, d)), f"{MOVES} select scene_id, exposure_idx, dx, dy from sh")
+add("apply_shifts", lambda s, d: r6(brackets.apply_shifts(views.stack(s, d), brackets.cumulative_shifts(pair_shifts(s, d))), *RGB), f"{MOVES}, mv as (select scene_id, exposure_idx, x-dx as x, y-dy as y, r, g, b from stack join sh using (scene_id, exposure_idx)) select a.scene_id, a.x, a.y, a.exposure_idx, {triple([f'coalesce(m.{c}, 0e0)' for c in RGB])} from stack a left join mv m on a.scene_id = m.scene_id and a.exposure_idx = m.exposure_idx and a.x = m.x and a.y = m.y")
+add("output_names", lambda s, d: brackets.output_names(merge.assign_brackets(views.meta(s, d), 3), "drago", "png"), "a as (select *, cast(floor((row_number() over (partition by folder_id order by file)-1)/3) as int) as bracket from meta), n as (select folder_id, bracket, replace(min(file), '.tif', '') || '-' || replace(max(file), '.tif', '') || '_drago.png' as name from a group by 1, 2) select folder_id, bracket, name, lpad(cast(bracket+1 as varchar), cast(ceil(log10((count(*) over (partition by folder_id))+1)) as int), '0') as counter from n")
+
+
+def presets(spark, sf_dir) -> dict[str, DataFrame]:
+    saved = views.meta(spark, sf_dir).select("orientation", F.col("iso").alias("key"), F.concat(F.lit("iso "), F.coalesce("iso", F.lit(0.0)).cast("int").cast("string")).alias("comment"))
+    return {tmo: saved.where(F.col("orientation") == o) for tmo, o in (("drago", 1), ("reinhard02", 3), ("ferwerda", 6))}
+
+
+add("preset_catalogue", lambda s, d: brackets.preset_catalogue(presets(s, d)), "select distinct 'iso ' || cast(cast(coalesce(iso, 0e0) as int) as varchar) as comment, case orientation when 1 then 'drago' when 3 then 'reinhard02' else 'ferwerda' end as tmo from meta where orientation in (1, 3, 6)")
