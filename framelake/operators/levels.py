@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from .pixels import RGB
+from .pixels import RGB, frame_sizes
 from .stats import luminance, with_stats
-from .tonemap import scaled
+from .tonemap import TONE_MAPPERS, scaled
 
 BINS = 65536
 EPS = 1e-6
@@ -116,3 +116,73 @@ def upsample2(df: DataFrame, col: str) -> DataFrame:
     """Every pixel four times: the nearest-neighbour inverse of halving a frame."""
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)]))
     return df.select("frame_id", "x", "y", col, corner.alias("c")).select("frame_id", (F.col("x") * 2 + F.col("c.i")).alias("x"), (F.col("y") * 2 + F.col("c.j")).alias("y"), col)
+
+
+# Fixed values of the visual model: exponent of the receptors' response, display luminance, white and dark shares of the adaptation.
+RESPONSE, DISPLAY, WHITE, DARK = 0.73, 25.0, 5.0, 6.4
+
+
+def cone_sigma(c: Column) -> Column:
+    k = F.pow(1 / (5.0 * c + 1), F.lit(4.0))
+    return 12.9223 * c / (k * c + 0.171 * F.pow(1 - k, F.lit(2.0)) * F.cbrt(c))
+
+
+def rod_sigma(c: Column) -> Column:
+    j = F.pow(1 / (5e4 * c + 1), F.lit(2.0))
+    return 2.5874 * c / (19000.0 * j * c + 0.2615 * F.pow(1 - j, F.lit(4.0)) * F.sqrt(F.cbrt(c)))
+
+
+def receptor(c: Column, sigma: Column) -> Column:
+    return F.pow(c, F.lit(RESPONSE)) / (F.pow(c, F.lit(RESPONSE)) + F.pow(sigma, F.lit(RESPONSE)))
+
+
+def tm_pattanaik(df: DataFrame, multiplier: float = 1.0, cone: float | None = None, rod: float | None = None) -> DataFrame:
+    """Visual adaptation of a whole frame: to five times its log-average, or to the given cone and rod luminances; black pixels stay black."""
+    lum = luminance(df.withColumns({c: F.col(c) * multiplier for c in RGB}))
+    s = lum.groupBy("frame_id").agg((5.0 * F.exp(F.avg(F.ln(F.col("lum") + 2.3e-5)))).alias("auto"))
+    s = s.select("frame_id", *[(F.lit(float(v)) if v is not None else F.col("auto")).alias(n) for n, v in (("ac", cone), ("ar", rod))])
+    s = s.withColumns({"bc": 2e6 / (2e6 + F.col("ac")), "br": 0.04 / (0.04 + F.col("ar")), "sc": cone_sigma(F.col("ac")), "sr": rod_sigma(F.col("ar"))})
+    scene = lambda k: F.col("bc") * receptor(F.col("ac") * k, F.col("sc")) + F.col("br") * receptor(F.col("ar") * k, F.col("sr"))
+    shown = cone_sigma(F.lit(DISPLAY))
+    s = s.withColumns({"white": scene(WHITE), "dark": scene(1 / DARK), "shown_white": receptor(F.lit(DISPLAY * WHITE), shown), "shown_dark": receptor(F.lit(DISPLAY / DARK), shown), "shown": shown})
+    ratio = (F.col("shown_white") - F.col("shown_dark")) / (F.col("white") - F.col("dark"))
+    above, below = F.col("white") > F.col("shown_white"), F.col("dark") < F.col("shown_dark")
+    s = s.withColumns({
+        "move": F.when(above, F.col("white")).when(below, F.col("dark")).otherwise(0.0), "to": F.when(above, F.col("shown_white")).when(below, F.col("shown_dark")).otherwise(0.0),
+        "stretch": F.when(above | below, F.least(ratio, F.lit(1.0))).otherwise(1.0), "colour": (F.col("shown_white") - F.col("shown_dark")) / math.log10(WHITE * DARK),
+    })
+    at = with_stats(lum, s)
+    n, y = F.lit(RESPONSE), F.col("lum")
+    rods, cones = F.col("br") * receptor(y, F.col("sr")), F.col("bc") * receptor(y, F.col("sc"))
+    at = at.withColumns({"all": rods + cones, "rods": rods / (rods + cones), "cones": cones / (rods + cones)})
+    chroma = F.col("bc") * F.pow("sc", n) * n * F.pow(y, n) / F.pow(F.pow(y, n) + F.pow("sc", n), F.lit(2.0)) / F.col("colour")
+    seen = F.greatest(F.lit(0.0), F.least(F.lit(0.9999999), (F.col("all") - F.col("move")) * F.col("stretch") + F.col("to")))
+    light = F.col("shown") / (DISPLAY * WHITE) * F.pow(seen / (1 - seen), F.lit(1 / RESPONSE))
+    unit = lambda c: F.when(y > 0, color.clamp(light * (F.pow(F.col(c) / y, chroma) * F.col("cones") + F.col("rods")), 0, 1)).otherwise(0.0)
+    return at.select("frame_id", "x", "y", *[unit(c).alias(c) for c in RGB])
+
+
+LOBES = 3.0
+
+
+def lanczos_taps(sizes: DataFrame, source: str, target: str) -> DataFrame:
+    """(frame_id, out, at, w): normalised weights of the source lines of every target line."""
+    stretch = F.least(F.col("scale"), F.lit(1.0))
+    lines = sizes.select("frame_id", source, "scale", F.explode(F.sequence(F.lit(0), F.col(target) - 1)).alias("out")).withColumn("centre", (F.col("out") + 0.5) / F.col("scale") - 0.5)
+    first = F.greatest(F.lit(0), F.floor(F.col("centre") - LOBES / stretch) + 1)
+    last = F.least(F.col(source), F.floor(F.col("centre") + LOBES / stretch) + 1) - 1
+    taps = lines.withColumn("at", F.explode(F.sequence(first, last))).withColumn("z", stretch * (F.col("centre") - F.col("at")))
+    phase = math.pi * F.col("z")
+    w = F.when(F.col("z") * F.col("z") < 1e-6, 1.0).when(F.abs("z") > LOBES, 0.0).otherwise(LOBES * F.sin(phase) * F.sin(phase / LOBES) / (phase * phase))
+    return taps.withColumn("w", w).select("frame_id", "out", F.col("at").cast("int").alias("at"), (F.col("w") / F.sum("w").over(Window.partitionBy("frame_id", "out"))).alias("w"))
+
+
+def resize_lanczos(df: DataFrame, xsize: int) -> DataFrame:
+    """Separable three-lobed resize, wider when it shrinks, negatives to 0: columns first, then rows, each a weighted sum with map-side parts."""
+    sizes = frame_sizes(df).select("frame_id", "width", "height", F.lit(xsize).alias("w2"), F.floor(F.col("height") * xsize / F.col("width")).cast("int").alias("h2"), (F.lit(float(xsize)) / F.col("width")).alias("scale")).where("h2 > 0")
+    down = lanczos_taps(sizes, "height", "h2").withColumnRenamed("at", "y").join(df, ["frame_id", "y"]).groupBy("frame_id", "x", F.col("out").alias("y")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in RGB])
+    across = lanczos_taps(sizes, "width", "w2").withColumnRenamed("at", "x").join(down, ["frame_id", "x"])
+    return across.groupBy("frame_id", F.col("out").alias("x"), "y").agg(*[F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col(c))).alias(c) for c in RGB])
+
+
+TONE_MAPPERS.update(kimkautz=tm_kimkautz, mai=tm_mai, pattanaik=tm_pattanaik, zone=tm_zone)

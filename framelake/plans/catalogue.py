@@ -285,3 +285,15 @@ def presets(spark, sf_dir) -> dict[str, DataFrame]:
 
 
 add("preset_catalogue", lambda s, d: brackets.preset_catalogue(presets(s, d)), "select distinct 'iso ' || cast(cast(coalesce(iso, 0e0) as int) as varchar) as comment, case orientation when 1 then 'drago' when 3 then 'reinhard02' else 'ferwerda' end as tmo from meta where orientation in (1, 3, 6)")
+
+# Separable resize, visual adaptation
+TAPS = lambda name, size, count: f"{name}a as (select frame_id, {size}, sc, unnest(range({count})) as o from lz), {name}b as (select *, (o+0.5e0)/sc-0.5e0 as c, least(sc, 1e0) as st from {name}a), {name}c as (select *, unnest(range(greatest(0, cast(floor(c-3e0/st) as bigint)+1), least({size}, cast(floor(c+3e0/st) as bigint)+1))) as t from {name}b), {name}d as (select *, st*(c-t) as z from {name}c), {name}e as (select frame_id, o, t, case when z*z < 1e-6 then 1e0 when abs(z) > 3e0 then 0e0 else 3e0*sin(pi()*z)*sin(pi()*z/3e0)/(pi()*z*pi()*z) end as w from {name}d), {name} as (select frame_id, o, t, w/sum(w) over (partition by frame_id, o) as w from {name}e)"
+over_px("resize_lanczos", lambda p: levels.resize_lanczos(p, 10), f"lz as (select frame_id, max(x)+1 as w, max(y)+1 as h, cast(floor((max(y)+1)*10/(max(x)+1)) as int) as h2, 10e0/(max(x)+1) as sc from px group by 1), {TAPS('tv', 'h', 'h2')}, {TAPS('th', 'w', '10')}, lv as (select px.frame_id, x, o as y, {', '.join(f'sum(w*{c}) as {c}' for c in RGB)} from px join tv on tv.frame_id = px.frame_id and t = y group by 1, 2, 3) select lv.frame_id, cast(o as int) as x, cast(y as int) as y, {three('greatest(0e0, sum(w*$))')} from lv join th on th.frame_id = lv.frame_id and t = x group by 1, 2, 3")
+CSG = lambda i: f"(12.9223e0*{i}/(pow(1e0/(5e0*{i}+1e0), 4e0)*{i}+0.171e0*pow(1e0-pow(1e0/(5e0*{i}+1e0), 4e0), 2e0)*cbrt({i})))"
+RSG = lambda i: f"(2.5874e0*{i}/(19000e0*pow(1e0/(5e4*{i}+1e0), 2e0)*{i}+0.2615e0*pow(1e0-pow(1e0/(5e4*{i}+1e0), 2e0), 4e0)*sqrt(cbrt({i}))))"
+MR = lambda i, s: f"(pow({i}, 0.73e0)/(pow({i}, 0.73e0)+pow({s}, 0.73e0)))"
+over_px("tm_pattanaik", levels.tm_pattanaik, f"""{LUM}, v0 as (select frame_id, 5e0*exp(avg(ln(lum+2.3e-5))) as a from lm group by 1), v1 as (select frame_id, a, 2e6/(2e6+a) as bc, 0.04e0/(0.04e0+a) as br, {CSG('a')} as sc, {RSG('a')} as sr, {CSG('25e0')} as ds from v0),
+v2 as (select *, bc*{MR('(a*5e0)', 'sc')}+br*{MR('(a*5e0)', 'sr')} as ws, bc*{MR('(a/6.4e0)', 'sc')}+br*{MR('(a/6.4e0)', 'sr')} as ks, {MR('125e0', 'ds')} as wd, {MR('(25e0/6.4e0)', 'ds')} as kd from v1),
+v3 as (select *, case when ws > wd then ws when ks < kd then ks else 0e0 end as dx, case when ws > wd then wd when ks < kd then kd else 0e0 end as dz, case when ws > wd or ks < kd then least((wd-kd)/(ws-ks), 1e0) else 1e0 end as dy, (wd-kd)/log10(32e0) as sd from v2),
+v4 as (select lm.*, v3.* exclude (frame_id), br*{MR('lum', 'sr')} as rr, bc*{MR('lum', 'sc')} as rc from lm join v3 using (frame_id)), v5 as (select *, greatest(0e0, least(0.9999999e0, (rr+rc-dx)*dy+dz)) as ra, bc*pow(sc, 0.73e0)*0.73e0*pow(lum, 0.73e0)/pow(pow(lum, 0.73e0)+pow(sc, 0.73e0), 2e0)/sd as co from v4)
+select {PIX}, {three(f'least(greatest(ds/125e0*pow(ra/(1e0-ra), {1 / 0.73!r}e0)*(pow($/lum, co)*rc/(rr+rc)+rr/(rr+rc)), 0e0), 1e0)')} from v5""")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pixels, tonemap
+from ..operators import levels, pixels, tonemap  # noqa: F401  levels adds its tone mappers
 
 
 def render(px: DataFrame, tmo: str, pregamma: float = 1.0, postsaturation: float = 1.0, postgamma: float = 1.0, crop: tuple | None = None, xsize: int | None = None, bits: int = 8, **params) -> DataFrame:
