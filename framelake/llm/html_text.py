@@ -1,12 +1,12 @@
 """Operator 9: main text of web pages by removal of site templates.
 
 1. Every page is read into its element tree; each block element's subtree gets a hash of its white-space-normalised source.
-2. Spark counts the pages of each host that hold a subtree (a page counts once; hosts and subtrees are summed before the
-   shuffle). A subtree on many pages of its host is template.
+2. Spark counts the pages of each host that hold a subtree. Pages of one host whose text (before templates go) is equal are
+   copies and count once, so that copies of a page cannot make its content a template. A subtree on many such pages of its host is template.
 3. Pages join the template subtrees of their own host. The text of a page is what is left after these subtrees, the
    elements whose role is not the article (navigation, asides, forms, scripts, ...) and those whose class or
    id names such a role are deleted. If the page has an article (or main) element, the text is that element's.
-   Paragraphs and headings inside it are never template: a page copied within a host keeps its text.
+   Paragraphs and headings inside it are never template. On a host that has copies of one page only nothing is.
 
 Null html and pages without text give an empty string. Broken markup is read as far as it goes: unclosed elements end with
 their parent. Repeated rows and null ids are kept; a page with a null or odd url belongs to the host of its own text.
@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
-MIN_PAGES, MIN_SHARE = 3, 0.02  # a subtree on so many pages of its host, and on such a share of them, is template
+MIN_PAGES, MIN_SHARE = 3, 0.02  # a subtree on so many pages of different text of its host, and on such a share of them, is template
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|button|object|math)\b.*?(?:</(?P=raw)\s*+>|\Z)"
@@ -62,7 +62,7 @@ def is_part(tag: str, attrs: str, inside: bool) -> bool:
 
 
 def read_page(page: str, template: frozenset[int] | None) -> tuple[list[int], str]:
-    """Subtree hashes of the page (template None), or its main text without the `template` subtrees."""
+    """Subtree hashes of the page and its main text (template None), or its main text without the `template` subtrees."""
     hashes: list[int] = []
     blocks: list[tuple[str, bool]] = []
     open_: list[tuple[str, int, bool, int, bool]] = []  # tag, start, dropped part, first block, inside article
@@ -134,10 +134,8 @@ def read_page(page: str, template: frozenset[int] | None) -> tuple[list[int], st
     while open_:
         close(len(page))
     flush()
-    if template is None:
-        return hashes, ""
     article = [t for t, within in blocks if within]
-    return [], "\n".join(article or [t for t, _ in blocks])
+    return hashes, "\n".join(article or [t for t, _ in blocks])
 
 
 def host_of(url: str) -> Column:
@@ -145,19 +143,24 @@ def host_of(url: str) -> Column:
 
 
 def template_subtrees(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(key, subtrees): for every page of (key, host, html) its subtrees that are template of its host."""
+    """(key, subtrees): for every page of (key, host, html), host a number, its subtrees that are template of its host."""
 
     def subtrees(batches: Iterator):
         import pandas as pd
 
         for batch in batches:
-            rows = [(k, h, x) for k, h, page in zip(batch["key"], batch["host"], batch["html"], strict=True) for x in set(read_page(page, None)[0])]
-            yield pd.DataFrame(rows, columns=["key", "host", "subtree"])
-
-    held = keyed.mapInPandas(subtrees, "key bigint, host string, subtree bigint")
-    sizes = keyed.groupBy("host").agg(F.count("*").alias("pages"))
-    common = held.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = common.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+            rows = []
+            for k, h, page in zip(batch["key"], batch["host"], batch["html"], strict=True):
+                hashes, text = read_page(page, None)
+                body = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                rows += [(k, h, x, body) for x in {None, *hashes}]
+            yield pd.DataFrame(rows, columns=["key", "host", "subtree", "body"], dtype=object)  # nulls would turn 64-bit hashes into floats
+
+    held = keyed.mapInPandas(subtrees, "key bigint, host bigint, subtree bigint, body bigint")  # a row of no subtree for each page
+    counts = held.groupBy("host", "subtree").agg(F.countDistinct("body").alias("n"))
+    counts = materialize(counts.where(F.col("subtree").isNull() | (F.col("n") >= min_pages)), "subtrees")
+    sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    common = counts.where("subtree is not null").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
     return held.join(common, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("subtrees"))
 
 
@@ -165,7 +168,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
     page = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", page.alias("html"), host_of("url").alias("host"), F.xxhash64("page_id", "url", page).alias("key"))
-    template = template_subtrees(keyed.select("key", "host", "html").where("html <> ''"))
+    template = template_subtrees(keyed.select("key", F.xxhash64("host").alias("host"), "html").where("html <> ''"))
     joined = keyed.select("key", "page_id", "url", "html").join(template, "key", "left")
 
     def texts(batches: Iterator):

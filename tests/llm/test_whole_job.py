@@ -4,6 +4,8 @@ import random
 
 from test_llm import components
 
+from framelake.llm import html_text
+
 
 def test_pipeline_near_duplicates(spark):
     import corpus_pipeline
@@ -24,3 +26,13 @@ def test_pipeline_near_duplicates(spark):
         return set(components(sets, lambda a, b: 100 * len(a & b) >= percent * len(a | b)))
 
     assert set(kept.doc_id) == linked(5, 80) < linked(4, 85)
+
+
+def test_html_copied_pages(spark):
+    rich = "<div class=body><h1>T{0}</h1><ul><li>one {0}</li><li>two {0}</li></ul><table><tr><td>cell {0}</td></tr></table><p>text {0}</p></div>"
+    page = "<body><article>" + rich + "<div>Written for the site</div></article><div>Imprint</div>"
+    plain = "<body>" + rich + "<div>Imprint</div>"
+    rows = [(i, f"http://a.org/{i}", page.format(max(i, 40))) for i in range(46)] + [(100 + i, f"http://b.org/{i}", plain.format(max(i, 40))) for i in range(46)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).toPandas()
+    want = {i + at: "T{0}\none {0}\ntwo {0}\ncell {0}\ntext {0}".format(max(i, 40)) for i in range(46) for at in (0, 100)}
+    assert dict(zip(got.page_id, got.text, strict=True)) == want
