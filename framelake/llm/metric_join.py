@@ -5,12 +5,12 @@ vector at home with its nearest pivot. By the triangle inequality a vector v can
 if d(v, p_j) - d(v, p_home) <= 2r, and, the pairs' bisector being a plane, only if v is within r of it; v is copied to such cells.
 So every partner of a vector is in the vector's home cell, cells join independently, and each counts the links of its own vectors.
 
-Equal vectors are one class with a multiplicity. Cells with many members are cut into blocks that meet pairwise. A block returns
+Vectors of equal direction (equal doubles after scaling, signed zeros as zero) are one class with a multiplicity. Cells with many members are cut into blocks that meet pairwise. A block returns
 counts and a spanning forest of its links, never its pairs. Pivots are a sample whose size follows the number of vectors up to a
 bound; how they fall decides only the speed.
 
 Null and zero vectors, and such with null or non-finite components, link with nothing: 0 links, component themselves. Vectors of
-another length than most have no cosine with them and link with nothing. Rows with a null vec_id are counted as partners but have a null component.
+different dimensions have no cosine and never link; each dimension has pivots and cells of its own. Rows with a null vec_id are counted as partners but have a null component.
 Rows of one vec_id are one node. Repeated rows are kept.
 """
 
@@ -32,37 +32,43 @@ SLICE = 500
 SLACK = 1e-9
 
 
+def direction(x: np.ndarray) -> bytes:
+    """Packed doubles of length one; -0.0 becomes 0.0, as equal vectors must have equal bytes."""
+    v = np.asarray(x, np.float64)
+    v = v / np.abs(v).max()
+    return (v / np.sqrt(v @ v) + 0.0).tobytes()
+
+
 def unit(vectors: DataFrame) -> DataFrame:
-    """(unit, rep, many): classes of equal valid vectors, packed doubles of length one, smallest vec_id and number."""
+    """(unit, rep, many): classes of valid vectors of equal direction, smallest vec_id and number."""
 
     def scale(batches: Iterator):
         for batch in batches:
-            out = []
-            for x in batch["embedding"]:
-                v = np.asarray(x, np.float64)
-                v = v / np.abs(v).max()
-                out.append((v / np.sqrt(v @ v)).tobytes())
-            yield batch[["rep", "many"]].assign(unit=out)
+            yield batch[["vec_id"]].assign(unit=[direction(x) for x in batch["embedding"]])
 
     e = F.col("embedding").cast("array<double>")
     valid = F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     rows = vectors.select("vec_id", e.alias("embedding")).where(F.col("embedding").isNotNull() & valid)
-    classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-    return classes.mapInPandas(scale, "rep bigint, many bigint, unit binary").where("unit is not null")
+    scaled = rows.mapInPandas(scale, "vec_id bigint, unit binary")
+    return scaled.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
 
 
-def choose_pivots(units: DataFrame) -> np.ndarray:
-    """A bounded sample of distinct vectors, spread by a hash; the most usual dimension only."""
-    total = units.count()
+def choose_pivots(units: DataFrame) -> dict[int, np.ndarray]:
+    """By bytes of a vector, pivots of the dimensions that have vectors for several; the others are one cell each."""
+    size = F.octet_length("unit")
+    large = units.groupBy(size.alias("size")).agg(F.count("*").alias("n")).where(F.col("n") >= 2 * PER_CELL).collect()
+    return {r["size"]: spread(units.where(size == r["size"]), r["n"]) for r in large}
+
+
+def spread(units: DataFrame, total: int) -> np.ndarray:
+    """A bounded sample of distinct vectors of one dimension, spread by a hash."""
     k = min(MOST_PIVOTS, max(1, total // PER_CELL))
     share = min(1.0, 4 * k / max(total, 1))
     picked = units.where(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < share * 1_000_000).select("unit").orderBy(F.xxhash64("unit")).limit(4 * k).collect()
     sample = [np.frombuffer(bytes(r["unit"])) for r in picked]
     if not sample:
         return np.zeros((0, 1))
-    sizes = [len(x) for x in sample]
-    size = max(set(sizes), key=sizes.count)
-    sample = np.array([x for x in sample if len(x) == size])
+    sample = np.array(sample)
     chosen, far = [0], 1 - sample @ sample[0]
     while len(chosen) < min(k, len(sample)):  # farthest first: pivots of different neighbourhoods
         far = np.minimum(far, 1 - sample @ sample[chosen[-1]])
@@ -73,19 +79,23 @@ def choose_pivots(units: DataFrame) -> np.ndarray:
     return sample[chosen]
 
 
-def cells(units: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
+def cells(units: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> DataFrame:
     """(cell, home, rep, many, unit): every vector in its home cell and in those that may hold partners at home there."""
     shipped = units.sparkSession.sparkContext.broadcast(pivots)
 
     def deal(batches: Iterator):
-        p = shipped.value
-        between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+        known = {size: (p, np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))) for size, p in shipped.value.items() if len(p)}
         for batch in batches:
-            right = batch["unit"].map(len).to_numpy() == 8 * p.shape[1]
-            for at in range(0, int(right.sum()), SLICE):
-                yield deal_slice(batch[right].iloc[at : at + SLICE], p, between)
-
-    def deal_slice(batch, p, between):
+            sizes = batch["unit"].map(len).to_numpy()
+            for size in np.unique(sizes).tolist():
+                own = batch[sizes == size]
+                if size not in known:
+                    yield own.assign(cell=size << 16, home=True)[["cell", "home", "rep", "many", "unit"]]
+                    continue
+                for at in range(0, len(own), SLICE):
+                    yield deal_slice(own.iloc[at : at + SLICE], size, *known[size])
+
+    def deal_slice(batch, size, p, between):
         import pandas as pd
 
         x = np.frombuffer(b"".join(batch["unit"])).reshape(len(batch), -1)
@@ -97,7 +107,7 @@ def cells(units: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
         reach = (d - d[own][:, None] <= 2 * radius + SLACK) & (plane <= radius + SLACK)
         reach[own] = True
         i, cell = np.nonzero(reach)
-        return pd.DataFrame({"cell": cell, "home": cell == home[i], "rep": batch["rep"].to_numpy()[i], "many": batch["many"].to_numpy()[i], "unit": batch["unit"].to_numpy()[i]})
+        return pd.DataFrame({"cell": (size << 16) + cell, "home": cell == home[i], "rep": batch["rep"].to_numpy()[i], "many": batch["many"].to_numpy()[i], "unit": batch["unit"].to_numpy()[i]})
 
     return units.mapInPandas(deal, "cell bigint, home boolean, rep bigint, many bigint, unit binary")
 
@@ -194,8 +204,7 @@ def attach(rows: DataFrame, named: DataFrame) -> DataFrame:
                 if x is not None and len(x) and all(c is not None for c in x):
                     v = np.asarray(x, np.float64)
                     if np.isfinite(v).all() and v.any():
-                        v = v / np.abs(v).max()
-                        packed = (v / np.sqrt(v @ v)).tobytes()
+                        packed = direction(v)
                 out.append(packed)
             yield batch[["vec_id"]].assign(unit=out)
 

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from test_llm import components
 
-from framelake.llm import html_text
+from framelake.llm import html_text, metric_join
 
 
 def test_pipeline_near_duplicates(spark):
@@ -36,3 +38,21 @@ def test_html_copied_pages(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).toPandas()
     want = {i + at: "T{0}\none {0}\ntwo {0}\ncell {0}\ntext {0}".format(max(i, 40)) for i in range(46) for at in (0, 100)}
     assert dict(zip(got.page_id, got.text, strict=True)) == want
+
+
+@pytest.mark.parametrize("per_cell", [2500, 10])
+def test_vectors_of_equal_direction_and_other_dimensions(spark, monkeypatch, per_cell):
+    monkeypatch.setattr(metric_join, "PER_CELL", per_cell)
+    rng = np.random.default_rng(4)
+    vectors = []
+    for size, n in ((8, 60), (5, 40), (3, 2)):
+        centers = rng.normal(size=(6, size))
+        vectors += [centers[i % 6] + rng.normal(size=size) * 0.15 for i in range(n)]
+    vectors += [v * factor for v in vectors[:110:9] for factor in (1.0, 2.0, 0.25)]
+    vectors += [np.array([1.0, 0.0, 1e-3]), np.array([1.0, -0.0, 1e-3]), np.array([3.0, -0.0, 0.0, 1.0]), np.array([1.0, 0.0]), np.array([1.0, -0.0])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = metric_join.near_duplicates(df).toPandas().sort_values("vec_id")
+    near = lambda a, b: len(a) == len(b) and float(a @ b) >= 0.95 * np.sqrt((a @ a) * (b @ b))
+    assert got.vec_id.tolist() == list(range(len(vectors)))
+    assert got.component_id.tolist() == components(vectors, near)
+    assert got.n_links.tolist() == [sum(near(a, b) for j, b in enumerate(vectors) if j != i) for i, a in enumerate(vectors)]
