@@ -3,7 +3,9 @@
 A text is a vector of hashed character n-grams (1 to 3, lower-cased letters, word boundaries marked) weighted by
 TF-IDF and scaled to length one. Every language has several centroids, found by spherical k-means on a
 bounded sample of its training texts. The nearest centroid by cosine names the language; a text farther from it than
-nearly all training texts of that language are from theirs is rejected.
+nearly all training texts of that language and of its size are from theirs is rejected. Short texts are farther from everything, so
+whole training texts and pieces of them set a limit for each size, the number of different n-grams. Their distances are
+taken from centroids of the other half of the texts. A language with a single training text rejects nothing.
 
 Null texts and texts without a letter get `und`, score 0, and are rejected. Whole texts are read, in chunks that bound
 memory. Ties go to the first language in alphabetical order. With nothing to learn from, all texts get `und`.
@@ -27,7 +29,8 @@ SAMPLE_BYTES = 20_000  # longer texts are not used to fit (they are still predic
 LANGUAGES = 500  # most frequent languages that are learned
 CLUSTERS = 3
 CHUNK = 1_000_000
-REJECT_QUANTILE, REJECT_FACTOR = 0.002, 0.3
+REJECT_QUANTILE = 0.005
+PIECES = (6, 12, 25, 50, 100, 200, 400, 800, 1600)  # characters of the pieces of training texts that set the limits
 UNDETERMINED = "und"
 
 
@@ -55,12 +58,17 @@ def n_gram_counts(text: str, letters: np.ndarray) -> np.ndarray | None:
     return total if any_letter else None
 
 
+def size_class(counts: np.ndarray) -> int:
+    """Half-octave of the number of different n-grams."""
+    return int(2 * np.log2(np.count_nonzero(counts)))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    floor: dict[str, float]  # least cosine that is accepted
+    floor: dict[str, np.ndarray]  # least cosine that is accepted, by size class
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
@@ -73,7 +81,7 @@ class LanguageModel:
         cosines = self.centroids @ self.vector(counts)
         best = int(np.argmax(cosines))
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[best], score, score < self.floor[self.languages[best]]
+        return self.languages[best], score, score < float(self.floor[self.languages[best]][size_class(counts)])
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -89,6 +97,27 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def limits(texts: list[str], vectors: np.ndarray, idf: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Least cosine accepted, by size class, from training texts and pieces of them held against centroids of the other half."""
+    rng, model = np.random.default_rng(4), LanguageModel([], vectors, idf, {})
+    found: dict[int, list[float]] = {}
+    half = np.arange(len(texts)) % 2
+    for own in (0, 1) if len(texts) > 1 else ():
+        centroids = cluster(vectors[half != own], CLUSTERS)
+        for text in texts[own::2]:
+            starts = [(int(rng.integers(len(text) - n)), n) for n in PIECES if n < len(text)]
+            for at, n in [*starts, (0, len(text))]:
+                if (counts := n_gram_counts(text[at : at + n], letters)) is not None:
+                    found.setdefault(size_class(counts), []).append(float((centroids @ model.vector(counts)).max()))
+    classes = np.arange(size_class(np.ones(DIM)) + 1)
+    if not found:
+        return np.zeros(len(classes))
+    known = sorted(found)
+    least = np.interp(classes, known, [float(np.quantile(found[k], REJECT_QUANTILE)) for k in known])
+    least = np.minimum.accumulate(least[::-1])[::-1]  # a smaller text has no higher limit
+    return least * np.minimum(1, 2.0 ** ((classes - known[0]) / 4))  # below the least size seen, by the root of the size
+
+
 def fit(documents: DataFrame, train: Column) -> LanguageModel:
     """Learn from a bounded sample, the same share of every hash range, of the rows of (doc_id, text, lang) where `train` holds."""
     known = documents.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text", "lang")
@@ -98,11 +127,11 @@ def fit(documents: DataFrame, train: Column) -> LanguageModel:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))).otherwise(share)
     rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < share * 1_000_000).orderBy("doc_id", "text").select("text", "lang").collect() if sizes else []
     letters = letter_table()
-    counted = [(r["lang"], c) for r in rows if (c := n_gram_counts(r["text"], letters)) is not None]
+    counted = [(r["lang"], c, r["text"]) for r in rows if (c := n_gram_counts(r["text"], letters)) is not None]
     if not counted:
         return LanguageModel([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), {})
-    counts = np.array([c for _, c in counted])
-    langs = np.array([lang for lang, _ in counted])
+    counts = np.array([c for _, c, _ in counted])
+    langs = np.array([lang for lang, _, _ in counted])
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     vectors = np.log1p(counts) * idf
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -110,7 +139,7 @@ def fit(documents: DataFrame, train: Column) -> LanguageModel:
     for lang in sorted(set(langs.tolist())):
         own = vectors[langs == lang]
         c = cluster(own, CLUSTERS)
-        floor[lang] = REJECT_FACTOR * float(np.quantile((own @ c.T).max(axis=1), REJECT_QUANTILE))
+        floor[lang] = limits([text for name, _, text in counted if name == lang], own, idf, letters)
         names += [lang] * len(c)
         centroids.append(c)
     return LanguageModel(names, np.concatenate(centroids).astype(np.float32), idf, floor)

@@ -1,12 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
+import base64
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_llm import components
 
-from framelake.llm import html_text, metric_join
+from framelake.llm import html_text, language_id, metric_join
 
 
 def test_pipeline_near_duplicates(spark):
@@ -56,3 +59,22 @@ def test_vectors_of_equal_direction_and_other_dimensions(spark, monkeypatch, per
     assert got.vec_id.tolist() == list(range(len(vectors)))
     assert got.component_id.tolist() == components(vectors, near)
     assert got.n_links.tolist() == [sum(near(a, b) for j, b in enumerate(vectors) if j != i) for i, a in enumerate(vectors)]
+
+
+POLISH = """Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni
+postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji."""
+FINNISH = """Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on
+toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin."""
+
+
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs, ~language_id.held_out())
+    rng = random.Random(3)
+    strange = [POLISH, FINNISH, base64.b64encode(rng.randbytes(600)).decode(), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=900)), Path(language_id.__file__).read_text()[2000:4000]]
+    strange = spark.createDataFrame([(t[:n],) for t in strange for n in (100, 200, 2000)], "text string")
+    assert {r["rejected"] for r in language_id.identify(strange, model).collect()} == {True}
+    clean = docs.where(language_id.held_out())
+    for text, least in ((F.col("text"), 0.97), (F.substring("text", 1, 60), 0.97), (F.substring("text", 1, 20), 0.95)):
+        kept = language_id.identify(clean.select(text.alias("text")), model).where("not rejected").count()
+        assert kept >= least * clean.count()
