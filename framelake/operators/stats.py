@@ -113,7 +113,7 @@ def wb_robust(df: DataFrame, max_iter: int = 1000, u: float = 0.3, a: float = 0.
     A turn is one aggregation by frame. The gains (a row a frame) are joined to the pixels of frames still at work.
     """
     gains = df.select("frame_id").distinct().select("frame_id", F.lit(1.0).alias("gain_r"), F.lit(1.0).alias("gain_b"), F.lit(False).alias("done"))
-    for turn in range(max_iter):
+    for _ in range(max_iter):
         at = df.join(gains.where(~F.col("done")), "frame_id")
         y, uu, vv = color.rgb_to_yuv(F.col("r") * F.col("gain_r"), F.col("g"), F.col("b") * F.col("gain_b"))
         grey = (F.abs(uu) + F.abs(vv)) / y < t
@@ -124,8 +124,8 @@ def wb_robust(df: DataFrame, max_iter: int = 1000, u: float = 0.3, a: float = 0.
         blue = F.abs("ub") > F.abs("vb")
         step = bars.select("frame_id", F.when(blue, 0.0).otherwise(delta).alias("dr"), F.when(blue, delta).otherwise(0.0).alias("db"), stop.alias("stop"))
         gains = gains.join(step, "frame_id", "left").select("frame_id", (F.col("gain_r") - F.coalesce("dr", F.lit(0.0))).alias("gain_r"), (F.col("gain_b") - F.coalesce("db", F.lit(0.0))).alias("gain_b"), (F.col("done") | F.coalesce("stop", F.lit(False))).alias("done"))
-        if turn % 4 == 3 and turn + 1 < max_iter:
-            gains = gains.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else gains
-            if gains.where(~F.col("done")).isEmpty():
-                break
+        # A turn reads the gains twice: without a cut the plan would double with every turn.
+        gains = gains.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else gains.localCheckpoint()
+        if gains.where(~F.col("done")).isEmpty():
+            break
     return gains.select("frame_id", "gain_r", "gain_b")

@@ -172,7 +172,7 @@ over_px("wb_color_balance", stats.wb_color_balance, f"{QUANT('r')}, {QUANT('g')}
 over_px("wb_shades_of_gray", stats.wb_shades_of_gray, f"e as (select frame_id, {', '.join(f'pow(avg(pow({c}, 6e0)), {1 / 6!r}e0) as e{c}' for c in RGB)} from px group by 1) select {PIX}, {three('$*greatest(er,eg,eb)/e$')} from px join e using (frame_id)")
 add("minkowski_mean", lambda s, d: r6(stats.minkowski_mean(views.px(s, d)), *RGB), f"select frame_id, {three(f'pow(avg(pow($, 6e0)), {1 / 6!r}e0)')} from px group by 1")
 YUV = lambda g: f"q{g} as (select frame_id, gr, gb, (0.299e0*r*gr+0.587e0*g+0.144e0*b*gb) as y, (-0.299e0*r*gr-0.587e0*g+0.886e0*b*gb) as u, (0.701e0*r*gr-0.587e0*g-0.114e0*b*gb) as v from px join g{g} using (frame_id)), b{g} as (select frame_id, gr, gb, avg(case when (abs(u)+abs(v))/y < 0.3e0 then u end) as ub, avg(case when (abs(u)+abs(v))/y < 0.3e0 then v end) as vb from q{g} group by 1,2,3), d{g} as (select *, case when abs(ub) > abs(vb) then ub else vb end as err from b{g}), f{g} as (select *, case when ub is null or abs(err) >= 10e0 or abs(err) < 0.001e0 then 0e0 when abs(err) >= 0.8e0 then 0.6e0*sign(err) else 0.3e0*err end as dl from d{g}), g{g + 1} as (select frame_id, case when abs(ub) > abs(vb) then gr else gr-dl end as gr, case when abs(ub) > abs(vb) then gb-dl else gb end as gb from f{g})"
-add("wb_robust", lambda s, d: r6(stats.wb_robust(views.px(s, d), 3), "gain_r", "gain_b"), f"g0 as (select distinct frame_id, 1e0 as gr, 1e0 as gb from px), {YUV(0)}, {YUV(1)}, {YUV(2)} select frame_id, {s6('gr', 'gain_r')}, {s6('gb', 'gain_b')} from g3")
+add("wb_robust", lambda s, d: r6(stats.wb_robust(views.px(s, d)), "gain_r", "gain_b"), f"g0 as (select distinct frame_id, 1e0 as gr, 1e0 as gb from px), {YUV(0)}, {YUV(1)}, {YUV(2)} select frame_id, {s6('gr', 'gain_r')}, {s6('gb', 'gain_b')} from g3")
 add("robust_center", lambda s, d: r6(stats.robust_center(views.px(s, d), "g"), "center"), f"select frame_id, {s6('sqrt(avg(g)*quantile_disc(g, 0.5))', 'center')} from px group by 1")
 add("dynamic_range_window", lambda s, d: r6(stats.dynamic_range_window(lum(s, d)), "lo", "hi"), f"{LUM}, w as (select frame_id, log10(greatest(min(lum), 1e-6)) as lo, log10(greatest(max(lum), 1e-6)) as hi from lm group by 1) select frame_id, {s6('lo-greatest(0.5e0-(hi-lo), 0e0)/2e0', 'lo')}, {s6('hi+greatest(0.5e0-(hi-lo), 0e0)/2e0', 'hi')} from w")
 add("stats_rollup", lambda s, d: r6(stats.stats_rollup(views.stack(s, d)), "lo", "hi", "mean"), f"select scene_id, exposure_idx, count(*) as n, {s6('min(g)', 'lo')}, {s6('max(g)', 'hi')}, {s6('avg(g)', 'mean')} from stack group by rollup (scene_id, exposure_idx)")

@@ -24,5 +24,5 @@ def render_batch(px: DataFrame, presets: dict[str, dict]) -> DataFrame:
 
 
 def batch_plan(frames: DataFrame, presets: DataFrame) -> DataFrame:
-    """Every frame with every preset; presets are a short list that the caller wrote down."""
-    return frames.join(F.broadcast(presets.limit(10_000)))
+    """Every frame with every preset; the engine broadcasts the presets if they are few."""
+    return frames.crossJoin(presets)
