@@ -8,8 +8,11 @@ whole training texts and pieces of them set a limit for each size, the number of
 taken from centroids of the other half of the texts. A language with a single training text rejects nothing.
 
 Null texts and texts without a letter get `und`, score 0, and are rejected. Whole texts are read, in chunks that bound
-memory. Ties go to the first language in alphabetical order. With nothing to learn from, all texts get `und`.
-Extra columns and repeated rows are kept; columns named as the results are replaced.
+memory; n-grams across the edge of a chunk count. Ties go to the first language in alphabetical order. With nothing to learn from, all
+texts get `und`. Extra columns and repeated rows are kept; columns named as the results are replaced.
+
+The sample is bounded in number and length: SAMPLE_PER_LANGUAGE rows of each language, fewer if SAMPLE of all languages are reached (never under
+LEAST_PER_LANGUAGE), picked by a hash of the row; a longer text teaches by a piece of SAMPLE_CHARS. The model grows with the number of languages.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, from_text, in_worker, table
 
 DIM = 4096
-SAMPLE_PER_LANGUAGE = 600  # training texts of a language, about; bounds what the driver holds
-SAMPLE_BYTES = 20_000  # longer texts are not used to fit (they are still predicted whole)
-LANGUAGES = 500  # most frequent languages that are learned
+SAMPLE_PER_LANGUAGE, LEAST_PER_LANGUAGE, SAMPLE = 600, 20, 20_000  # training texts: bounds of what the driver holds
+SAMPLE_CHARS = 8_000
 CLUSTERS = 3
 CHUNK = 1_000_000
 REJECT_QUANTILE = 0.005
@@ -40,21 +43,23 @@ def letter_table() -> np.ndarray:
 
 def n_gram_counts(text: str, letters: np.ndarray) -> np.ndarray | None:
     """Counts of hashed 1- to 3-grams; None without a letter."""
-    total, any_letter = np.zeros(DIM, np.float32), False
+    total, any_letter, text = np.zeros(DIM, np.float32), False, text.lower()
+    after_letter, before = True, np.zeros(0, np.uint32)  # the first character is kept; before: the last two that were
     for at in range(0, len(text), CHUNK):
-        code = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letters[code]
-        if not is_letter.any():
-            continue
-        any_letter = True
-        c = np.where(is_letter, code, np.uint32(32))
-        keep = np.ones(len(c), np.bool_)
-        keep[1:] = is_letter[1:] | is_letter[:-1]
-        c = c[keep] * np.uint32(2654435761)
+        any_letter |= bool(is_letter.any())
+        keep = is_letter.copy()
+        keep[0] |= after_letter
+        keep[1:] |= is_letter[:-1]
+        after_letter = bool(is_letter[-1])
+        new = np.where(is_letter, code, np.uint32(32))[keep] * np.uint32(2654435761)
+        c, old = np.concatenate([before, new]), len(before)
         two = (c[:-1] ^ (c[1:] >> np.uint32(7))) * np.uint32(2246822519)
         three = (two[:-1] ^ (c[2:] >> np.uint32(5))) * np.uint32(3266489917)
-        for h in (c, two, three):
+        for h in (new, two[max(0, old - 1) :], three):
             total += np.bincount(h >> np.uint32(20), minlength=DIM)
+        before = c[-2:]
     return total if any_letter else None
 
 
@@ -118,16 +123,34 @@ def limits(texts: list[str], vectors: np.ndarray, idf: np.ndarray, letters: np.n
     return least * np.minimum(1, 2.0 ** ((classes - known[0]) / 4))  # below the least size seen, by the root of the size
 
 
-def fit(documents: DataFrame, train: Column) -> LanguageModel:
-    """Learn from a bounded sample, the same share of every hash range, of the rows of (doc_id, text, lang) where `train` holds."""
-    known = documents.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+def sample(documents: DataFrame, train: Column) -> list[tuple[str, str]]:
+    """(lang, text) of a bounded number of rows of each language, by a hash of the row; of long texts a piece."""
+    hash_, known = F.xxhash64("doc_id", "text", F.lit(4)), documents.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return []
+    most = min(SAMPLE_PER_LANGUAGE, max(LEAST_PER_LANGUAGE, SAMPLE // len(sizes)))
+    start = F.pmod(hash_, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+
+    def pick(rows: DataFrame) -> list:
+        slim = rows.select("lang", "doc_id", hash_.alias("h"), F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"))
+        return slim.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect()
+
+    # The share keeps four times what is wanted, so that little is sorted; a language of a few different rows may have none of them in it.
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))).otherwise(share)
-    rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < share * 1_000_000).orderBy("doc_id", "text").select("text", "lang").collect() if sizes else []
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * most / n))).otherwise(share)
+    rows = pick(known.where(F.pmod(hash_, F.lit(1_000_000)) < share * 1_000_000))
+    if missing := sorted(set(sizes) - {r["lang"] for r in rows}):
+        rows += pick(known.where(F.col("lang").isin(missing)))
+    return [(r["lang"], r["text"]) for r in rows]
+
+
+def fit(documents: DataFrame, train: Column) -> LanguageModel:
+    """Learn from a bounded sample of the rows of (doc_id, text, lang) where `train` holds."""
     letters = letter_table()
-    counted = [(r["lang"], c, r["text"]) for r in rows if (c := n_gram_counts(r["text"], letters)) is not None]
+    counted = [(lang, c, text) for lang, text in sample(documents, train) if (c := n_gram_counts(text, letters)) is not None]
     if not counted:
         return LanguageModel([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), {})
     counts = np.array([c for _, c, _ in counted])
@@ -147,17 +170,14 @@ def fit(documents: DataFrame, train: Column) -> LanguageModel:
 
 def identify(documents: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """`documents` with lang_pred, score and rejected, from the text alone."""
-    documents = documents.drop("lang_pred", "score", "rejected")
-    schema = documents.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
     shipped = documents.sparkSession.sparkContext.broadcast((model.languages, model.centroids, model.idf, model.floor))
 
-    def predict(batches: Iterator):
-        letters, model = letter_table(), LanguageModel(*shipped.value)
-        for batch in batches:
-            found = [model.predict(x, letters) for x in batch[text]]
-            yield batch.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], rejected=[x[2] for x in found])
+    def predict(parts: Iterator):
+        letters, model = in_worker("letters", letter_table), LanguageModel(*shipped.value)
+        for texts in parts:
+            yield pd.DataFrame([model.predict(x, letters) for x in texts], columns=["lang_pred", "score", "rejected"])
 
-    return documents.mapInPandas(predict, schema)
+    return from_text(documents, text, "lang_pred string, score double, rejected boolean", predict)
 
 
 def held_out() -> Column:

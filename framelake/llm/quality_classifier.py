@@ -6,8 +6,12 @@ score is a sparse dot product: the mean of the weights at the text's features. W
 on a bounded sample of labelled rows and are re-weighted to the labels' true shares.
 
 Null and empty texts score by the bias alone. Labels that are null, or neither 0 nor 1, teach nothing; a doc_id with several
-labels teaches its highest. Without both labels to learn from, all texts score the share of label 1 (0.5 with none).
-Repeated rows and extra columns are kept, a column named score is replaced. Texts are read whole.
+labels teaches its highest, one with several texts the first of them. Without texts of both labels to learn from, all texts score the share of
+label 1, kept within 0.05 and 0.95 (0.5 with no label). Repeated rows and extra columns are kept, a column named score is replaced. Texts are
+scored whole.
+
+The sample is bounded in number and length: SAMPLE_PER_LABEL documents of each label, picked by a hash of the id; a longer text teaches by a
+piece of SAMPLE_CHARS.
 """
 
 from __future__ import annotations
@@ -16,15 +20,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_fold, table, text_bytes
+from .common import Memo, crc_fold, from_text, table
 
 BITS = 18
-SAMPLE_PER_LABEL = 2500  # labelled texts of each label, about; bounds what the driver holds
-SAMPLE_BYTES = 30_000  # longer texts are not used to fit (they are still scored whole)
+SAMPLE_PER_LABEL = 2500  # labelled texts of each label
+SAMPLE_CHARS = 20_000
 EPOCHS = 3
 SCALE = 10.0
 SHAPE = bytes(65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else 97 if 97 <= i <= 122 or i >= 128 else i for i in range(256))
@@ -94,36 +99,36 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column) -> np.ndarray:
     """Learn from (doc_id, text) and (doc_id, quality) rows where `usable`, a condition on doc_id, holds."""
     own = labels.where(usable & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    if len(sizes) < 2:
-        flat = np.zeros((1 << BITS) + 1)
-        flat[-1] = {(): 0.0, (0,): -3.0, (1,): 3.0}[tuple(sizes)]
+    total, hash_ = sum(sizes.values()), F.xxhash64("doc_id", F.lit(7))
+    share = F.when(F.col("quality") == 1, min(1.0, 4 * SAMPLE_PER_LABEL / sizes.get(1, 1))).otherwise(min(1.0, 4 * SAMPLE_PER_LABEL / sizes.get(0, 1)))
+    rank = F.row_number().over(Window.partitionBy("quality").orderBy(hash_, "doc_id"))  # of about four times as many rows as are taken
+    sample = own.where(F.pmod(hash_, F.lit(1_000_000)) < share * 1_000_000).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LABEL).drop("rank")
+    start = F.pmod(hash_, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
+    texts = documents.where("text is not null").select("doc_id", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).cast("binary").alias("text"))
+    found = texts.join(F.broadcast(sample), "doc_id")  # at most 2 * SAMPLE_PER_LABEL rows
+    rows = [(bytes(r["text"]), r["quality"]) for r in found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
+    taken = {q: sum(r[1] == q for r in rows) for q in (0, 1)}
+    if not all(taken.values()):
+        flat, likely = np.zeros((1 << BITS) + 1), min(0.95, max(0.05, sizes.get(1, 0) / total)) if total else 0.5
+        flat[-1] = np.log(likely / (1 - likely))
         return flat
-    share = F.when(F.col("quality") == 1, min(1.0, SAMPLE_PER_LABEL / sizes[1])).otherwise(min(1.0, SAMPLE_PER_LABEL / sizes[0]))
-    sample = own.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)  # bounded by SAMPLE_PER_LABEL
-    texts = documents.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", text_bytes().alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").select("text", "quality").collect()
-    rows = [(bytes(r["text"]), r["quality"]) for r in rows]
-    taken = {q: sum(r[1] == q for r in rows) for q in sizes}
-    return train(rows, {q: sizes[q] / total / max(taken[q] / max(len(rows), 1), 1e-9) for q in sizes})
+    return train(rows, {q: sizes[q] / total / (taken[q] / len(rows)) for q in (0, 1)})
 
 
 def score(documents: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """`documents` with `score`, the likelihood of label 1, from the text alone."""
-    documents = documents.drop("score")
-    schema = documents.select("*", F.lit(0.0).alias("score")).schema
     shipped = documents.sparkSession.sparkContext.broadcast(weights)
 
-    def rate(batches: Iterator):
+    def rate(parts: Iterator):
         w, codes = shipped.value, Memo(word_codes)
-        for batch in batches:
+        for texts in parts:
             out = []
-            for x in batch[text]:
-                found, n = features(x.encode() if isinstance(x, str) else b"", codes)
+            for x in texts:
+                found, n = features(x.encode(errors="replace") if isinstance(x, str) else b"", codes)
                 out.append(sigmoid(w[-1] + (SCALE * float(w[found].sum()) / n if n else 0.0)))
-            yield batch.assign(score=out)
+            yield pd.DataFrame({"score": out})
 
-    return documents.mapInPandas(rate, schema)
+    return from_text(documents, text, "score double", rate)
 
 
 def held_out() -> Column:

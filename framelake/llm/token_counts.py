@@ -18,11 +18,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
+from .common import Memo, from_text, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -90,15 +91,13 @@ class PieceCounter:
 
 def count_tokens(documents: DataFrame, model_path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """`documents` with the token count of every whole text in a column `out`."""
-    documents = documents.drop(out)
-    schema = documents.select("*", F.lit(0).cast("bigint").alias(out)).schema
 
-    def count(batches: Iterator):
+    def count(parts: Iterator):
         counter = PieceCounter(model_path)
-        for batch in batches:
-            yield batch.assign(**{out: [counter.count(x) if isinstance(x, str) else 0 for x in batch[text]]})
+        for texts in parts:
+            yield pd.DataFrame({out: [counter.count(x) if isinstance(x, str) else 0 for x in texts]})
 
-    return documents.mapInPandas(count, schema)
+    return from_text(documents, text, f"{out} bigint", count)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
