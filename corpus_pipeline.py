@@ -18,15 +18,18 @@ from framelake.llm.common import materialize, table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter and texts far from every language go."""
     model = language_id.fit(docs, F.lit(True))
-    slim = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("whole")), model, "whole")
-    return slim.where(~F.col("rejected")).select("doc.*")
+    return language_id.identify(whole(docs), model, "text").where(~F.col("rejected")).select("doc.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier puts in label 1."""
     weights = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = quality_classifier.score(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("whole")), weights, "whole")
-    return scored.where(F.col("score") >= 0.5).select("doc.*")
+    return quality_classifier.score(whole(docs), weights, "text").where(F.col("score") >= 0.5).select("doc.*")
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """(doc, text): the row as one column, so that no name of it clashes with a result."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), "text")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
