@@ -5,31 +5,41 @@
 2. The distinct pre-tokens of all blocks are shuffled by their hash. Equal ones meet, each is encoded once,
    and its ids go back to every block that holds it.
 3. Blocks join their ids and put the documents together by position.
-4. Decoding joins the token-byte table, whose size is that of the vocabulary.
+4. Decoding looks every id up in the token-byte table, whose size is that of the vocabulary: a broadcast join that
+   runs on packed arrays in the worker, as a row for each id would be many times the input.
 
 Word lists and positions travel compressed, a row for each block and share of the hash space, so that a word
-that stands in every document is one entry of each block: no key can grow hot.
+that stands in every document is one entry of each block: no key can grow hot. (A share of more distinct words than the
+worker's memory of WORD_BYTES holds encodes some of them again.)
 
 Null and empty texts have no ids and decode to nothing. Rows are carried through, never looked up by doc_id:
-repeated and null ids are kept. Extra columns are dropped. Texts are encoded whole.
+repeated and null ids are kept. Extra columns are dropped. Texts are encoded whole. The documents are read twice and must come in the
+same order both times, as files do; blocks carry a mark of their words, and a job whose marks differ fails.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
+import re
+import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
+from .common import Memo, in_worker, table, tidied
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_CHARS = 10_000_000  # text of a block: bounds the memory of steps 1 and 3
+BLOCK_CHARS, BLOCK_DOCS = 8_000_000, 100_000  # text and rows of a block: bound the memory of steps 1 and 3
+WORD_BYTES = 128 << 20
 LEAST_SHARES = 64  # shares of the hash space that a block's words are dealt into; as many as shuffle partitions, if these are more
 
 
@@ -78,47 +88,72 @@ def merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def split_blocks(documents: DataFrame, pattern: str, shares: int = LEAST_SHARES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of step 1. share -1: a document's positions (word numbers as packed 32-bit integers); else the words of that share."""
+# The classes of public_tokenizers.PATTERN among the characters of Latin-1.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
-    def split(batches: Iterator):
-        import pandas as pd
-        import regex
 
-        pre_tokens = regex.compile(pattern)
-        task, count = TaskContext.get().partitionId(), 0
+def splitter(pattern: str):
+    """A function from a text to its pre-tokens; texts of Latin-1 go by the faster standard library where the pattern is the public one."""
+    import regex
+
+    general = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return general
+    latin = re.compile(LATIN).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return latin(text)
+
+    return split
 
-        def block(docs: list, parts: list[np.ndarray], number: dict[str, int]):
+
+def split_blocks(documents: DataFrame, pattern: str, shares: int, positions: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of step 1: of each document its positions (numbers of its block's words, packed), or of each block and share its words."""
+
+    def split(batches: Iterator):
+        cut, task, count = splitter(pattern), TaskContext.get().partitionId(), 0
+
+        def block(docs: list, parts: list, number: dict[str, int]) -> pd.DataFrame:
             nonlocal count
-            at = (task << 20) + count
+            at = (task << 24) + count
             count += 1
             words = [w.encode() for w in number]
+            mark = xxhash.xxh3_64_intdigest(b"\n".join(words)) - (1 << 63)
             share = np.fromiter((zlib.crc32(w) % shares for w in words), np.int64, len(words))
-            rank = np.empty(len(words), np.int64)  # numbers in the order in which the shares list the words
-            order = np.argsort(share, kind="stable")
-            rank[order] = np.arange(len(words))
-            rows = [(at, -1, d, len(p), zlib.compress(rank[p].astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)) for d, p in zip(docs, parts, strict=True)]
-            edges = np.searchsorted(share[order], np.arange(shares + 1))
+            order = np.argsort(share, kind="stable")  # words are numbered in the order in which the shares list them
+            if positions:
+                rank = np.empty(len(words), np.int64)
+                rank[order] = np.arange(len(words))
+                rows = [(at, mark, d, len(p), zlib.compress(rank[p].astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)) for d, p in zip(docs, parts, strict=True)]
+                return pd.DataFrame(rows, columns=["block", "mark", "doc_id", "n", "packed"]).astype({"doc_id": "Int64"})
+            edges, rows = np.searchsorted(share[order], np.arange(shares + 1)), []
             for s in range(shares):
                 own = [words[i] for i in order[edges[s] : edges[s + 1]]]
                 sizes = np.fromiter(map(len, own), "<u4", len(own)).tobytes()
-                rows.append((at, s, None, len(own), zlib.compress(sizes + b"".join(own), 1)))
-            return pd.DataFrame(rows, columns=["block", "share", "doc_id", "n", "packed"]).astype({"doc_id": "Int64"})
+                rows.append((at, mark, s, len(own), zlib.compress(sizes + b"".join(own), 1)))
+            return pd.DataFrame(rows, columns=["block", "mark", "share", "n", "packed"])
 
-        docs, parts, number, chars = [], [], {}, 0
+        docs, parts, number, chars = [], [], defaultdict(itertools.count().__next__), 0
         for batch in batches:
             for doc, value in zip(batch[doc_id].astype("Int64"), batch[text], strict=True):
-                words = pre_tokens.findall(value) if isinstance(value, str) else []
+                words = cut(value) if isinstance(value, str) else []
+                found = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
                 docs.append(doc)
-                parts.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words)))
+                parts.append(found if positions else None)
                 chars += len(words) and len(value)
-                if chars >= BLOCK_CHARS:
+                if chars >= BLOCK_CHARS or len(docs) >= BLOCK_DOCS:
                     yield block(docs, parts, number)
-                    docs, parts, number, chars = [], [], {}, 0
+                    docs, parts, number, chars = [], [], defaultdict(itertools.count().__next__), 0
         if docs:
             yield block(docs, parts, number)
 
-    return documents.select(doc_id, text).mapInPandas(split, "block bigint, share int, doc_id bigint, n bigint, packed binary")
+    kind = "doc_id bigint" if positions else "share int"
+    return documents.select(doc_id, text).mapInPandas(tidied(split), f"block bigint, mark bigint, {kind}, n bigint, packed binary")
 
 
 def unpack_words(packed: bytes, n: int) -> list[bytes]:
@@ -134,54 +169,62 @@ def unpack_words(packed: bytes, n: int) -> list[bytes]:
 def encode(documents: DataFrame, rank_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of (doc_id, text); ids are packed little-endian unsigned 32-bit integers."""
     shares = max(LEAST_SHARES, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Split twice, for words and for positions: a block's number and word order follow from its input alone, and the rows of
-    # step 1 are as large as the input, so that writing them would cost more than splitting again.
-    rows = split_blocks(documents, pattern, shares)
-    words, docs = rows.where("share >= 0"), rows.where("share < 0")
+    # The rows of step 1 are as large as the input: to write them would cost more than to split twice, for words and for positions.
+    words, docs = (split_blocks(documents, pattern, shares, positions) for positions in (False, True))
+
+    def ranked() -> tuple[dict[bytes, int], str]:
+        ranks = in_worker(f"ranks {rank_path}", lambda: read_ranks(rank_path))
+        return ranks, "H" if max(ranks.values(), default=0) < 1 << 16 else "I"
 
     def encode_share(batches: Iterator):
-        import pandas as pd
+        ranks, code = ranked()
+
+        def ids_of(word: bytes) -> bytes:
+            ids = merge_word(word, ranks)
+            return struct.pack(f"<{len(ids)}{code}", *ids)
 
-        ranks = read_ranks(rank_path)
-        once = Memo(lambda w: np.asarray(merge_word(w, ranks), "<u2" if len(ranks) <= 65536 else "<u4").tobytes(), 500_000)
+        once = Memo(ids_of, WORD_BYTES)
         for batch in batches:
             out = []
-            for block, share, n, packed in zip(batch["block"], batch["share"], batch["n"], batch["packed"], strict=True):
+            for block, mark, share, n, packed in batch[["block", "mark", "share", "n", "packed"]].itertuples(index=False):
                 ids = [once[w] for w in unpack_words(packed, n)]
                 sizes = np.fromiter(map(len, ids), "<u4", n).tobytes()
-                out.append((block, share, n, zlib.compress(sizes + b"".join(ids), 1)))
-            yield pd.DataFrame(out, columns=["block", "share", "n", "packed"])
+                out.append((block, mark, share, n, zlib.compress(sizes + b"".join(ids), 1)))
+            yield pd.DataFrame(out, columns=["block", "mark", "share", "n", "packed"])
 
     # Equal words lie in equal shares, so a share is the unit of the shuffle; its rows stay small and many.
-    encoded = words.select("block", "share", "n", "packed").repartition(shares, "share").mapInPandas(encode_share, "block bigint, share int, n bigint, packed binary")
-    width = 2
+    encoded = words.repartition(shares, "share").mapInPandas(tidied(encode_share), "block bigint, mark bigint, share int, n bigint, packed binary")
 
     def assemble(key, positions, ids):
-        import pandas as pd
-
-        table = []
+        if {*positions["mark"]} != {*ids["mark"]}:
+            raise ValueError("the documents came in another order when they were read again: write them out first")
+        code, table = f"<{ranked()[1]}", []
         for n, packed in ids.sort_values("share")[["n", "packed"]].itertuples(index=False):
             table += unpack_words(packed, n)
         rows = []
         for doc, n, packed in zip(positions["doc_id"].astype("Int64"), positions["n"], positions["packed"], strict=True):
             raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T if n else np.zeros((0, 4), np.uint8)
             numbers = np.ascontiguousarray(raw).view("<u4").ravel().tolist()
-            two = b"".join(map(table.__getitem__, numbers))
-            rows.append((doc, len(two) // width, np.frombuffer(two, "<u2").astype("<u4").tobytes()))
+            found = np.frombuffer(b"".join(map(table.__getitem__, numbers)), code)
+            rows.append((doc, len(found), found.astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
 
-    return docs.select("block", "doc_id", "n", "packed").groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id bigint, n_tokens bigint, ids binary")
+    return docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """`encoded` (doc_id, n_tokens, ids) with the bytes of its ids in `decoded`, from the token-byte table."""
 
-    def join_bytes(batches: Iterator):
-        of = {i: b for b, i in read_ranks(rank_path).items()}
-        for batch in batches:
-            yield batch.assign(decoded=[b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch["ids"]])
+    def token_bytes() -> list[bytes]:
+        known = {i: b for b, i in read_ranks(rank_path).items()}
+        return [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+
+    def join_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = in_worker(f"bytes {rank_path}", token_bytes)
+        for ids in parts:
+            yield pd.Series([b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids])
 
-    return encoded.mapInPandas(join_bytes, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+    return encoded.withColumn("decoded", F.pandas_udf(join_bytes, "binary")("ids"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
