@@ -2,8 +2,8 @@
 
 On the unit sphere cosine >= c is a Euclidean distance of at most r = sqrt(2 - 2c). Pivots cut the vectors into cells, each
 vector at home with its nearest pivot. By the triangle inequality a vector v can have a partner at home in cell j only
-if d(v, p_j) - d(v, p_home) <= 2r, and, the pairs' bisector being a plane, only if v is within r of it; v is copied to such cells.
-So every partner of a vector is in the vector's home cell, cells join independently, and each counts the links of its own vectors.
+if d(v, p_j) - d(v, p_home) <= 2r, and, the pairs' bisector being a plane, only if v is within r of it; v is copied to such cells, of lower
+number than its home. So every linked pair meets once, in the home cell of one of the two; cells join independently and count for both.
 
 Vectors of equal direction (equal doubles after scaling, signed zeros as zero) are one class with a multiplicity. Cells with many members are cut into blocks that meet pairwise. A block returns
 counts and a spanning forest of its links, never its pairs. Pivots are a sample whose size follows the number of vectors up to a
@@ -19,15 +19,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, runs, table
+from .common import connected_components, discard, materialize, runs, table, tidied
 
 THRESHOLD = 0.95
 MOST_PIVOTS = 256
 PER_CELL = 2500  # vectors to a pivot, while there are fewer than MOST_PIVOTS; vectors of no clear neighbourhood are copied to most cells
-HOME_BLOCK, BLOCK = 1000, 4000  # vectors at home and members of a cell that meet in one comparison
+HOME_BLOCK, BLOCK = 2000, 6000  # vectors at home and members of a cell that meet in one comparison
 SLICE = 500
 SLACK = 1e-9
 
@@ -96,8 +97,6 @@ def cells(units: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> Dat
                     yield deal_slice(own.iloc[at : at + SLICE], size, *known[size])
 
     def deal_slice(batch, size, p, between):
-        import pandas as pd
-
         x = np.frombuffer(b"".join(batch["unit"])).reshape(len(batch), -1)
         square = np.maximum(0, 2 - 2 * x @ p.T)
         d = np.sqrt(square)
@@ -105,17 +104,16 @@ def cells(units: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> Dat
         own = np.arange(len(x)), home
         plane = (square - square[own][:, None]) / np.maximum(2 * between[home], SLACK)
         reach = (d - d[own][:, None] <= 2 * radius + SLACK) & (plane <= radius + SLACK)
+        reach &= np.arange(len(p)) < home[:, None]  # the other one of a pair comes here, if it lives in a cell of higher number
         reach[own] = True
         i, cell = np.nonzero(reach)
         return pd.DataFrame({"cell": (size << 16) + cell, "home": cell == home[i], "rep": batch["rep"].to_numpy()[i], "many": batch["many"].to_numpy()[i], "unit": batch["unit"].to_numpy()[i]})
 
-    return units.mapInPandas(deal, "cell bigint, home boolean, rep bigint, many bigint, unit binary")
+    return units.mapInPandas(tidied(deal), "cell bigint, home boolean, rep bigint, many bigint, unit binary")
 
 
 def stars(hit: np.ndarray, ids: np.ndarray, other: np.ndarray):
     """Edges (u, v) that join what a block's links join: of each component of the matrix a star on its smallest id."""
-    import pandas as pd
-
     found, row_seen = [], np.zeros(len(ids), np.bool_)
     for i in np.flatnonzero(hit.any(axis=1)).tolist():
         if row_seen[i]:
@@ -138,33 +136,39 @@ def link_blocks(members: DataFrame, threshold: float) -> DataFrame:
     """(u, v, n): counts (v null) and forest edges (n null) of each pair of blocks. Rows are dealt and sorted by cell, bi, bj."""
 
     def links(batches: Iterator):
-        import pandas as pd
-
+        none = lambda n: pd.array([None] * n, "Int64")
         for block in runs(batches, ["cell", "bi", "bj"]):
             a, b = block[block["left"]], block[~block["left"]]
             if not len(a) or not len(b):
                 continue
             x, y = (np.frombuffer(b"".join(part["unit"])).reshape(len(part), -1) for part in (a, b))
-            ids, other, many = a["rep"].to_numpy(), b["rep"].to_numpy(), b["many"].to_numpy()
-            cosine = x @ y.T
-            i, j = np.nonzero(cosine >= threshold - SLACK)
-            near = cosine[i, j]
-            edge = np.flatnonzero(near < threshold + SLACK)
-            ok = near >= threshold
-            ok[edge] = [float(np.dot(x[i[e]], y[j[e]])) >= threshold for e in edge]
-            itself = (ids[i] == other[j]) & (a["key"].to_numpy()[i] == b["key"].to_numpy()[j])
-            i, j, itself = i[ok | itself], j[ok | itself], itself[ok | itself]
-            counts = np.bincount(i, weights=many[j], minlength=len(a)).astype(np.int64)
-            yield pd.DataFrame({"u": a["key"].to_numpy(), "v": pd.array([None] * len(a), "Int64"), "n": counts})
-            if itself.all():
-                continue
-            hit = np.zeros(cosine.shape, np.bool_)
-            hit[i[~itself], j[~itself]] = True
-            edges = stars(hit, ids, other)
-            if len(edges):
-                yield edges.assign(n=pd.array([None] * len(edges), "Int64"))
-
-    return members.mapInPandas(links, "u bigint, v bigint, n bigint")
+            found, key, other_key = [], a["key"].to_numpy(), b["key"].to_numpy()
+            ids, other = a["rep"].to_numpy(), b["rep"].to_numpy()
+            for at in range(0, len(x), SLICE):
+                cosine = x[at : at + SLICE] @ y.T
+                i, j = np.nonzero(cosine >= threshold - SLACK)
+                near = cosine[i, j]
+                i += at
+                ok, itself = near >= threshold, (ids[i] == other[j]) & (key[i] == other_key[j])
+                edge = np.flatnonzero(near < threshold + SLACK)
+                ok[edge] = [float(np.dot(x[i[e]], y[j[e]])) >= threshold for e in edge]
+                found.append((i[ok | itself], j[ok | itself], itself[ok | itself]))
+            i, j, itself = (np.concatenate(part) for part in zip(*found, strict=True))
+            counts = np.bincount(i, weights=b["many"].to_numpy()[j], minlength=len(a)).astype(np.int64)
+            yield pd.DataFrame({"u": key, "v": none(len(a)), "n": counts})
+            guest = ~b["home"].to_numpy()[j]  # a guest meets its partner here only
+            if guest.any():
+                counts = np.bincount(j[guest], weights=a["many"].to_numpy()[i[guest]], minlength=len(b)).astype(np.int64)
+                yield pd.DataFrame({"u": other_key[counts > 0], "v": none(int((counts > 0).sum())), "n": counts[counts > 0]})
+            i, j = i[~itself], j[~itself]
+            if len(i):
+                rows, columns = np.unique(i), np.unique(j)
+                hit = np.zeros((len(rows), len(columns)), np.bool_)
+                hit[np.searchsorted(rows, i), np.searchsorted(columns, j)] = True
+                edges = stars(hit, ids[rows], other[columns])
+                yield edges.assign(n=none(len(edges)))
+
+    return members.mapInPandas(tidied(links), "u bigint, v bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,22 +176,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     spark = vectors.sparkSession
     keyed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     units = unit(keyed).withColumn("key", F.xxhash64("unit"))
-    units = materialize(units, "units")
+    kept, written = [], []
+    units = materialize(units, "units", kept)
     pivots = choose_pivots(units)
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(cells(units.select("rep", "many", "unit"), pivots, radius), "cells")
+    dealt = materialize(cells(units.select("rep", "many", "unit"), pivots, radius), "cells", written)
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if(F.col("home")) / HOME_BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = dealt.join(sizes.where("homes > 0"), "cell").withColumn("key", F.xxhash64("unit"))
     block = lambda n: F.pmod(F.xxhash64("unit"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.where("home").select("cell", block("homes").alias("bi"), each("blocks").alias("bj"), F.lit(True).alias("left"), "key", "rep", "many", "unit")
-    right = placed.select("cell", each("homes").alias("bi"), block("blocks").alias("bj"), F.lit(False).alias("left"), "key", "rep", "many", "unit")
+    left = placed.where("home").select("cell", block("homes").alias("bi"), each("blocks").alias("bj"), F.lit(True).alias("left"), "home", "key", "rep", "many", "unit")
+    right = placed.select("cell", each("homes").alias("bi"), block("blocks").alias("bj"), F.lit(False).alias("left"), "home", "key", "rep", "many", "unit")
     by_block = ["cell", "bi", "bj"]
-    found = materialize(link_blocks(left.union(right).repartition(parts, *by_block).sortWithinPartitions(*by_block), threshold), "links")
+    found = materialize(link_blocks(left.union(right).repartition(parts, *by_block).sortWithinPartitions(*by_block), threshold), "links", kept)
     counts = found.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     edges = found.where("v is not null and u is not null").select("u", "v")
-    components = materialize(connected_components(edges), "components")
+    components = materialize(connected_components(edges), "components", kept)
+    discard(spark, written)
     named = units.select("rep", "key").join(counts, "key").join(components, F.col("rep") == components["node"], "left").select("key", (F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     return attach(rows, named)
