@@ -103,26 +103,26 @@ def inverted_cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> Triple:
 
 
 def rgb_to_hsl(r: Column, g: Column, b: Column) -> Triple:
-    """Hue in [0, 1] by sextants; grey has no hue and saturation, a lightness of 0 or less leaves all at 0."""
-    v, m = F.greatest(r, g, b), F.least(r, g, b)
-    light, span = (m + v) / 2, v - m
-    div = F.when(light <= 0.5, v + m).otherwise(2 - v - m)
-    div = F.when(F.abs(div) < 1e-15, F.lit(1e-15)).otherwise(div)
-    r2, g2, b2 = (v - r) / span, (v - g) / span, (v - b) / span
-    hue = F.when(r == v, F.when(g == m, 5 + b2).otherwise(1 - g2)).when(g == v, F.when(b == m, 1 + r2).otherwise(3 - b2)).otherwise(F.when(r == m, 3 + g2).otherwise(5 - r2)) / 6
+    """Hue in (0, 1] from the signed difference of the two lesser channels; pure red has hue 1. Grey, and a lightness of 0 or less, have neither hue nor
+    saturation."""
+    top = F.greatest(r, g, b)
+    span, light = top - F.least(r, g, b), (top + F.least(r, g, b)) / 2
+    turn = F.when(r == top, (g - b) / span + F.when(g > b, 0.0).otherwise(6.0)).when(g == top, (b - r) / span + 2).otherwise((r - g) / span + 4)
+    room = 1 - F.abs(2 * light - 1)
     colour = (light > 0) & (span > 0)
-    return F.when(colour, hue).otherwise(0.0), F.when(colour, span / div).otherwise(0.0), light
+    return F.when(colour, turn / 6).otherwise(0.0), F.when(colour, span / F.when(F.abs(room) < 1e-15, 1e-15).otherwise(room)).otherwise(0.0), light
 
 
 def hsl_to_rgb(h: Column, s: Column, light: Column) -> Triple:
-    v = F.when(light <= 0.5, light * (1 + s)).otherwise(light + s - light * s)
-    m = light + light - v
-    h6 = h * 6
-    sextant = h6.cast("int")
-    step = (v - m) * (h6 - sextant)
-    up, down = m + step, v - step
-    pick = lambda *o: F.when(v > 0, F.when(sextant == 0, o[0]).when(sextant == 1, o[1]).when(sextant == 2, o[2]).when(sextant == 3, o[3]).when(sextant == 4, o[4]).when(sextant == 5, o[5]).otherwise(light)).otherwise(light)
-    return pick(v, down, m, m, up, v), pick(up, v, v, down, m, m), pick(m, m, up, v, v, down)
+    """Each channel is the lightness less a trapezoid of the hue. A hue of 1 or more, or a colour that would be black, gives the lightness as grey."""
+    reach = s * F.least(light, 1 - light)
+
+    def channel(offset: float) -> Column:
+        k = (offset + 12 * h) % 12.0
+        return light - reach * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+
+    plain = (light + reach <= 0) | (h >= 1)
+    return tuple(F.when(plain, light).otherwise(channel(offset)) for offset in (0.0, 8.0, 4.0))
 
 
 def to_float(c: Column, bits: int) -> Column:

@@ -136,8 +136,9 @@ def receptor(c: Column, sigma: Column) -> Column:
     return F.pow(c, F.lit(RESPONSE)) / (F.pow(c, F.lit(RESPONSE)) + F.pow(sigma, F.lit(RESPONSE)))
 
 
-def tm_pattanaik(df: DataFrame, multiplier: float = 1.0, cone: float | None = None, rod: float | None = None) -> DataFrame:
-    """Visual adaptation of a whole frame: to five times its log-average, or to the given cone and rod luminances; black pixels stay black."""
+def tm_pattanaik(df: DataFrame, multiplier: float = 1.0, cone: float | None = None, rod: float | None = None, local: str | None = None) -> DataFrame:
+    """Visual adaptation of a whole frame: to five times its log-average, or to the given cone and rod luminances; black pixels stay black.
+    `local` names a column of adaptation luminances: receptors then adapt by it, the display by the whole frame."""
     lum = luminance(df.withColumns({c: F.col(c) * multiplier for c in RGB}))
     s = lum.groupBy("frame_id").agg((5.0 * F.exp(F.avg(F.ln(F.col("lum") + 2.3e-5)))).alias("auto"))
     s = s.select("frame_id", *[(F.lit(float(v)) if v is not None else F.col("auto")).alias(n) for n, v in (("ac", cone), ("ar", rod))])
@@ -152,6 +153,8 @@ def tm_pattanaik(df: DataFrame, multiplier: float = 1.0, cone: float | None = No
         "stretch": F.when(above | below, F.least(ratio, F.lit(1.0))).otherwise(1.0), "colour": (F.col("shown_white") - F.col("shown_dark")) / math.log10(WHITE * DARK),
     })
     at = with_stats(lum, s)
+    if local:
+        at = at.withColumns({"bc": 2e6 / (2e6 + F.col(local)), "br": 0.04 / (0.04 + F.col(local)), "sc": cone_sigma(F.col(local)), "sr": rod_sigma(F.col(local))})
     n, y = F.lit(RESPONSE), F.col("lum")
     rods, cones = F.col("br") * receptor(y, F.col("sr")), F.col("bc") * receptor(y, F.col("sc"))
     at = at.withColumns({"all": rods + cones, "rods": rods / (rods + cones), "cones": cones / (rods + cones)})

@@ -5,10 +5,11 @@ All exposures of a pixel meet once, on (scene, x, y); the darker exposure is fou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from .luts import bin_lookup
 from .pixels import RGB
 
 PIXEL = ["scene_id", "x", "y"]
@@ -41,7 +42,11 @@ def assign_brackets(files: DataFrame, n: int) -> DataFrame:
 
 
 def validate_brackets(bracketed: DataFrame, n: int) -> DataFrame:
-    return bracketed.groupBy("folder_id", "bracket").agg(F.count("*").alias("files"), F.countDistinct("orientation").alias("kinds"), (F.count("*") == n).alias("whole"))
+    """Files of each bracket, the number of different frame sizes among them (quarter turns swap width and height), and whether it is whole and of one size."""
+    turned = F.col("orientation").isin(6, 8)
+    size = F.struct(F.when(turned, F.col("height")).otherwise(F.col("width")).alias("w"), F.when(turned, F.col("width")).otherwise(F.col("height")).alias("h"))
+    sizes = F.countDistinct(size)
+    return bracketed.groupBy("folder_id", "bracket").agg(F.count("*").alias("files"), sizes.alias("sizes"), ((F.count("*") == n) & (sizes == 1)).alias("valid"))
 
 
 def rank_exposures(stack: DataFrame) -> DataFrame:
@@ -54,34 +59,59 @@ def rank_exposures(stack: DataFrame) -> DataFrame:
 
 
 def darker_samples(stack: DataFrame) -> DataFrame:
-    """Every sample with its time and the next darker time and samples of the same pixel."""
-    s = stack.withColumn("time", F.pow(F.lit(2.0), F.col("ev")))
-    w = Window.partitionBy(*PIXEL).orderBy("time")
-    return s.withColumns({"dark_time": F.lag("time").over(w), **{f"dark_{c}": F.lag(c).over(w) for c in RGB}})
-
-
-def merge_debevec(stack: DataFrame, weight: str = "triangular", response: str = "linear") -> DataFrame:
+    """Every sample with its time and the time and samples of the next strictly darker exposure of the same pixel; of equal ones the last in number."""
+    s = stack.withColumns({"time": F.pow(F.lit(2.0), F.col("ev")), "_step": F.round(F.col("ev") * 1e6).cast("bigint")})
+    before = Window.partitionBy(*PIXEL).orderBy("_step").rangeBetween(Window.unboundedPreceding, -1)
+    dark = F.max(F.struct("_step", "exposure_idx", "time", *RGB)).over(before)
+    return s.withColumn("_dark", dark).select(*stack.columns, "time", F.col("_dark.time").alias("dark_time"), *[F.col(f"_dark.{c}").alias(f"dark_{c}") for c in RGB])
+
+
+def with_response(samples: DataFrame, response: str | DataFrame) -> DataFrame:
+    """`samples` of darker_samples with res_<c>, dark_res_<c> and top_<c>, the response at full scale. A table (channel, bin, value), by scene_id too if it
+    has one, is a custom response: a look-up by bin."""
+    if isinstance(response, str):
+        made = {f"{p}res_{c}": color.response(F.col(f"{p}{c}"), response) for c in RGB for p in ("", "dark_")}
+        return samples.withColumns(made | {f"top_{c}": color.response(F.lit(1.0), response) for c in RGB})
+    keys = ["scene_id"] if "scene_id" in response.columns else []
+    for c in RGB:
+        own = response.where(F.col("channel") == c).drop("channel")
+        for p in ("", "dark_"):
+            samples = bin_lookup(samples, f"{p}{c}", own, f"{p}res_{c}", keys)
+        top = own.where(F.col("bin") == color.BINS - 1).select(*keys, F.col("value").alias(f"top_{c}"))
+        samples = samples.join(top, keys) if keys else samples.withColumn(f"top_{c}", F.lit(top.first()[f"top_{c}"]))
+    return samples
+
+
+def merge_debevec(stack: DataFrame, weight: str = "triangular", response: str | DataFrame = "linear") -> DataFrame:
     """Weighted mean of ln(response) - ln(time), weights suppressed where the darker exposure shows saturation."""
-    top = color.response(F.lit(1.0), response)
-    d = darker_samples(stack)
+    d = with_response(darker_samples(stack), response)
     w = sum(color.weight(F.col(c), weight) for c in RGB) / 3.0
-    kept = F.least(F.lit(1.0), *[1 - F.pow(F.col("time") / F.col("dark_time") * color.response(F.col(f"dark_{c}"), response) / top, F.lit(4.0)) for c in RGB])
+    kept = F.least(F.lit(1.0), *[1 - F.pow(F.col("time") / F.col("dark_time") * F.col(f"dark_res_{c}") / F.col(f"top_{c}"), F.lit(4.0)) for c in RGB])
     d = d.withColumn("w", F.when(F.col("dark_time").isNull(), F.greatest(w, F.lit(1e-6))).otherwise(w * F.greatest(F.lit(0.0), kept)))
-    logs = lambda c: F.sum(F.col("w") * (F.ln(color.response(F.col(c), response)) - F.ln("time")))
+    logs = lambda c: F.sum(F.col("w") * (F.ln(f"res_{c}") - F.ln("time")))
     return d.groupBy(*PIXEL).agg(*[F.exp(logs(c) / F.sum("w")).alias(c) for c in RGB])
 
 
-def merge_robertson(stack: DataFrame, weight: str = "triangular", response: str = "linear") -> DataFrame:
-    """sum(w r) / sum(w t) for each channel, with the same suppression; 0 where no weight is left."""
-    top = color.response(F.lit(1.0), response)
-    d = darker_samples(stack)
+def robertson_weight(c: str, weight: str) -> Column:
+    """Weight of a sample of channel c, suppressed where the darker exposure shows saturation; never 0 in the darkest exposure."""
+    w = color.weight(F.col(c), weight)
+    left = F.greatest(F.lit(0.0), 1 - F.pow(F.col("time") / F.col("dark_time") * F.col(f"dark_res_{c}") / F.col(f"top_{c}"), F.lit(4.0)))
+    return F.when(F.col("dark_time").isNull(), F.greatest(w, F.lit(1e-6))).otherwise(w * left)
+
 
-    def part(c: str):
-        w = color.weight(F.col(c), weight)
-        left = F.greatest(F.lit(0.0), 1 - F.pow(F.col("time") / F.col("dark_time") * color.response(F.col(f"dark_{c}"), response) / top, F.lit(4.0)))
-        return F.when(F.col("dark_time").isNull(), F.greatest(w, F.lit(1e-6))).otherwise(w * left)
+def merge_robertson(stack: DataFrame, weight: str = "triangular", response: str | DataFrame = "linear", trusted: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """sum(w r) / sum(w t) for each channel, with the same suppression. Where no weight is left, the longest time with a sample below what is trusted, or else
+    the shortest with one above it, stands for the pixel; without either it is 0."""
+    d = with_response(darker_samples(stack), response)
+    low, high = trusted
+
+    def ratio(c: str):
+        w = robertson_weight(c, weight)
+        div = F.sum(w * F.col("time"))
+        dark, bright = F.max(F.when(F.col(c) < low, F.col("time"))), F.min(F.when(F.col(c) > high, F.col("time")))
+        floor = F.max(F.when(F.col(c) < low, F.col(f"res_{c}")))
+        return F.when(div != 0, F.sum(w * F.col(f"res_{c}")) / div).when(dark.isNotNull(), floor / dark).when(bright.isNotNull(), F.max(f"top_{c}") / bright).otherwise(0.0)
 
-    ratio = lambda c: F.when(F.sum(part(c) * F.col("time")) != 0, F.sum(part(c) * color.response(F.col(c), response)) / F.sum(part(c) * F.col("time"))).otherwise(0.0)
     return d.groupBy(*PIXEL).agg(*[ratio(c).alias(c) for c in RGB])
 
 
@@ -96,33 +126,20 @@ def repair_normalize(merged: DataFrame) -> DataFrame:
     return fixed.join(s, "scene_id").select(*PIXEL, *[F.when(black, 0.0).otherwise(unit[c]).alias(c) for c in RGB])
 
 
-# The weight, response and merge of the named profiles.
+# The weight, response and merge of the named profiles.
 PROFILES = {
-    "debevec_triangular": ("debevec", "triangular", "linear"), "debevec_gaussian": ("debevec", "gaussian", "linear"), "debevec_plateau": ("debevec", "plateau", "linear"),
-    "robertson_triangular": ("robertson", "triangular", "linear"), "robertson_gaussian": ("robertson", "gaussian", "linear"), "robertson_gamma": ("robertson", "triangular", "gamma"),
+    "profile1": ("debevec", "triangular", "linear"), "profile2": ("debevec", "triangular", "gamma"), "profile3": ("debevec", "plateau", "linear"),
+    "profile4": ("debevec", "plateau", "gamma"), "profile5": ("debevec", "gaussian", "linear"), "profile6": ("debevec", "gaussian", "gamma"),
 }
+MERGES = {"debevec": merge_debevec, "robertson": merge_robertson}
+
+
+def get_merge(name: str):
+    """The merge of a name; an unknown one is the first."""
+    return MERGES.get(name.lower(), merge_debevec)
 
 
-def merge(stack: DataFrame, profile: str = "debevec_triangular") -> DataFrame:
+def merge(stack: DataFrame, profile: str = "profile1") -> DataFrame:
     """Merge by a profile's name; an unknown name is the first profile."""
-    kind, weight, response = PROFILES.get(profile.lower(), PROFILES["debevec_triangular"])
-    return (merge_robertson if kind == "robertson" else merge_debevec)(stack, weight, response)
-
-
-def ghost_patches(stack: DataFrame, ref: int, grid: int, threshold: float, deviation: float) -> DataFrame:
-    """Patches in which more than `threshold` of the pixels differ from the reference exposure by twice the deviation in some channel."""
-    base = stack.where(F.col("exposure_idx") == ref).select(*PIXEL, F.col("ev").alias("ev0"), *[F.col(c).alias(f"ref_{c}") for c in RGB])
-    met = stack.where(F.col("exposure_idx") != ref).join(base, PIXEL)
-    usable = F.greatest(*RGB, *[f"ref_{c}" for c in RGB]) < 1
-    usable &= F.least(*RGB, *[f"ref_{c}" for c in RGB]) > 0
-    far = F.greatest(*[F.abs(F.ln(F.col(c)) - F.ln(F.col(f"ref_{c}")) - (F.col("ev") - F.col("ev0")) * 0.6931471805599453) for c in RGB]) > 2 * deviation
-    patch = [F.floor(F.col(c) / grid).cast("int").alias(f"p{c}") for c in ("x", "y")]
-    share = met.groupBy("scene_id", "exposure_idx", *patch).agg(F.avg(F.when(usable & far, 1.0).otherwise(0.0)).alias("share"))
-    return share.groupBy("scene_id", "px", "py").agg(F.max("share").alias("share")).select("scene_id", "px", "py", (F.col("share") > threshold).alias("ghost"))
-
-
-def merge_deghosted(stack: DataFrame, patches: DataFrame, ref: int, grid: int, weight: str = "triangular", response: str = "linear") -> DataFrame:
-    """The merge with only the reference exposure inside flagged patches."""
-    at = stack.withColumns({"px": F.floor(F.col("x") / grid).cast("int"), "py": F.floor(F.col("y") / grid).cast("int")}).join(patches, ["scene_id", "px", "py"], "left")
-    kept = at.where((F.col("exposure_idx") == ref) | ~F.coalesce("ghost", F.lit(False))).drop("px", "py", "ghost")
-    return merge_debevec(kept, weight, response)
+    kind, weight, response = PROFILES.get(profile.lower(), PROFILES["profile1"])
+    return get_merge(kind)(stack, weight, response)

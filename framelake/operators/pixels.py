@@ -105,19 +105,35 @@ def row_window(column: str = "x"):
     return Window.partitionBy("frame_id", other).orderBy(column)
 
 
-def gradients(df: DataFrame, col: str, style: str = "forward") -> DataFrame:
-    """gx, gy of a column: `forward` with 0 at the end, or `central` with a zero border outside."""
+def gradients(df: DataFrame, col: str, style: str = "forward", level: int = 0) -> DataFrame:
+    """gx, gy of a column. `forward`: 0 at the end. `central`: zeros outside. `border`: central, zero on the border across it.
+    `clamped`: the border repeats, gx is west less east, both over 2^(level + 1), as a pyramid level has it."""
     c, w, h = F.col(col), row_window("x"), row_window("y")
     if style == "forward":
         return df.withColumn("gx", F.coalesce(F.lead(c).over(w) - c, F.lit(0.0))).withColumn("gy", F.coalesce(F.lead(c).over(h) - c, F.lit(0.0)))
+    if style == "border":
+        return df.withColumn("gx", F.coalesce((F.lead(c).over(w) - F.lag(c).over(w)) / 2, F.lit(0.0))).withColumn("gy", F.coalesce((F.lead(c).over(h) - F.lag(c).over(h)) / 2, F.lit(0.0)))
+    if style == "clamped":
+        across = (F.coalesce(F.lag(c).over(w), c) - F.coalesce(F.lead(c).over(w), c)) / 2.0 ** (level + 1)
+        return df.withColumn("gx", across).withColumn("gy", (F.coalesce(F.lead(c).over(h), c) - F.coalesce(F.lag(c).over(h), c)) / 2.0 ** (level + 1))
+    if style != "central":
+        raise ValueError(f"unknown style {style} of gradients; known: forward, central, border, clamped")
     out = df.withColumn("gx", (F.lead(c, 1, 0.0).over(w) - F.lag(c, 1, 0.0).over(w)) / 2)
     return out.withColumn("gy", (F.lead(c, 1, 0.0).over(h) - F.lag(c, 1, 0.0).over(h)) / 2)
 
 
-def divergence(df: DataFrame) -> DataFrame:
-    """Backward differences of gx and gy; the first line keeps its own value."""
+def divergence(df: DataFrame, style: str = "backward") -> DataFrame:
+    """`backward`: differences of gx and gy to the line before; the first line keeps its own value. `central`: half the difference of both neighbours,
+    one-sided at the end of a line, and for gy's first line its own value."""
     w, h = row_window("x"), row_window("y")
-    return df.withColumn("div", F.col("gx") - F.lag("gx", 1, 0.0).over(w)).withColumn("div", F.col("div") + F.col("gy") - F.lag("gy", 1, 0.0).over(h))
+    if style == "backward":
+        return df.withColumn("div", F.col("gx") - F.lag("gx", 1, 0.0).over(w)).withColumn("div", F.col("div") + F.col("gy") - F.lag("gy", 1, 0.0).over(h))
+    if style != "central":
+        raise ValueError(f"unknown style {style} of divergence; known: backward, central")
+    before, after, up, down = F.lag("gx").over(w), F.lead("gx").over(w), F.lag("gy").over(h), F.lead("gy").over(h)
+    dx = F.when(before.isNull(), after - F.col("gx")).when(after.isNull(), F.col("gx") - before).otherwise((after - before) / 2)
+    dy = F.when(up.isNull(), F.col("gy")).when(down.isNull(), F.col("gy") - up).otherwise((down - up) / 2)
+    return df.withColumn("div", dx).withColumn("div", F.coalesce("div", "gx") + dy)
 
 
 def blur(df: DataFrame, col: str) -> DataFrame:
@@ -128,6 +144,30 @@ def blur(df: DataFrame, col: str) -> DataFrame:
     return df
 
 
+# Fixed value: the centre weight of the five-tap kernel.
+CENTRE = 0.4
+
+
+def blur_level(df: DataFrame, col: str, level: int) -> DataFrame:
+    """(frame_id, x, y, col): five taps at distances of 2^level in both directions, reflected at the border. A line of a frame is gathered at a time."""
+    step, weights = 1 << level, (0.25 - CENTRE / 2, 0.25, CENTRE, 0.25, 0.25 - CENTRE / 2)
+
+    def taps(line: Column, at: Column) -> Column:
+        n = F.size(line)
+        total = F.lit(0.0)
+        for j, weight in enumerate(weights):
+            i = F.abs(at + (j - 2) * step)
+            total += weight * F.element_at(line, (F.when(i >= n, 2 * n - 2 - i).otherwise(i) + 1).cast("int"))
+        return total
+
+    out = df.select("frame_id", "x", "y", col)
+    for along, across in (("x", "y"), ("y", "x")):
+        lines = out.groupBy("frame_id", across).agg(F.transform(F.sort_array(F.collect_list(F.struct(along, col))), lambda s: s[col]).alias("line"))
+        lines = lines.select("frame_id", across, F.posexplode(F.transform("line", lambda v, i: taps(F.col("line"), i))).alias(along, col))
+        out = lines.select("frame_id", "x", "y", col)
+    return out
+
+
 def downsample2(df: DataFrame, col: str) -> DataFrame:
     """Mean of 2 x 2 cells; an odd last row or column is left out."""
     size = frame_sizes(df)
@@ -135,15 +175,21 @@ def downsample2(df: DataFrame, col: str) -> DataFrame:
     return met.groupBy("frame_id", F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y")).agg(F.avg(col).alias(col))
 
 
+BINS_PER_OCTAVE = 1024
+
+
 def contrast_equalize(grad: DataFrame, factor: float) -> DataFrame:
     """Gradients scaled by factor * cdf / magnitude, the cdf being the rank among all magnitudes of the frame.
 
-    Ranks come from a histogram of magnitudes (counts of distinct values, summed map-side), so no frame is sorted in one task beyond its
-    distinct magnitudes.
+    Ranks are exact: counts of logarithmic bins give the rank at which a bin starts, and only the pixels of one bin are sorted together.
+    Flat pixels (often most of a frame) need no rank of their own.
     """
-    g = grad.withColumn("mag", F.round(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2), 9))
-    hist = g.groupBy("frame_id", "mag").agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy("frame_id").orderBy("mag").rowsBetween(Window.unboundedPreceding, 0))
-    cdf = hist.withColumn("cdf", below / F.sum("n").over(Window.partitionBy("frame_id"))).drop("n")
-    scale = F.when(F.col("mag") > 0, factor * F.col("cdf") / F.col("mag")).otherwise(0.0)
-    return g.join(cdf, ["frame_id", "mag"]).withColumns({"gx": F.col("gx") * scale, "gy": F.col("gy") * scale}).drop("mag", "cdf")
+    g = grad.withColumn("mag", F.round(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2), 9)).withColumn("bin", F.when(F.col("mag") > 0, F.floor(F.log2("mag") * BINS_PER_OCTAVE).cast("int")))
+    hist = g.groupBy("frame_id", "bin").agg(F.count("*").alias("n"))
+    by_bin = Window.partitionBy("frame_id").orderBy(F.asc_nulls_first("bin"))
+    hist = hist.withColumns({"before": F.sum("n").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "total": F.sum("n").over(Window.partitionBy("frame_id"))}).drop("n")
+    inside = F.count("*").over(Window.partitionBy("frame_id", "bin").orderBy("mag"))  # equal magnitudes rank together
+    moved = g.where("mag > 0").join(hist, ["frame_id", "bin"]).withColumn("scale", factor * (F.col("before") + inside) / F.col("total") / F.col("mag"))
+    flat = g.where("not mag > 0 or mag is null").withColumns({"gx": F.lit(0.0), "gy": F.lit(0.0)})
+    moved = moved.withColumns({"gx": F.col("gx") * F.col("scale"), "gy": F.col("gy") * F.col("scale")})
+    return moved.select(*grad.columns).unionByName(flat.select(*grad.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from .lineage import cut
 from .pixels import RGB
 
 
@@ -34,8 +35,9 @@ def log_average(df: DataFrame, col: str, eps: float, keys=("frame_id",)) -> Data
     return df.groupBy(*keys).agg(F.exp(F.avg(F.ln(F.col(col) + eps))).alias("log_avg"))
 
 
-def luminance_properties(df: DataFrame, brightness: float = 0.0) -> DataFrame:
-    base = df.groupBy("frame_id").agg(F.ln(F.max("lum")).alias("ln_max"), F.ln(F.min("lum")).alias("ln_min"), F.avg(F.ln(F.col("lum") + 2.3e-5)).alias("adapted"), F.avg("lum").alias("mean"))
+def luminance_properties(df: DataFrame, brightness: float = 0.0, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Extremes, averages, key, contrast and brightness of a frame's luminance, with `also`, further aggregates of the same pass."""
+    base = df.groupBy("frame_id").agg(*also, F.ln(F.max("lum")).alias("ln_max"), F.ln(F.min("lum")).alias("ln_min"), F.avg(F.ln(F.col("lum") + 2.3e-5)).alias("adapted"), F.avg("lum").alias("mean"))
     out = base.withColumn("key", (F.col("ln_max") - F.col("adapted")) / (F.col("ln_max") - F.col("ln_min")))
     return out.withColumn("contrast", 0.3 + 0.7 * F.pow("key", F.lit(1.4))).withColumn("bright", F.lit(2.718281828459045) ** F.lit(-brightness))
 
@@ -49,6 +51,36 @@ def histogram(df: DataFrame, value: Column, keys=("frame_id",)) -> DataFrame:
     return df.withColumn("bin", value).where("bin is not null").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
+def floor_bin(c: Column, lo: Column, hi: Column, bins: int, reject: bool = True) -> Column:
+    """Bins of equal width; what lies outside is not counted, or counts in the first and last bin."""
+    i = F.floor((c - lo) / (hi - lo) * float(bins)).cast("int")
+    return F.when((i >= 0) & (i < bins), i) if reject else F.greatest(F.lit(0), F.least(F.lit(bins - 1), i))
+
+
+def histogram_256(df: DataFrame, col: str, keys=("frame_id",)) -> DataFrame:
+    """(keys, bin, share) of 8-bit samples: counts over the largest count."""
+    hist = histogram(df, F.col(col).cast("int"), keys)
+    top = hist.groupBy(*keys).agg(F.max("n").alias("top"))
+    return hist.join(top, list(keys)).select(*keys, "bin", (F.col("n") / F.col("top")).alias("share"))
+
+
+def binned_percentiles(df: DataFrame, col: str, shares: dict[str, float], keys=("frame_id",), bins: int = 1000) -> DataFrame:
+    """(keys, a column for each share in percent) from a cumulated histogram, interpolated between the centres of its bins."""
+    span = df.groupBy(*keys).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("total"))
+    at = with_stats(df.select(*keys, col), span, keys)
+    group = [*keys, "lo", "hi", "total"]
+    hist = at.groupBy(*group, F.coalesce(floor_bin(F.col(col), F.col("lo"), F.col("hi"), bins, reject=False), F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
+    cum = hist.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    width = (F.col("hi") - F.col("lo")) / float(bins)
+    def reached(percent: float) -> Column:
+        wanted = F.floor(percent * F.col("total") / 100)
+        inside = F.min(F.when(F.col("cum") > wanted, F.struct("bin", (F.col("bin") - 0.5 + (wanted - F.col("cum") + F.col("n")) / F.col("n")).alias("place"))))
+        place = F.when(F.first(wanted) <= F.min(F.when(F.col("bin") == 0, F.col("cum"))), F.lit(0.5)).when(inside.isNull(), F.lit(bins - 0.5)).otherwise(inside["place"])
+        return F.first("lo") + F.first(width) * place
+
+    return cum.groupBy(*keys).agg(*[reached(p).alias(name) for name, p in shares.items()])
+
+
 def rounded_bin(c: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.floor((c - lo) / (hi - lo) * float(bins - 1) + 0.5).cast("int")
 
@@ -58,15 +90,26 @@ def cumulate(hist: DataFrame, keys=("frame_id",)) -> DataFrame:
     return hist.withColumn("cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def channel_quantiles(df: DataFrame, columns, lo_share: float, hi_share: float, bins: int = 65535) -> DataFrame:
+    """(frame_id, lo_<c>, hi_<c> of each column): edges of the bins in which the cumulated histograms reach the shares.
+
+    All columns go together: one pass for their spans, one for the counts of their bins, summed map-side.
+    """
+    span = df.groupBy("frame_id").agg(F.count("*").alias("total"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    at = with_stats(df.select("frame_id", *columns), span)
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.coalesce(rounded_bin(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), bins), F.lit(0)).alias("bin")) for c in columns]))
+    hist = at.select("frame_id", kinds.alias("k")).groupBy("frame_id", "k.channel", "k.bin").agg(F.count("*").alias("n"))
+    cum = with_stats(cumulate(hist, ("frame_id", "channel")), span)
+    at_share = lambda c, share: F.min(F.when((F.col("channel") == c) & (F.col("cum") >= share * F.col("total")), F.col("bin")))
+    ends = [e for c in columns for e in (at_share(c, lo_share).alias(f"a_{c}"), at_share(c, hi_share).alias(f"b_{c}"))]
+    edges = with_stats(cum.groupBy("frame_id").agg(*ends), span)
+    edge = lambda n, c: F.col(f"lo_{c}") + F.col(f"{n}_{c}") * (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / float(bins - 1)
+    return edges.select("frame_id", *[e for c in columns for e in (edge("a", c).alias(f"from_{c}"), edge("b", c).alias(f"to_{c}"))])
+
+
 def hist_quantiles(df: DataFrame, col: str, lo_share: float, hi_share: float, bins: int = 65535) -> DataFrame:
-    """(frame_id, q_lo, q_hi): edges of the bins in which the cumulated histogram reaches the shares."""
-    span = df.groupBy("frame_id").agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("total"))
-    hist = histogram(with_stats(df.select("frame_id", col), span), rounded_bin(F.col(col), F.col("lo"), F.col("hi"), bins), ("frame_id", "lo", "hi", "total"))
-    cum = cumulate(hist)
-    at = lambda share: F.min(F.when(F.col("cum") >= share * F.col("total"), F.col("bin")))
-    edges = cum.groupBy("frame_id", "lo", "hi").agg(at(lo_share).alias("a"), at(hi_share).alias("b"))
-    edge = lambda c: F.col("lo") + F.col(c) * (F.col("hi") - F.col("lo")) / float(bins - 1)
-    return edges.select("frame_id", edge("a").alias("q_lo"), edge("b").alias("q_hi"))
+    """(frame_id, q_lo, q_hi) of one column."""
+    return channel_quantiles(df, (col,), lo_share, hi_share, bins).select("frame_id", F.col(f"from_{col}").alias("q_lo"), F.col(f"to_{col}").alias("q_hi"))
 
 
 def robust_center(df: DataFrame, col: str) -> DataFrame:
@@ -85,9 +128,15 @@ def dynamic_range_window(df: DataFrame) -> DataFrame:
     return w.select("frame_id", (F.col("lo") - short).alias("lo"), (F.col("hi") + short).alias("hi"))
 
 
-def stats_rollup(stack: DataFrame) -> DataFrame:
-    """Samples and extremes per exposure, scene and corpus."""
-    return stack.rollup("scene_id", "exposure_idx").agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi"), F.avg("g").alias("mean"))
+def stats_rollup(stack: DataFrame, col: str = "g", eps: float = 1e-6) -> DataFrame:
+    """The inspector's numbers and both averages of a column per exposure, scene and corpus; NaN and infinite samples are counted, and left out of the rest."""
+    c = F.col(col)
+    odd = F.isnan(c) | (F.abs(c) == float("inf"))
+    fine = F.when(~odd, c)
+    return stack.rollup("scene_id", "exposure_idx").agg(
+        F.count("*").alias("n"), F.min(fine).alias("lo"), F.max(fine).alias("hi"), F.avg(fine).alias("mean"), F.exp(F.avg(F.ln(fine + eps))).alias("log_avg"),
+        F.count_if(F.isnan(c)).alias("nans"), F.count_if(F.abs(c) == float("inf")).alias("infs"),
+    )
 
 
 def top_frames(stats: DataFrame, by: str, k: int) -> DataFrame:
@@ -97,9 +146,9 @@ def top_frames(stats: DataFrame, by: str, k: int) -> DataFrame:
 def wb_color_balance(df: DataFrame, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Each channel clamped and normalised between two histogram quantiles; odd shares are mended and swapped."""
     lo, hi = sorted((max(lo, 0.0), min(hi, 1.0)))
-    for c in RGB:
-        df = with_stats(df, hist_quantiles(df, c, lo, hi)).withColumn(c, color.normalize(color.clamp(F.col(c), F.col("q_lo"), F.col("q_hi")), F.col("q_lo"), F.col("q_hi"))).drop("q_lo", "q_hi")
-    return df
+    at = with_stats(df, channel_quantiles(df, RGB, lo, hi))
+    unit = {c: color.normalize(color.clamp(F.col(c), F.col(f"from_{c}"), F.col(f"to_{c}")), F.col(f"from_{c}"), F.col(f"to_{c}")) for c in RGB}
+    return at.withColumns(unit).drop(*[f"{n}_{c}" for c in RGB for n in ("from", "to")])
 
 
 def wb_shades_of_gray(df: DataFrame, p: float = 6.0) -> DataFrame:
@@ -112,6 +161,7 @@ def wb_robust(df: DataFrame, max_iter: int = 1000, u: float = 0.3, a: float = 0.
 
     A turn is one aggregation by frame. The gains (a row a frame) are joined to the pixels of frames still at work.
     """
+    df = cut(df.select("frame_id", *RGB))
     gains = df.select("frame_id").distinct().select("frame_id", F.lit(1.0).alias("gain_r"), F.lit(1.0).alias("gain_b"), F.lit(False).alias("done"))
     for _ in range(max_iter):
         at = df.join(gains.where(~F.col("done")), "frame_id")
@@ -124,8 +174,7 @@ def wb_robust(df: DataFrame, max_iter: int = 1000, u: float = 0.3, a: float = 0.
         blue = F.abs("ub") > F.abs("vb")
         step = bars.select("frame_id", F.when(blue, 0.0).otherwise(delta).alias("dr"), F.when(blue, delta).otherwise(0.0).alias("db"), stop.alias("stop"))
         gains = gains.join(step, "frame_id", "left").select("frame_id", (F.col("gain_r") - F.coalesce("dr", F.lit(0.0))).alias("gain_r"), (F.col("gain_b") - F.coalesce("db", F.lit(0.0))).alias("gain_b"), (F.col("done") | F.coalesce("stop", F.lit(False))).alias("done"))
-        # A turn reads the gains twice: without a cut the plan would double with every turn.
-        gains = gains.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else gains.localCheckpoint()
+        gains = cut(gains)  # a turn reads the gains twice: without a cut the plan would double with every turn
         if gains.where(~F.col("done")).isEmpty():
             break
     return gains.select("frame_id", "gain_r", "gain_b")

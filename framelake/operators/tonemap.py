@@ -39,8 +39,7 @@ def tm_reinhard02(df: DataFrame, key: float = 0.18) -> DataFrame:
 def tm_reinhard05(df: DataFrame, brightness: float = 0.0, chroma: float = 0.0, light: float = 1.0) -> DataFrame:
     """Photoreceptor model for each channel, then the frame's minimum and maximum of the processed samples to 0 and 1."""
     lum = luminance(df)
-    means = lum.groupBy("frame_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in RGB])
-    at = with_stats(with_stats(lum, luminance_properties(lum, brightness)), means)
+    at = with_stats(lum, luminance_properties(lum, brightness, tuple(F.avg(c).alias(f"mean_{c}") for c in RGB)))
     y = F.col("lum")
 
     def channel(c: str) -> Column:
@@ -54,6 +53,7 @@ def tm_reinhard05(df: DataFrame, brightness: float = 0.0, chroma: float = 0.0, l
     return with_stats(out, frame_minmax(out)).select("frame_id", "x", "y", *[color.normalize(F.col(c), F.col("lo"), F.col("hi")).alias(c) for c in RGB])
 
 
+# The thresholds of vision over luminance in the functions that follow.
 def cone_threshold(c: Column) -> Column:
     t = F.log10(c)
     return F.pow(F.lit(10.0), F.when(t <= -2.6, -0.72).when(t >= 1.9, t - 1.255).otherwise(F.pow(0.249 * t + 0.65, F.lit(2.7)) - 0.72))

@@ -8,60 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import brackets, levels, merge, pixels, stats, tonemap
 from ..sources import views
-from ..sources.views import CTE
-from ..streaming import sequences
-from . import render
+from . import extended, render
+from .registry import HSL_SQL, LUM, ORACLES, PIX, QUERIES, RGB, WAVE, WX, WY, Y, add, lin, mat, over_px, pct, r6, s6, srgb, three, triple
 
-RGB = pixels.RGB
-NUDGE = 1.7e-08
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def add(name: str, run, sql: str | None = None) -> None:
-    QUERIES[name] = run
-    if sql:
-        ORACLES[name] = sql if sql.lstrip().lower().startswith(("select", "with")) and "px as (" in sql else f"with {CTE} {sql}" if sql.lstrip().lower().startswith("select") else f"with {CTE}, {sql}"
-
-
-def r6(df: DataFrame, *columns: str) -> DataFrame:
-    """Doubles to six digits, without negative zeros; the small addend keeps decimal ties off the edge on which engines differ."""
-    return df.withColumns({c: F.round(F.col(c) + NUDGE, 6) + F.lit(0.0) for c in columns})
-
-
-def s6(expression: str, name: str) -> str:
-    return f"round({expression} + {NUDGE!r}, 6) + 0e0 as {name}"
-
-
-def three(template: str) -> str:
-    """The template for r, g and b, `$` being the channel."""
-    return ", ".join(s6(template.replace("$", c), c) for c in RGB)
-
-
-def over_px(name: str, f, sql: str | None) -> None:
-    """A query from px to (frame_id, x, y, r, g, b)."""
-    add(name, lambda spark, d: r6(f(views.px(spark, d)).select("frame_id", "x", "y", *RGB), *RGB), sql)
-
-
-def mat(m, a: str, b: str, c: str) -> list[str]:
-    return [f"({x!r}e0*{a} + {y!r}e0*{b} + {z!r}e0*{c})".replace("+ -", "- ") for x, y, z in m]
-
-
-def triple(e: list[str]) -> str:
-    return ", ".join(s6(x, c) for x, c in zip(e, RGB, strict=True))
-
-
-def lin(c: str) -> str:
-    return f"(case when {c} > 0.04045e0 then pow(({c}+0.055e0)/1.055e0, 2.4e0) when {c} >= -0.04045e0 then {c}/12.92e0 else -pow((0.055e0-{c})/1.055e0, 2.4e0) end)"
-
-
-def srgb(c: str) -> str:
-    return f"(case when {c} > 0.0031308e0 then 1.055e0*pow({c}, {1 / 2.4!r}e0)-0.055e0 when {c} >= -0.0031308e0 then {c}*12.92e0 else -0.945e0*pow(-{c}, {1 / 2.4!r}e0)-0.055e0 end)"
-
-
-Y = mat(color.RGB_TO_XYZ, "r", "g", "b")[1]
-XYZ = "q as (select frame_id, x, y, {} as xx, {} as yy, {} as zz from px)".format(*mat(color.RGB_TO_XYZ, "r", "g", "b"))
-PIX = "frame_id, x, y"
+__all__ = ["ORACLES", "QUERIES", "extended"]
 
 
 def spaces(src: str, dst: str):
@@ -91,22 +41,13 @@ def cmyk(s, d):
 
 
 add("cmyk_to_rgb", cmyk, f"select {PIX}, {', '.join(s6(f'(1e0-least({c}/60e0, 1e0))*0.75e0', c) + ', ' + s6(f'least({c}/60e0, 1e0)*0.25e0', c + 'i') for c in RGB)} from px")
-HSL_SQL = """h0 as (select frame_id, x, y, r/60e0 as r, g/60e0 as g, b/60e0 as b from px), h1 as (select *, greatest(r,g,b) as v, least(r,g,b) as m from h0),
-h2 as (select *, (m+v)/2e0 as l, v-m as d from h1), h3 as (select *, case when l > 0 and d > 0 then d/(case when abs(case when l <= 0.5e0 then v+m else 2e0-v-m end) < 1e-15 then 1e-15 else (case when l <= 0.5e0 then v+m else 2e0-v-m end) end) else 0e0 end as s,
-case when l > 0 and d > 0 then (case when r = v then (case when g = m then 5e0+(v-b)/d else 1e0-(v-g)/d end) when g = v then (case when b = m then 1e0+(v-r)/d else 3e0-(v-b)/d end) else (case when r = m then 3e0+(v-g)/d else 5e0-(v-r)/d end) end)/6e0 else 0e0 end as h from h2)"""
-
-
 def hsl(p: DataFrame) -> DataFrame:
     return p.withColumns(dict(zip(RGB, color.rgb_to_hsl(*[F.col(c) / 60 for c in RGB]), strict=True)))
 
 
 over_px("rgb_to_hsl", hsl, f"{HSL_SQL} select {PIX}, {triple(['h', 's', 'l'])} from h3")
-over_px("hsl_to_rgb", lambda p: (h := hsl(p)).withColumns(dict(zip(RGB, color.hsl_to_rgb(*[F.col(c) for c in RGB]), strict=True))), f"select {PIX}, {three('$/60e0')} from px")
-over_px("apply_saturation", lambda p: pixels.apply_saturation(pixels.each(p, lambda c: c / 60), 0.5), HSL_SQL + f""", s1 as (select frame_id, x, y, h*6e0 as h6, cast(floor(h*6e0) as int) as k, s*0.5e0 as s, l from h3), s2 as (select *, case when l <= 0.5e0 then l*(1e0+s) else l+s-l*s end as v from s1),
-s3 as (select *, 2e0*l-v as m, (v-(2e0*l-v))*(h6-k) as t from s2) select {PIX}, {triple([
-    "case when v <= 0 then l when k in (0,5) then v when k = 1 then v-t when k in (2,3) then m when k = 4 then m+t else l end",
-    "case when v <= 0 then l when k = 0 then m+t when k in (1,2) then v when k = 3 then v-t when k in (4,5) then m else l end",
-    "case when v <= 0 then l when k in (0,1) then m when k = 2 then m+t when k in (3,4) then v when k = 5 then v-t else l end"])} from s3""")
+over_px("hsl_to_rgb", lambda p: (h := hsl(p)).withColumns(dict(zip(RGB, color.hsl_to_rgb(*[F.col(c) for c in RGB]), strict=True))), f"{HSL_SQL} select {PIX}, {triple([WAVE('0e0'), WAVE('4e0'), WAVE('2e0')])} from h3")
+over_px("apply_saturation", lambda p: pixels.apply_saturation(pixels.each(p, lambda c: c / 60), 0.5), f"{HSL_SQL}, h4 as (select {PIX}, h, s*0.5e0 as s, l from h3) select {PIX}, {triple([WAVE('0e0'), WAVE('4e0'), WAVE('2e0')])} from h4")
 over_px("apply_gamma", lambda p: pixels.apply_gamma(p, 2.2), f"select {PIX}, {three(f'case when $ > 0 then pow($, {1 / 2.2!r}e0) else 0e0 end')} from px")
 over_px("gamma_and_levels", lambda p: pixels.gamma_and_levels(pixels.each(p, lambda c: c / 60), 0.05, 0.9, 0.1, 0.95, 1.3), f"q as (select {PIX}, r/60e0 as r, g/60e0 as g, b/60e0 as b from px) select {PIX}, {three('least(greatest(0.1e0+($-0.05e0)/0.85e0*pow(0.2126e0*r+0.7152e0*g+0.0722e0*b, 0.3e0)*0.85e0, 0e0), 1e0)')} from q")
 over_px("normalize_clamp", lambda p: pixels.each(p, lambda c: color.clamp(color.normalize(c, F.lit(5.0), F.lit(40.0)), 0, 1)), f"select {PIX}, {three('least(greatest(($-5e0)/35e0, 0e0), 1e0)')} from px")
@@ -142,7 +83,6 @@ g1 as (select frame_id, w, h, h2, cast(unnest(range(10)) as int) as x2 from t),
 g3 as (select *, x2*(w-1)/10e0 as sx, y2*(h-1)/cast(h2 as double) as sy from g2), g4 as (select *, cast(floor(sx) as int) as x0, cast(floor(sy) as int) as y0 from g3)
 select a.frame_id, x2 as x, y2 as y, """ + ", ".join(s6(f"(p.{c}*(1e0-(sx-x0))+coalesce(q.{c},0e0)*(sx-x0))*(1e0-(sy-y0)) + (coalesce(u.{c},0e0)*(1e0-(sx-x0))+coalesce(v.{c},0e0)*(sx-x0))*(sy-y0)", c) for c in RGB) + """ from g4 a
 join px p on p.frame_id=a.frame_id and p.x=x0 and p.y=y0 left join px q on q.frame_id=a.frame_id and q.x=x0+1 and q.y=y0 left join px u on u.frame_id=a.frame_id and u.x=x0 and u.y=y0+1 left join px v on v.frame_id=a.frame_id and v.x=x0+1 and v.y=y0+1""")
-WX, WY = "(partition by frame_id, y order by x)", "(partition by frame_id, x order by y)"
 add("gradients_forward", lambda s, d: r6(pixels.gradients(views.px(s, d), "g").select("frame_id", "x", "y", "gx", "gy"), "gx", "gy"), f"select {PIX}, {s6(f'coalesce(lead(g) over {WX} - g, 0e0)', 'gx')}, {s6(f'coalesce(lead(g) over {WY} - g, 0e0)', 'gy')} from px")
 add("gradients_central", lambda s, d: r6(pixels.gradients(views.px(s, d), "g", "central").select("frame_id", "x", "y", "gx", "gy"), "gx", "gy"), f"select {PIX}, {s6(f'(lead(g,1,0e0) over {WX} - lag(g,1,0e0) over {WX})/2e0', 'gx')}, {s6(f'(lead(g,1,0e0) over {WY} - lag(g,1,0e0) over {WY})/2e0', 'gy')} from px")
 GRAD = f"gr as (select {PIX}, coalesce(lead(g) over {WX} - g, 0e0) as gx, coalesce(lead(g) over {WY} - g, 0e0) as gy from px)"
@@ -152,9 +92,6 @@ add("downsample2", lambda s, d: r6(pixels.downsample2(views.px(s, d), "g"), "g")
 add("contrast_equalize", lambda s, d: r6(pixels.contrast_equalize(pixels.gradients(views.px(s, d), "g").select("frame_id", "x", "y", "gx", "gy"), 0.5).select("frame_id", "x", "y", "gx", "gy"), "gx", "gy"), f"{GRAD}, mg as (select *, round(sqrt(gx*gx+gy*gy), 9) as m from gr), cd as (select *, cume_dist() over (partition by frame_id order by m) as c from mg) select {PIX}, {s6('case when m > 0 then gx*0.5e0*c/m else 0e0 end', 'gx')}, {s6('case when m > 0 then gy*0.5e0*c/m else 0e0 end', 'gy')} from cd")
 
 # D: statistics
-LUM = f"lm as (select *, {Y} as lum from px)"
-
-
 def lum(s, d):
     return stats.luminance(views.px(s, d))
 
@@ -175,7 +112,7 @@ YUV = lambda g: f"q{g} as (select frame_id, gr, gb, (0.299e0*r*gr+0.587e0*g+0.14
 add("wb_robust", lambda s, d: r6(stats.wb_robust(views.px(s, d)), "gain_r", "gain_b"), f"g0 as (select distinct frame_id, 1e0 as gr, 1e0 as gb from px), {YUV(0)}, {YUV(1)}, {YUV(2)} select frame_id, {s6('gr', 'gain_r')}, {s6('gb', 'gain_b')} from g3")
 add("robust_center", lambda s, d: r6(stats.robust_center(views.px(s, d), "g"), "center"), f"select frame_id, {s6('sqrt(avg(g)*quantile_disc(g, 0.5))', 'center')} from px group by 1")
 add("dynamic_range_window", lambda s, d: r6(stats.dynamic_range_window(lum(s, d)), "lo", "hi"), f"{LUM}, w as (select frame_id, log10(greatest(min(lum), 1e-6)) as lo, log10(greatest(max(lum), 1e-6)) as hi from lm group by 1) select frame_id, {s6('lo-greatest(0.5e0-(hi-lo), 0e0)/2e0', 'lo')}, {s6('hi+greatest(0.5e0-(hi-lo), 0e0)/2e0', 'hi')} from w")
-add("stats_rollup", lambda s, d: r6(stats.stats_rollup(views.stack(s, d)), "lo", "hi", "mean"), f"select scene_id, exposure_idx, count(*) as n, {s6('min(g)', 'lo')}, {s6('max(g)', 'hi')}, {s6('avg(g)', 'mean')} from stack group by rollup (scene_id, exposure_idx)")
+add("stats_rollup", lambda s, d: r6(stats.stats_rollup(views.stack(s, d).withColumn("g", F.when(F.col("x") == 3, float("nan")).when(F.col("x") == 4, float("inf")).otherwise(F.col("g")))), "lo", "hi", "mean", "log_avg"), f"select scene_id, exposure_idx, count(*) as n, {s6('min(g) filter (x not in (3,4))', 'lo')}, {s6('max(g) filter (x not in (3,4))', 'hi')}, {s6('avg(g) filter (x not in (3,4))', 'mean')}, {s6('exp(avg(ln(g+1e-6)) filter (x not in (3,4)))', 'log_avg')}, count(*) filter (x=3) as nans, count(*) filter (x=4) as infs from stack group by rollup (scene_id, exposure_idx)")
 add("top_frames", lambda s, d: r6(stats.top_frames(stats.log_average(lum(s, d), "lum", 1e-4), "log_avg", 5), "log_avg"), f"{LUM}, a as (select frame_id, exp(avg(ln(lum+1e-4))) as v from lm group by 1) select frame_id, {s6('v', 'log_avg')} from a order by v desc, frame_id limit 5")
 
 # I: tone mapping
@@ -198,7 +135,8 @@ add("orientation_degrees", lambda s, d: views.meta(s, d).select("file_id", color
 add("missing_exposure", lambda s, d: merge.missing_exposure(views.meta(s, d)), f"{META} select file_id, file from me where ev is null")
 add("new_files", lambda s, d: merge.new_files(views.meta(s, d).select("file", "file_id"), views.meta(s, d).where("file_id % 3 = 0").select("file")), "select file, file_id from meta where file_id % 3 <> 0")
 add("assign_brackets", lambda s, d: merge.assign_brackets(views.meta(s, d).select("folder_id", "file_id", "file"), 3), "select folder_id, file_id, file, cast(floor((rn-1)/3) as int) as bracket, cast((rn-1) % 3 as int) as place from (select *, row_number() over (partition by folder_id order by file) as rn from meta)")
-add("validate_brackets", lambda s, d: merge.validate_brackets(merge.assign_brackets(views.meta(s, d), 3), 3), "a as (select *, cast(floor((row_number() over (partition by folder_id order by file)-1)/3) as int) as bracket from meta) select folder_id, bracket, count(*) as files, count(distinct orientation) as kinds, count(*) = 3 as whole from a group by 1, 2")
+WIDE, HIGH = "case when file_id % 7 = 0 then 4000 else 6000 end", "case when file_id % 7 = 0 then 3000 else 4000 end"
+add("validate_brackets", lambda s, d: merge.validate_brackets(merge.assign_brackets(views.meta(s, d).withColumns({"width": F.expr(f"case when orientation in (6, 8) then {HIGH} else {WIDE} end"), "height": F.expr(f"case when orientation in (6, 8) then {WIDE} else {HIGH} end")}), 3), 3), f"a as (select *, cast(floor((row_number() over (partition by folder_id order by file)-1)/3) as int) as bracket from meta) select folder_id, bracket, count(*) as files, count(distinct {WIDE}) as sizes, count(*) = 3 and count(distinct {WIDE}) = 1 as valid from a group by 1, 2")
 add("ev_offset", lambda s, d: r6(merge.ev_offset(merge.exposure_metadata(views.meta(s, d))).select("file_id", "ev_offset", "relative"), "ev_offset", "relative"), f"{META}, o as (select folder_id, quantile_disc(ev, 0.5) as o from me where ev is not null group by 1) select file_id, {s6('o', 'ev_offset')}, {s6('pow(2e0, ev-o)', 'relative')} from me join o using (folder_id) where ev is not null")
 
 # E2, C1, G: exposure merge
@@ -213,28 +151,10 @@ MERGED = f"mg as (select scene_id, x, y, {', '.join(f'exp(sum(w*(ln({RES(c)})-ln
 add("merge_debevec", lambda s, d: r6(merge.merge(views.stack(s, d)), *RGB), f"{DEB}, {MERGED} select scene_id, x, y, {three('$')} from mg")
 add("repair_normalize", lambda s, d: r6(merge.repair_normalize(merge.merge(views.stack(s, d))), *RGB), f"{DEB}, {MERGED}, z as (select scene_id, min(least(r,g,b)) as lo, max(greatest(r,g,b)) as hi from mg group by 1) select scene_id, x, y, {three('($-lo)/(hi-lo)')} from mg join z using (scene_id)")
 ROB = lambda c: f"(case when dr is null then greatest({TRI(c)}, 1e-6) else {TRI(c)}*greatest(0e0, 1e0-pow(4e0*{RES('d' + c)}, 4e0)) end)"
-add("merge_robertson", lambda s, d: r6(merge.merge(views.stack(s, d), "robertson_triangular"), *RGB), f"{DARK} select scene_id, x, y, {', '.join(s6(f'case when sum({ROB(c)}*t) <> 0 then sum({ROB(c)}*{RES(c)})/sum({ROB(c)}*t) else 0e0 end', c) for c in RGB)} from dk group by 1, 2, 3")
-GH = f"gb as (select s.scene_id, s.exposure_idx, s.x, s.y, s.ev-o.ev as de, {', '.join(f's.{c}, o.{c} as o{c}' for c in RGB)} from stack s join stack o on s.scene_id=o.scene_id and s.x=o.x and s.y=o.y and o.exposure_idx=1 where s.exposure_idx <> 1), gs as (select scene_id, exposure_idx, cast(floor(x/4) as int) as px, cast(floor(y/4) as int) as py, avg(case when greatest(r,g,b,\"or\",og,ob) < 1 and least(r,g,b,\"or\",og,ob) > 0 then (case when greatest(abs(ln(r)-ln(\"or\")-de*ln(2e0)), abs(ln(g)-ln(og)-de*ln(2e0)), abs(ln(b)-ln(ob)-de*ln(2e0))) > 0.6e0 then 1e0 else 0e0 end) else 0e0 end) as sh from gb group by 1,2,3,4), gp as (select scene_id, px, py, max(sh) > 0.3e0 as ghost from gs group by 1,2,3)".replace("o.r as or", 'o.r as "or"')
-add("ghost_patches", lambda s, d: merge.ghost_patches(views.stack(s, d), 1, 4, 0.3, 0.3), f"{GH} select scene_id, px, py, ghost from gp")
+add("merge_robertson", lambda s, d: r6(merge.merge_robertson(views.stack(s, d)), *RGB), f"{DARK} select scene_id, x, y, {', '.join(s6(f'case when sum({ROB(c)}*t) <> 0 then sum({ROB(c)}*{RES(c)})/sum({ROB(c)}*t) else 0e0 end', c) for c in RGB)} from dk group by 1, 2, 3")
 add("weights", lambda s, d: r6(views.px(s, d).select("frame_id", "x", "y", *[color.weight(F.least(F.col("g") / 120, F.lit(1.0)), k).alias(k) for k in ("triangular", "gaussian", "plateau", "flat")]), "triangular", "gaussian", "plateau", "flat"), f"q as (select {PIX}, floor(least(g/120e0, 1e0)*4095e0)/4095e0 as m from px) select {PIX}, {s6(f'case when m < {2 / 4096!r}e0 or m > 1e0-{2 / 4096!r}e0 then 0e0 when m < 0.5e0 then 2e0*m else 2e0*(1e0-m) end', 'triangular')}, {s6(f'case when m < {2 / 4096!r}e0 or m > 1e0-{2 / 4096!r}e0 then 0e0 else exp(-32e0*(m-0.5e0)*(m-0.5e0)) end', 'gaussian')}, {s6('case when m < 0.00025e0 or m > 0.99975e0 then 0e0 else 1e0-pow(2e0*m-1e0, 12e0) end', 'plateau')}, {s6('1e0', 'flat')} from q")
 add("responses", lambda s, d: r6(views.px(s, d).select("frame_id", "x", "y", *[color.response(F.least(F.col("g") / 120, F.lit(1.0)), k).alias(k) for k in ("linear", "gamma", "log10", "srgb")]), "linear", "gamma", "log10", "srgb"), f"q as (select {PIX}, greatest(floor(least(g/120e0, 1e0)*4095e0), 1e0)/4095e0 as m from px) select {PIX}, {s6('m', 'linear')}, {s6('pow(4e0*m, 1.7e0)+1e-4', 'gamma')}, {s6('1e-8*pow(10e0, m/0.0625e0-8e0)', 'log10')}, {s6(lin('m'), 'srgb')} from q")
 
-# J: sequences
-add("temporal_adaptation", lambda s, d: r6(sequences.temporal_adaptation(views.seq(s, d)), "cone", "rod"), """ad as materialized (with recursive f as (select seq_id, n, 60e0*exp(-0.04e0/0.08e0)+(1e0-exp(-0.04e0/0.08e0))*lum as cone, 60e0*exp(-0.04e0/0.15e0)+(1e0-exp(-0.04e0/0.15e0))*lum as rod from seq where n = 1
-union all select s.seq_id, s.n, f.cone*exp(-0.04e0/0.08e0)+(1e0-exp(-0.04e0/0.08e0))*s.lum, f.rod*exp(-0.04e0/0.15e0)+(1e0-exp(-0.04e0/0.15e0))*s.lum from f join seq s on s.seq_id = f.seq_id and s.n = f.n+1) select * from f)
-select seq_id, n, round(cone + 1.7e-08, 6) + 0e0 as cone, round(rod + 1.7e-08, 6) + 0e0 as rod from ad""")
-add("frame_stats", lambda s, d: r6(sequences.frame_stats(views.seq(s, d)), "lo", "hi", "mean"), f"select date_trunc('hour', ts) as start, count(*) as frames, {s6('min(lum)', 'lo')}, {s6('max(lum)', 'hi')}, {s6('avg(lum)', 'mean')} from seq group by 1")
-
-
-# Histograms, levels and zones
-def pct(name: str, src: str, c: str, keys: str, lo: float, hi: float) -> str:
-    """SQL of interpolated histogram percentiles: `name` (keys, q_lo, q_hi)."""
-    at = lambda share, q: f"greatest(lo, least(hi, max(case when cum-n < {share!r}e0*total and cum >= {share!r}e0*total then lo+(bin+({share!r}e0*total-(cum-n))/n)*wd end))) as {q}"
-    return f"""{name}s as (select {keys}, min({c}) as lo, max({c}) as hi, count(*) as total from {src} group by {keys}), {name}w as (select *, case when hi > lo then (hi-lo)/(least(65536, total)-1) end as wd from {name}s),
-{name}h as (select {keys}, lo, hi, total, wd, coalesce(floor(({c}-lo)/wd+1e-9), 0e0) as bin, count(*) as n from {src} join {name}w using ({keys}) group by all), {name}c as (select *, sum(n) over (partition by {keys} order by bin) as cum from {name}h),
-{name} as (select {keys}, {at(lo, 'q_lo')}, {at(hi, 'q_hi')} from {name}c group by {keys}, lo, hi)"""
-
-
 add("percentiles", lambda s, d: r6(levels.percentiles(lum(s, d), "lum", 0.01, 0.99), "q_lo", "q_hi"), f"{LUM}, {pct('pp', 'lm', 'lum', 'frame_id', 0.01, 0.99)} select frame_id, {s6('q_lo', 'q_lo')}, {s6('q_hi', 'q_hi')} from pp")
 over_px("tm_kimkautz", levels.tm_kimkautz, f"{LUM}, k0 as (select frame_id, avg(ln(lum+1e-6)) as mu, max(ln(lum+1e-6))-min(ln(lum+1e-6)) as rg from lm group by 1), k1 as (select lm.*, mu, rg, (ln(300e0)-ln(0.3e0))/rg as k from lm join k0 using (frame_id)), k2 as (select *, exp(0.5e0*((1e0-k)*exp(-(lum-mu)*(lum-mu)/(2e0*(rg/3e0)*(rg/3e0)))+k)*(ln(lum+1e-6)-mu)+mu) as v from k1), {pct('pk', 'k2', 'v', 'frame_id', 0.01, 0.99)} select {PIX}, {three('$*((least(greatest(v, q_lo), q_hi)-q_lo)/(q_hi-q_lo))/lum')} from k2 join pk using (frame_id)")
 AT = lambda c: f"((log10(greatest({c}, 1e-5))+6e0)/0.1e0+1e-9)"

@@ -7,20 +7,36 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import levels, pixels, tonemap  # noqa: F401  levels adds its tone mappers
+from ..functions import color
+from ..operators import levels, pixels, stats, stencils, tonemap  # noqa: F401  levels and stencils add their tone mappers
 
 
-def render(px: DataFrame, tmo: str, pregamma: float = 1.0, postsaturation: float = 1.0, postgamma: float = 1.0, crop: tuple | None = None, xsize: int | None = None, bits: int = 8, **params) -> DataFrame:
-    """(crop or resize) -> pre-gamma -> tone mapper -> saturation -> post-gamma -> quantise."""
+def render(px: DataFrame, tmo: str, pregamma: float = 1.0, postsaturation: float = 1.0, postgamma: float = 1.0, crop: tuple | None = None, xsize: int | None = None, auto: float | None = None, bits: int = 8, **params) -> DataFrame:
+    """(crop or resize) -> pre-gamma -> tone mapper -> saturation -> post-gamma -> automatic levels with threshold `auto` -> quantise."""
     out = pixels.crop(px, *crop) if crop else pixels.resize_bilinear(px, xsize) if xsize else px
     out = tonemap.get_tone_mapper(tmo)(pixels.apply_gamma(out, pregamma), **params)
     out = pixels.apply_gamma(pixels.apply_saturation(out, postsaturation), postgamma)
+    if auto is not None:
+        found = levels.auto_levels(pixels.quantize(out, 0.0, 1.0, "linear", 8), auto)
+        at = stats.with_stats(out, found)
+        out = pixels.each(at, lambda c: color.normalize(c, F.col("lo"), F.col("hi"))).drop("lo", "hi", "gamma")
     return pixels.quantize(out, 0.0, 1.0, "linear", bits)
 
 
-def render_batch(px: DataFrame, presets: dict[str, dict]) -> DataFrame:
-    """All frames by all presets, with the preset's name. Presets are a handful of plans over the same scan."""
-    return reduce(DataFrame.unionByName, [render(px, **p).withColumn("preset", F.lit(name)) for name, p in presets.items()])
+def render_batch(px: DataFrame, presets: dict[str, dict]) -> tuple[DataFrame, dict[str, str]]:
+    """All frames by all presets, with the preset's name, and the errors of presets that could not be planned: they do not stop the others.
+
+    Presets are a handful of plans over the same scan. A frame whose numbers break down (a log of nothing, say) has null or NaN pixels and stops no other frame.
+    """
+    found, errors = [], {}
+    for name, preset in presets.items():
+        try:
+            found.append(render(px, **preset).select("frame_id", "x", "y", *pixels.RGB, F.lit(name).alias("preset")))
+        except (ValueError, TypeError) as e:
+            errors[name] = str(e)
+    if not found:
+        raise ValueError(f"no preset could be planned: {errors}")
+    return reduce(DataFrame.unionByName, found), errors
 
 
 def batch_plan(frames: DataFrame, presets: DataFrame) -> DataFrame:

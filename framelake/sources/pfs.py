@@ -46,7 +46,11 @@ def decode(content: bytes) -> tuple[int, int, dict[str, np.ndarray], dict[str, s
 
 def read_pfs(spark: SparkSession, glob: str) -> DataFrame:
     """(path, x, y, r, g, b, error) of all files; a broken one is a row with its error."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    return pixels_of(spark.read.format("binaryFile").load(glob).select("path", "content"))
+
+
+def pixels_of(files: DataFrame) -> DataFrame:
+    """The same of (path, content)."""
 
     def rows(batches: Iterator):
         import pandas as pd

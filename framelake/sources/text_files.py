@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG_OF_ZERO = -6.0
 
 
 def numbers(lines: DataFrame, names: list[str]) -> DataFrame:
+    """(file, names) of the lines (file, value) that hold that many numbers."""
     parts = F.split(F.trim("value"), r"\s+")
-    data = lines.where(~F.trim("value").startswith("#") & (F.length(F.trim("value")) > 0)).select(F.input_file_name().alias("file"), parts.alias("p"))
+    data = lines.where(~F.trim("value").startswith("#") & (F.length(F.trim("value")) > 0)).select("file", parts.alias("p"))
     return data.where(F.size("p") >= len(names)).select("file", *[F.col("p")[i].cast("double").alias(c) for i, c in enumerate(names)])
 
 
-def read_response(spark: SparkSession, path: str) -> DataFrame:
-    """(file, m, logR, R, logG, G, logB, B) of response files; a file whose row count is not the one it states is an error."""
-    lines = spark.read.text(path)
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+
+
+def parse_response(lines: DataFrame) -> DataFrame:
+    """(file, m, logR, R, logG, G, logB, B) of lines (file, value); a file whose row count is not the one it states fails when it is read."""
     rows = numbers(lines, ["m", "log_r", "r", "log_g", "g", "log_b", "b"])
-    stated = lines.select(F.input_file_name().alias("file"), F.regexp_extract("value", r"^#\s*rows:\s*(\d+)", 1).alias("n")).where("n <> ''").select("file", F.col("n").cast("bigint").alias("stated"))
-    counted = rows.groupBy("file").agg(F.count("*").alias("found")).join(stated, "file")
-    wrong = counted.where("stated <> found")
-    checked = rows.join(counted.select("file", F.when(F.col("stated") != F.col("found"), F.raise_error(F.lit("row count of the response file differs from its header"))).cast("string").alias("_bad")), "file", "left")
-    return checked.drop("_bad") if wrong.isEmpty() else checked
+    stated = lines.select("file", F.regexp_extract("value", r"^#\s*rows:\s*(\d+)", 1).alias("n")).where("n <> ''").select("file", F.col("n").cast("bigint").alias("stated"))
+    counted = rows.groupBy("file").agg(F.count("*").alias("found")).join(stated, "file", "left")
+    error = F.raise_error(F.lit("row count of the response file differs from its header")).cast("bigint")
+    checked = counted.select("file", F.when(F.coalesce("stated", "found") == F.col("found"), F.col("found")).otherwise(error).alias("found"))
+    return rows.join(checked, "file").where("found > 0").drop("found")
+
+
+def read_response(spark: SparkSession, path: str) -> DataFrame:
+    return parse_response(text_lines(spark, path))
 
 
 def response_text(response: DataFrame) -> DataFrame:
@@ -35,12 +43,54 @@ def response_text(response: DataFrame) -> DataFrame:
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    return numbers(spark.read.text(path), ["weight", "level"])
+    return numbers(text_lines(spark, path), ["weight", "level"])
 
 
-def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, settings): KEY=VALUE lines as a map; # starts a comment, the last of equal keys holds."""
-    kept = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("i"), F.trim("value").alias("v"))
-    pairs = kept.where(~F.col("v").startswith("#") & F.col("v").contains("=")).select("file", "i", F.trim(F.substring_index("v", "=", 1)).alias("k"), F.expr("trim(substring(v, instr(v, '=') + 1))").alias("x"))
+def weights_text(weights: DataFrame) -> DataFrame:
+    """Lines ` weight level` of (level, weight), in the order of the level, under their header."""
+    return weights.select("level", F.format_string(" %15.9f %4d", F.col("weight").cast("double"), F.col("level").cast("bigint")).alias("line"))
+
+
+def read_basis_lut(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """(base, i, y) of a table of comma-separated rows: luminance, then k functions of it; i is the row's place by luminance, which is log2(light) in `x`."""
+    names = [f"y{b}" for b in range(1, k + 1)]
+    table = spark.read.schema(", ".join(f"{n} double" for n in ["light", *names])).csv(path)
+    return basis_rows(table, k)
+
+
+def basis_rows(table: DataFrame, k: int) -> DataFrame:
+    """(base, i, x, y) of (light, y1, ..., yk)."""
+    place = F.row_number().over(Window.orderBy("light")) - 1  # some dozens of rows
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(f"y{b}").alias("y")) for b in range(1, k + 1)]))
+    return table.withColumn("i", place).select("i", F.log2("light").alias("x"), each.alias("e")).select("e.base", "i", "x", "e.y")
+
+
+# What RANGE means by tone mapper.
+RANGE_OF = {"Durand02": "durand_range", "Reinhard02": "reinhard_range"}
+
+
+def parse_settings(lines: DataFrame) -> DataFrame:
+    """(file, version, tmo, numbers, switches, texts) of lines (file, i, value): KEY=VALUE, # starts a comment, the last of equal keys holds.
+
+    Values that are numbers are doubles, YES and NO switches, others texts. RANGE is renamed by the file's tone mapper.
+    """
+    kept = lines.select("file", "i", F.trim(F.substring_index("value", "#", 1)).alias("v"))
+    pairs = kept.where(F.col("v").contains("=")).select("file", "i", F.upper(F.trim(F.substring_index("v", "=", 1))).alias("k"), F.expr("trim(substring(v, instr(v, '=') + 1))").alias("x"))
     last = pairs.groupBy("file", "k").agg(F.max_by("x", "i").alias("x"))
-    return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("settings"))
+    heads = last.groupBy("file").agg(F.max(F.when(F.col("k") == "VERSION", F.col("x"))).alias("version"), F.max(F.when(F.col("k") == "TMO", F.col("x"))).alias("tmo"))
+    at = last.join(heads, "file").where(~F.col("k").isin("VERSION", "TMO"))
+    renamed = F.lower("k")
+    for tmo, name in RANGE_OF.items():
+        renamed = F.when((F.col("k") == "RANGE") & (F.col("tmo") == tmo), name).otherwise(renamed)
+    switch, number = F.upper("x").isin("YES", "NO"), F.expr("try_cast(x as double)")
+    at = at.select("file", "version", "tmo", renamed.alias("k"), "x", switch.alias("is_switch"), number.alias("number"))
+    entries = lambda cond, value: F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(F.when(cond, F.struct("k", value.alias("v")))))))
+    is_number = ~F.col("is_switch") & F.col("number").isNotNull()
+    return at.groupBy("file", "version", "tmo").agg(
+        entries(is_number, F.col("number")).alias("numbers"), entries(F.col("is_switch"), F.upper("x") == "YES").alias("switches"),
+        entries(~F.col("is_switch") & F.col("number").isNull(), F.col("x")).alias("texts"),
+    )
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    return parse_settings(text_lines(spark, path).withColumn("i", F.monotonically_increasing_id()))

@@ -8,68 +8,148 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Times of adaptation and of bleaching of cones and rods, the light that bleaches half, and the level at the start.
 CONE_TIME, ROD_TIME, CONE_BLEACH, ROD_BLEACH = 0.080, 0.150, 110.0, 400.0
-START = 60.0
+CONE_HALF, ROD_HALF = 2.2e8, 16.0
+START = (60.0, 60.0, 2e6 / (2e6 + 60.0), 0.04 / (0.04 + 60.0))
+STATES = ("cone", "rod", "cone_pigment", "rod_pigment")
+CHUNK = 4096  # frames of a sequence that are folded in one task
 
 
-def adapt(state: tuple[float, float], lum: float, dt: float) -> tuple[float, float]:
-    """Move cone and rod adaptation towards a frame's luminance."""
-    cone, rod = state
-    return cone + (1 - math.exp(-dt / CONE_TIME)) * (lum - cone), rod + (1 - math.exp(-dt / ROD_TIME)) * (lum - rod)
+def steps(lum, dt: float) -> list[tuple]:
+    """(a, b) of each state: a frame of that luminance takes a state s to a s + b."""
+    fade = [math.exp(-dt / t) for t in (CONE_TIME, ROD_TIME)]
+    return [(0 * lum + f, (1 - f) * lum) for f in fade] + [(1 - dt / tau - dt * lum / half, 0 * lum + dt / tau) for tau, half in ((CONE_BLEACH, CONE_HALF), (ROD_BLEACH, ROD_HALF))]
 
 
-def temporal_adaptation(seq: DataFrame, dt: float = 1 / 25) -> DataFrame:
-    """(seq_id, n, cone, rod) after every frame: an ordered fold inside each sequence, by built-in functions.
+def fold(frame, start, dt: float):
+    """The frames of a chunk, in order, with their states from `start` on."""
+    import numpy as np
 
-    A sequence's frames are gathered in order; sequences are independent of one another.
+    frame = frame.sort_values("n")
+    out = {}
+    for name, (a, b), state in zip(STATES, steps(frame["lum"].to_numpy(float), dt), start, strict=True):
+        states = np.empty(len(frame))
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            state = states[i] = x * state + y
+        out[name] = states
+    return frame[["seq_id", "n"]].assign(**out)
+
+
+def temporal_adaptation(seq: DataFrame, dt: float = 1 / 25, chunk: int = CHUNK) -> DataFrame:
+    """(seq_id, n, cone, rod, cone_pigment, rod_pigment) after every frame n = 1, 2, ... of a sequence.
+
+    Every state is a linear recurrence, so chunks of a sequence are summed up on their own (what they make of any state), the sums of a sequence, a row for
+    each chunk, are carried through in order, and the chunks are folded from what they begin with. A task holds a chunk, however long a sequence is.
     """
-    fade_c, fade_r = 1 - math.exp(-dt / CONE_TIME), 1 - math.exp(-dt / ROD_TIME)
-    lists = seq.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("n", "lum"))).alias("frames"))
-    folded = lists.select(
-        "seq_id",
-        F.explode(
-            F.aggregate(
-                "frames",
-                F.expr("cast(array() as array<struct<n:bigint,cone:double,rod:double>>)"),
-                lambda acc, f: F.concat(
-                    acc,
-                    F.array(
-                        F.struct(
-                            f["n"].cast("bigint").alias("n"),
-                            (F.coalesce(F.try_element_at(acc, F.lit(-1))["cone"], F.lit(START)) * (1 - fade_c) + fade_c * f["lum"]).alias("cone"),
-                            (F.coalesce(F.try_element_at(acc, F.lit(-1))["rod"], F.lit(START)) * (1 - fade_r) + fade_r * f["lum"]).alias("rod"),
-                        )
-                    ),
-                ),
-            )
-        ).alias("f"),
-    )
-    return folded.select("seq_id", "f.n", "f.cone", "f.rod")
+    at = seq.select("seq_id", "n", "lum", F.floor((F.col("n") - 1) / chunk).alias("chunk"))
+
+    def sum_up(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("n")
+        row = {"seq_id": frame["seq_id"].iat[0], "chunk": frame["chunk"].iat[0]}
+        for name, (a, b) in zip(STATES, steps(frame["lum"].to_numpy(float), dt), strict=True):
+            scale, shift = 1.0, 0.0
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                scale, shift = scale * x, shift * x + y
+            row |= {f"{name}_a": scale, f"{name}_b": shift}
+        return pd.DataFrame([row])
+
+    def carry(frame):
+        frame, state = frame.sort_values("chunk"), list(START)
+        begins = []
+        for row in frame.itertuples():
+            begins.append(list(state))
+            state = [getattr(row, f"{name}_a") * s + getattr(row, f"{name}_b") for name, s in zip(STATES, state, strict=True)]
+        return frame[["seq_id", "chunk"]].assign(**{name: [b[i] for b in begins] for i, name in enumerate(STATES)})
+
+    kinds = ", ".join(f"{name} double" for name in STATES)
+    sums = at.groupBy("seq_id", "chunk").applyInPandas(sum_up, "seq_id bigint, chunk bigint, " + ", ".join(f"{name}_{p} double" for name in STATES for p in "ab"))
+    begins = sums.groupBy("seq_id").applyInPandas(carry, f"seq_id bigint, chunk bigint, {kinds}")
+    by = ["seq_id", "chunk"]
+    return at.groupBy(*by).cogroup(begins.groupBy(*by)).applyInPandas(lambda frames, start: fold(frames, start[list(STATES)].iloc[0], dt), f"seq_id bigint, n bigint, {kinds}")
 
 
 def temporal_adaptation_stream(seq: DataFrame, dt: float = 1 / 25) -> DataFrame:
-    """The same recurrence with its two numbers kept as state; rows of a micro-batch are taken in order of n."""
+    """The same recurrence with its four numbers kept as state; rows of a micro-batch are taken in order of n."""
+    kinds = ", ".join(f"{name} double" for name in STATES)
 
     def step(key, frames, state: GroupState):
         import pandas as pd
 
-        now = state.get if state.exists else (START, START)
+        now = state.get if state.exists else START
         rows = []
         for n, lum in sorted((n, lum) for f in frames for n, lum in zip(f["n"], f["lum"], strict=True)):
-            now = adapt(now, lum, dt)
+            now = tuple(a * s + b for (a, b), s in zip(steps(lum, dt), now, strict=True))
             rows.append((key[0], n, *now))
         state.update(now)
-        yield pd.DataFrame(rows, columns=["seq_id", "n", "cone", "rod"])
+        yield pd.DataFrame(rows, columns=["seq_id", "n", *STATES])
+
+    return seq.groupBy("seq_id").applyInPandasWithState(step, f"seq_id bigint, n bigint, {kinds}", kinds, "append", GroupStateTimeout.NoTimeout)
+
+
+# Coefficients of the tone-curve filter by frames a second, of past outputs and of inputs.
+FILTERS = {
+    25: ((-2.748835809214676, 2.528231219142559, -0.777638560238080), (0.000219606211225409, 0.000658818633676228, 0.000658818633676228, 0.000219606211225409)),
+    30: ((-2.790655305284069, 2.602653173508124, -0.810960871907291), (0.000129624539595474, 0.000388873618786423, 0.000388873618786423, 0.000129624539595474)),
+    60: ((-2.895292177877897, 2.795994584283360, -0.900566088981622), (0.0000170396779801130, 0.0000511190339403389, 0.0000511190339403389, 0.0000170396779801130)),
+}
+CURVE_STATE = "seen int, " + ", ".join(f"{n} double" for n in ("x1", "x2", "x3", "y1", "y2", "y3"))
+
+
+def filtered(value: float, state: tuple, fps: int) -> tuple[float, tuple]:
+    """Next output of a curve's point and its state: how many frames were seen, the last inputs and outputs. Before there are four, the first input stands for the past."""
+    past, now = FILTERS[fps]
+    seen, xs, ys = state[0] + 1, [value, *state[1:4]], [None, *state[4:7]]
+    oldest = xs[min(seen, 4) - 1]
+    xs = [xs[t] if t < seen else oldest for t in range(4)]
+    ys = [None, *(ys[t] if t < seen else xs[t] for t in range(1, 4))]
+    out = sum(b * x for b, x in zip(now, xs, strict=True)) - sum(a * y for a, y in zip(past, ys[1:], strict=True))
+    return out, (min(seen, 4), value, state[1], state[2], out, state[4], state[5])
+
+
+UNSEEN = (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def filter_tone_curves(curves: DataFrame, fps: int = 25, lo: float = float("-inf"), hi: float = float("inf")) -> DataFrame:
+    """(seq_id, n, point, y): tone curves (seq_id, n, point, y) smoothed over time, each point on its own; outputs are clamped, what the filter remembers is not."""
+    if fps not in FILTERS:
+        raise ValueError(f"no filter for {fps} frames a second; known: {', '.join(map(str, FILTERS))}")
+
+    def run(frame):
+        frame, state, out = frame.sort_values("n"), UNSEEN, []
+        for v in frame["y"].tolist():
+            y, state = filtered(v, state, fps)
+            out.append(min(hi, max(lo, y)))
+        return frame[["seq_id", "n", "point"]].assign(y=out)
+
+    return curves.select("seq_id", "n", "point", "y").groupBy("seq_id", "point").applyInPandas(run, "seq_id bigint, n bigint, point int, y double")
+
+
+def filter_tone_curves_stream(curves: DataFrame, fps: int = 25, lo: float = float("-inf"), hi: float = float("inf")) -> DataFrame:
+    """The same with the last three inputs and outputs of every point as state."""
+
+    def step(key, frames, state: GroupState):
+        import pandas as pd
+
+        now, rows = state.get if state.exists else UNSEEN, []
+        for n, v in sorted((n, v) for f in frames for n, v in zip(f["n"], f["y"], strict=True)):
+            y, now = filtered(v, now, fps)
+            rows.append((key[0], n, key[1], min(hi, max(lo, y))))
+        state.update(now)
+        yield pd.DataFrame(rows, columns=["seq_id", "n", "point", "y"])
 
-    return seq.groupBy("seq_id").applyInPandasWithState(step, "seq_id bigint, n bigint, cone double, rod double", "cone double, rod double", "append", GroupStateTimeout.NoTimeout)
+    return curves.groupBy("seq_id", "point").applyInPandasWithState(step, "seq_id bigint, n bigint, point int, y double", CURVE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def frame_stats(seq: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str | None = None) -> DataFrame:
-    """Statistics of frames in tumbling (or sliding) windows of frame time; with `delay`, late frames are dropped (streams)."""
+def frame_stats(seq: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str | None = None, gap: str | None = None) -> DataFrame:
+    """Statistics of frames in tumbling (or sliding) windows of frame time, or with `gap` in sessions of a sequence; with `delay`, late frames are dropped (streams)."""
     timed = seq.withWatermark("ts", delay) if delay else seq
-    window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = timed.groupBy(window.alias("w")).agg(F.count("*").alias("frames"), F.min("lum").alias("lo"), F.max("lum").alias("hi"), F.avg("lum").alias("mean"))
-    return out.select(F.col("w.start").alias("start"), "frames", "lo", "hi", "mean")
+    window = F.session_window("ts", gap) if gap else F.window("ts", size, slide) if slide else F.window("ts", size)
+    keys = ["seq_id"] if gap else []
+    out = timed.groupBy(*keys, window.alias("w")).agg(F.count("*").alias("frames"), F.min("lum").alias("lo"), F.max("lum").alias("hi"), F.avg("lum").alias("mean"))
+    return out.select(*keys, F.col("w.start").alias("start"), "frames", "lo", "hi", "mean")
 
 
 def assemble_brackets_stream(files: DataFrame, n: int, timeout: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

@@ -79,8 +79,9 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "bad.m").write_text("# rows: 3\n# columns: 7\n 0 -6 0 -6 0 -6 0\n")
     with pytest.raises(Exception, match="row count"):
         text_files.read_response(spark, str(tmp_path / "bad.m")).collect()
-    (tmp_path / "s.txt").write_text("# made\nTMO=Drago03\nBIAS = 0.8\nTMO=Mai\n")
-    assert text_files.read_settings(spark, str(tmp_path / "s.txt")).first()["settings"] == {"TMO": "Mai", "BIAS": "0.8"}
+    (tmp_path / "s.txt").write_text("# made\nTMO=Drago03\nBIAS = 0.8\nTMO=Mai\nLOCAL=yes\n")
+    got = text_files.read_settings(spark, str(tmp_path / "s.txt")).first()
+    assert (got["tmo"], got["numbers"], got["switches"], got["texts"]) == ("Mai", {"bias": 0.8}, {"local": True}, {})
 
 
 def test_stream_is_batch(spark, tmp_path):
