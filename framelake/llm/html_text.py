@@ -5,7 +5,7 @@
    copies and count once, so that copies of a page cannot make its content a template. A subtree on many such pages of its host is template.
 3. Pages join the template subtrees of their own host. The text of a page is what is left after these subtrees, the
    elements whose role is not the article (navigation, asides, forms, scripts, ...) and those whose class or
-   id names such a role are deleted. If the page has an article (or main) element, the text is that element's.
+   id names such a role are deleted; inside an article only what the names of menus, sidebars, notices, adverts, forms and comments mark. If the page has an article (or main) element, the text is that element's.
    Paragraphs and headings inside it are never template. On a host that has copies of one page only nothing is.
 
 Null html and pages without text give an empty string. Broken markup is read as far as it goes: unclosed elements end with
@@ -18,16 +18,17 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidied
 
 MIN_PAGES, MIN_SHARE = 3, 0.02  # a subtree on so many pages of different text of its host, and on such a share of them, is template
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|button|object|math)\b.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe)\b.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
@@ -36,29 +37,35 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*
 
 # Element names of HTML and common names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr".split())
-DROP = frozenset("nav footer aside form head title dialog menu fieldset figcaption audio video canvas input option datalist".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr"
+    " math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mfenced semantics annotation audio video canvas object button textarea select option output meter progress".split())
+DROP = frozenset("nav footer aside form head title dialog menu fieldset".split())
+OUTSIDE = frozenset("figcaption audio video canvas object button textarea select option datalist math".split())  # text of an article, but no text beside one
 LANDMARK = frozenset("article main".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section body html".split())
 CLOSES_P = frozenset("p div ul ol dl li dt dd table tr td th thead tbody section article aside header footer nav main form h1 h2 h3 h4 h5 h6 blockquote pre figure hr address fieldset".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices"
-    " alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations promo promoted promotion sponsor sponsored"
-    " comment comments commentlist replies reply respond disqus widget widgets toolbar masthead pagination pager skip complementary contentinfo search searchbox".split()
+    " newsletter subscribe subscription signup promo promoted promotion sponsor sponsored comment comments commentlist replies reply respond disqus".split()
+)
+PARTS_OUTSIDE = PARTS | frozenset(
+    "alert popup modal overlay login share sharing social related recommended recommendations widget widgets toolbar masthead pagination pager skip complementary contentinfo search searchbox".split()
 )
 WORDS = re.compile(r"[A-Za-z]+")
 
 
 def is_part(tag: str, attrs: str, inside: bool) -> bool:
     """Is the element by its name, class, id or role something other than the article?"""
-    if tag in DROP or tag == "header" and not inside:
+    if tag in DROP or not inside and (tag in OUTSIDE or tag == "header"):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     if HIDDEN.search(attrs):
         return True
-    return any(w in PARTS or w == "header" and not inside for m in ROLE.finditer(attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    parts = PARTS if inside else PARTS_OUTSIDE
+    return any(w in parts or w == "header" and not inside for m in ROLE.finditer(attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
 
 
 def read_page(page: str, template: frozenset[int] | None) -> tuple[list[int], str]:
@@ -146,8 +153,6 @@ def template_subtrees(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: f
     """(key, subtrees): for every page of (key, host, html), host a number, its subtrees that are template of its host."""
 
     def subtrees(batches: Iterator):
-        import pandas as pd
-
         for batch in batches:
             rows = []
             for k, h, page in zip(batch["key"], batch["host"], batch["html"], strict=True):
@@ -156,7 +161,8 @@ def template_subtrees(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: f
                 rows += [(k, h, x, body) for x in {None, *hashes}]
             yield pd.DataFrame(rows, columns=["key", "host", "subtree", "body"], dtype=object)  # nulls would turn 64-bit hashes into floats
 
-    held = keyed.mapInPandas(subtrees, "key bigint, host bigint, subtree bigint, body bigint")  # a row of no subtree for each page
+    held = keyed.mapInPandas(tidied(subtrees), "key bigint, host bigint, subtree bigint, body bigint")  # a row of no subtree for each page
+    held = materialize(held, "held")
     counts = held.groupBy("host", "subtree").agg(F.countDistinct("body").alias("n"))
     counts = materialize(counts.where(F.col("subtree").isNull() | (F.col("n") >= min_pages)), "subtrees")
     sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
@@ -176,7 +182,7 @@ def extract(pages: DataFrame) -> DataFrame:
             found = [read_page(page, frozenset(known if known is not None else ()))[1] for page, known in zip(batch["html"], batch["subtrees"], strict=True)]
             yield batch[["page_id", "url"]].assign(text=found)
 
-    out = joined.drop("key").mapInPandas(texts, "page_id bigint, url string, text string")
+    out = joined.drop("key").mapInPandas(tidied(texts), "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
