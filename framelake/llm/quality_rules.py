@@ -20,23 +20,35 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MAX_HOST_RATE = 0.5
-POSITION = 65536  # a window's hash shares a 64-bit integer with its position up to this many words
+POSITION = 65536  # a window's hash shares a 64-bit integer with its position up to this many words; longer texts take twice the memory
 
 
-def measure(documents: DataFrame) -> DataFrame:
+def measure(documents: DataFrame, window_hash: str = "xxhash64({0}, {1}, {2})") -> DataFrame:
     """(doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of every row."""
     t = documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("w", F.array_remove(F.split("text", SPACE), "")).withColumn("lines", F.expr(r"filter(split(text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
-    t = t.withColumn("n", F.size("w"))
+    t, hashed = t.withColumn("n", F.size("w")), window_hash.format("w[i]", "w[i + 1]", "w[i + 2]")
     t = t.withColumn(
         "packed",
-        F.expr(f"case when n between 6 and {POSITION} then sort_array(transform(sequence(0, n - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {-POSITION}L) | i)) end"),
-    ).withColumn("wide", F.expr(f"case when n > {POSITION} then array_sort(transform(sequence(0, n - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as i))) end"))
-    near = f"filter(packed, (x, k) -> (x & {-POSITION}L) = (get(packed, k - 1) & {-POSITION}L) or (x & {-POSITION}L) = (get(packed, k + 1) & {-POSITION}L))"
+        F.expr(f"case when n between 6 and {POSITION} then sort_array(transform(sequence(0, n - 3), i -> ({hashed} & {-POSITION}L) | i)) end"),
+    ).withColumn("wide", F.expr(f"case when n > {POSITION} then array_sort(transform(sequence(0, n - 3), i -> struct(cast({hashed} as bigint) as h, i as i))) end"))
+    # Equal windows are neighbours in the order of hashes. Neighbours of equal hash are held against each other word by word; if any two differ,
+    # the text's windows are sorted by their words instead.
+    words = "w[{0}] = w[{1}] and w[{0} + 1] = w[{1} + 1] and w[{0} + 2] = w[{1} + 2]".format
+    spot, before, after = f"cast(x & {POSITION - 1}L as int)", "get(packed, k - 1)", "get(packed, k + 1)"
+    alike = f"(x & {-POSITION}L) = ({{}} & {-POSITION}L)".format
+    t = t.withColumn(
+        "differ",
+        F.expr(f"""n >= 6 and case when n <= {POSITION} then exists(zip_with(packed, sequence(0, n - 3), (x, k) -> {alike(before)} and not ({words(spot, f"cast({before} & {POSITION - 1}L as int)")})), x -> coalesce(x, false))
+            else exists(zip_with(wide, sequence(0, n - 3), (x, k) -> x.h = get(wide, k - 1).h and not ({words("x.i", "get(wide, k - 1).i")})), x -> coalesce(x, false)) end"""),
+    )
+    t = t.withColumn("sorted", F.expr("case when differ then array_sort(transform(sequence(0, n - 3), i -> struct(w[i] as a, w[i + 1] as b, w[i + 2] as c, i as i))) end"))
+    same = "x.a = get(sorted, {0}).a and x.b = get(sorted, {0}).b and x.c = get(sorted, {0}).c".format
     t = t.withColumn(
         "again",
-        F.expr(f"""case when n < 6 then case when n >= 4 then filter(sequence(0, n - 3), i -> exists(sequence(0, n - 3), j -> j <> i and w[i] = w[j] and w[i + 1] = w[j + 1] and w[i + 2] = w[j + 2])) else array() end
-            when n <= {POSITION} then transform({near}, x -> cast(x & {POSITION - 1}L as int))
+        F.expr(f"""case when n < 6 then case when n >= 4 then filter(sequence(0, n - 3), i -> exists(sequence(0, n - 3), j -> j <> i and {words("i", "j")})) else array() end
+            when differ then transform(filter(sorted, (x, k) -> {same("k - 1")} or {same("k + 1")}), x -> x.i)
+            when n <= {POSITION} then transform(filter(packed, (x, k) -> {alike(before)} or {alike(after)}), x -> {spot})
             else transform(filter(wide, (x, k) -> x.h = get(wide, k - 1).h or x.h = get(wide, k + 1).h), x -> x.i) end"""),
     )
     repeated = F.expr("size(array_distinct(flatten(transform(again, p -> array(p, p + 1, p + 2)))))")
