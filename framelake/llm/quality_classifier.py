@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, crc_fold, from_text, table
@@ -100,9 +100,8 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column) -> np.ndarray:
     own = labels.where(usable & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total, hash_ = sum(sizes.values()), F.xxhash64("doc_id", F.lit(7))
-    share = F.when(F.col("quality") == 1, min(1.0, 4 * SAMPLE_PER_LABEL / sizes.get(1, 1))).otherwise(min(1.0, 4 * SAMPLE_PER_LABEL / sizes.get(0, 1)))
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(hash_, "doc_id"))  # of about four times as many rows as are taken
-    sample = own.where(F.pmod(hash_, F.lit(1_000_000)) < share * 1_000_000).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LABEL).drop("rank")
+    each = [own.where(F.col("quality") == q).orderBy(hash_, "doc_id").limit(SAMPLE_PER_LABEL) for q in (0, 1)]
+    sample = each[0].unionAll(each[1])
     start = F.pmod(hash_, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
     texts = documents.where("text is not null").select("doc_id", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).cast("binary").alias("text"))
     found = texts.join(F.broadcast(sample), "doc_id")  # at most 2 * SAMPLE_PER_LABEL rows
