@@ -72,7 +72,7 @@ def test_packing(spark, awkward, nothing):
 
     path = public.path(packing.VOCABULARY)
     library = Tokenizer.from_file(path)
-    got = packing.pack_documents(awkward, path, 512).toPandas()
+    got = packing.pack_documents(awkward, path, 512, max_docs=3, weights=(1.0, 0.1, 0.1)).toPandas()
     want = []
     for doc, text, _, _ in AWKWARD:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -132,7 +132,7 @@ def test_ngram_jaccard(spark, monkeypatch, block, frequent, long):
     monkeypatch.setattr(ngram_jaccard, "LOCAL", 2)
     monkeypatch.setattr(ngram_jaccard, "LONG", long)
     texts = random_texts(220, random.Random(block))
-    got = ngram_jaccard.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).toPandas().sort_values("doc_id")
+    got = ngram_jaccard.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 4, 85).toPandas().sort_values("doc_id")
 
     def shingles(text):
         words = text.lower().split()
@@ -145,7 +145,7 @@ def test_ngram_jaccard(spark, monkeypatch, block, frequent, long):
 
 
 def test_ngram_jaccard_awkward(awkward, nothing):
-    got = ngram_jaccard.join_components(awkward).toPandas()
+    got = ngram_jaccard.join_components(awkward, 4, 85).toPandas()
     assert len(got) == len(AWKWARD) and got.component_id.isna().sum() == 1
     assert set(got[got.doc_id.isin([7, 8])].component_id) == {7} and set(got[got.doc_id == 2].n_shingles) == {0}
     assert ngram_jaccard.join_components(nothing).count() == 0
