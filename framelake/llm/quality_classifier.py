@@ -17,6 +17,7 @@ piece of SAMPLE_CHARS.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +41,18 @@ def word_codes(word: bytes) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(RUNS.sub(rb"\1\1", word.translate(SHAPE)), 7)
 
 
+def code_memo() -> Memo:
+    """Both codes of a word, packed."""
+    return Memo(lambda word: struct.pack("<QQ", *word_codes(word)), 128 << 20)
+
+
 def features(text: bytes, codes: Memo) -> tuple[np.ndarray, int]:
     """Hashed features of a text, repeated as often as they occur, and its number of words."""
     words = text.split()
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), 0
-    both = np.array([codes[w] for w in words], np.uint64)
+    both = np.frombuffer(b"".join(map(codes.__getitem__, words)), "<u8").reshape(-1, 2)
     raw, shape = both[:, 0], both[:, 1]
     k1, k2, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - BITS)
     two = (shape[:-1] * k1) ^ shape[1:]
@@ -82,7 +88,7 @@ class Ftrl:
 
 def train(rows: list[tuple[bytes, int]], importance: dict[int, float]) -> np.ndarray:
     """Weights; the last is the bias. `rows` are (text, label) in a fixed order."""
-    codes, model, prepared = Memo(word_codes), Ftrl(), []
+    codes, model, prepared = code_memo(), Ftrl(), []
     for text, label in rows:
         found, n = features(text, codes)
         at, times = np.unique(found, return_counts=True)
@@ -119,7 +125,7 @@ def score(documents: DataFrame, weights: np.ndarray, text: str = "text") -> Data
     shipped = documents.sparkSession.sparkContext.broadcast(weights)
 
     def rate(parts: Iterator):
-        w, codes = shipped.value, Memo(word_codes)
+        w, codes = shipped.value, code_memo()
         for texts in parts:
             out = []
             for x in texts:

@@ -41,7 +41,7 @@ class PieceCounter:
         self.score = {model.id_to_piece(i): -model.get_score(i) for i in plain}
         self.longest = max(map(len, self.score))
         self.by_word = not any(MARK in piece.lstrip(MARK) for piece in self.score)
-        self.cache = Memo(self.merge)
+        self.cache = Memo(self.merge, 192 << 20)
 
     def merge(self, piece: str) -> int:
         n, score = len(piece), self.score

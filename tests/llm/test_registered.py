@@ -95,7 +95,7 @@ def test_op7(spark, docs):
     got = run(spark, "op7_quality_classifier").set_index("doc_id")
     spark_docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     weights = quality_classifier.fit(spark_docs, labels, ~quality_classifier.held_out())
-    codes = quality_classifier.Memo(quality_classifier.word_codes)
+    codes = quality_classifier.code_memo()
     for doc, text in zip(docs.doc_id, docs.text.fillna(""), strict=True):
         found, n = quality_classifier.features(text.encode(), codes)
         score = quality_classifier.sigmoid(weights[-1] + (quality_classifier.SCALE * float(weights[found].sum()) / n if n else 0.0))
@@ -155,7 +155,7 @@ def test_pipeline_from_end_to_end(spark, docs):
     model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"), F.lit(True))
     kept = docs[[not model.predict(t, letters)[2] for t in docs.text]]
     weights = quality_classifier.fit(spark.createDataFrame(kept[["doc_id", "text"]]), spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
-    codes = quality_classifier.Memo(quality_classifier.word_codes)
+    codes = quality_classifier.code_memo()
 
     def good(text: str) -> bool:
         found, n = quality_classifier.features(text.encode(), codes)
