@@ -29,7 +29,7 @@ SIZES = (3, 4, 5, 6)
 BITS = 20
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000  # labelled texts of each label
 SAMPLE_CHARS = 20_000
-LEAST_Z = 3.5
+LEAST_Z = 6.5
 PENALTY = 0.02
 TURNS = 250
 STEP = 0.07
