@@ -1,14 +1,15 @@
 """Operator 6 [native]: licence notices by a trained paragraph classifier.
 
-A paragraph is a line, or a run of neighbouring lines that all hold a word of licences (a wrapped notice). It is a sparse vector of word uni- and
+A paragraph is a line, or a run of lines near each other that hold words of licences (a wrapped notice; one line between two of them may hold none). It is a sparse vector of word uni- and
 bigrams over the vocabulary of the licence templates, each of the n that it holds weighing 1 / sqrt(n). A multinomial logistic
 regression over the families and `unknown` is trained here on the templates and names of licences, against a bounded sample of ordinary lines.
 A temperature and the bias of `unknown` are fitted on a third of these rows that the regression has not seen, so that likelihoods are
 calibrated. A family is reported where its likelihood passes the threshold; a comparison with the family's templates (the largest share of a template's
 n-grams that the paragraph holds) confirms it.
 
-Scoring is built-in functions only. No paragraph can be a licence without an n-gram that speaks for a family, so lines are first joined with the
-rarest word of each such n-gram, learned as the weights are; the others cannot pass and go no further. That table and the weights are of fixed size.
+Scoring is built-in functions only. No paragraph can be a licence without an n-gram that speaks for a family, so only lines that hold the rarest
+word of such an n-gram, learned as the weights are, go further; the others cannot pass. Those words and the weights are of fixed size. How often a word
+stands in the corpus decides only which word of an n-gram leads to it, never whether it counts.
 
 Returns a row for each licence paragraph: doc_id, paragraph (number of its first line, from 0), n_lines, family, likelihood, similarity,
 confirmed. A run of lines is reported in place of its lines where none of these is confirmed. Documents without a notice, null and empty texts give no row; repeated rows
@@ -103,6 +104,7 @@ TEMPLATES = {
 CARRIERS = (
     "{}", "licensed under {}", "licensed under the {}", "released under the {}", "released under {}", "distributed under {}", "this work is licensed under the {}", "this project is licensed under the terms of the {}",
     "available under the {}", "the code is under {}", "see the license file for the {}", "spdx-license-identifier {}", "license {}", "this file is part of a library under the {}", "published under {}",
+    "governed by the {}", "covered by the {}", "subject to the {}", "provided under the terms of {}", "may be used under the {}", "free under the {}", "{} or later", "{} copyright c", "{} see license.txt",
 )
 # Ordinary sentences with words of licences.
 OTHER = (
@@ -124,8 +126,8 @@ STOP = frozenset(
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 UNKNOWN = "unknown"
 SAMPLE_DOCUMENTS, SAMPLE_LINES, LINE_CHARS = 1500, 3, 2000  # ordinary lines that take part in training: documents, lines of each, characters of a line
-COMMON = 0.01  # a word in more than this share of the ordinary lines counts as a function word
-LEAST, SIMILAR = 0.6, 0.5
+GAP = 2  # hit lines this far apart belong to one run: a wrapped notice may have a line without a leading word
+LEAST, SIMILAR = 0.5, 0.5
 
 
 def words_of(line: str) -> list[str]:
@@ -164,7 +166,7 @@ class Model:
     def __init__(self, families: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, line_share: dict[str, float]):
         self.families, self.weights, self.bias = families, weights, bias
         speaks = [g for g, w in weights.items() if (w[:-1] - w[-1]).max() > 0]
-        self.leads = sorted({min(g.split(), key=lambda w: (line_share.get(w, 0.0), w)) for g in speaks})
+        self.leads = sorted({min(g.split(), key=lambda w: (w in STOP, line_share.get(w, 0.0), w)) for g in speaks})
 
     def likelihoods(self, grams: set[str]) -> np.ndarray:
         own = [self.weights[g] for g in sorted(grams) if g in self.weights]
@@ -182,14 +184,13 @@ def train(ordinary: list[str], rounds: int = 200, rate: float = 4.0, decay: floa
     """`ordinary` lines that are half a template or more teach nothing: they may be notices."""
     families = [*phrases(), UNKNOWN]
     lines = [n_grams(line) for line in ordinary]
+    vocabulary = sorted(g for g in set().union(*(n_grams(t) for _, t in positives())) if not STOP.issuperset(g.split()))
+    known = set(vocabulary)
+    lines = [grams for grams in lines if not grams & known or max(similarity(grams, f) for f in families[:-1]) < SIMILAR]
     line_share: dict[str, float] = {}
     for grams in lines:
         for g in grams:
             line_share[g] = line_share.get(g, 0.0) + 1 / len(lines)
-    usual = STOP | {w for w, share in line_share.items() if share > COMMON}
-    vocabulary = sorted(g for g in set().union(*(n_grams(t) for _, t in positives())) if not usual.issuperset(g.split()))
-    known = set(vocabulary)
-    lines = [grams for grams in lines if not grams & known or max(similarity(grams, f) for f in families[:-1]) < SIMILAR]
     short = {" ".join(w[i : i + n]) for ts in TEMPLATES.values() for t in ts for w in [t.split()] if len(w) > 6 for n in (1, 2) for i in range(len(w))} - {t for known_ in phrases().values() for t in known_}
     rows = [(families.index(f), n_grams(t) & known) for f, t in positives()] + [(len(families) - 1, grams & known) for grams in [*lines, *map(n_grams, OTHER), *map(n_grams, sorted(short))]]
     rows, told = [(k, tuple(sorted(grams))) for k, grams in rows], {tuple(sorted(n_grams(t) & known)) for t in OTHER}
@@ -248,16 +249,14 @@ def words_in(text: str) -> F.Column:
 
 def pieces_of(documents: DataFrame, model: Model) -> DataFrame:
     """(row, doc_id, first, last, grams, words): lines that hold a leading word, and runs of such lines."""
-    spark = documents.sparkSession
-    leads = F.broadcast(local_table(spark, [{"word": w} for w in model.leads], "word: string"))  # size fixed by the templates
     rows = documents.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     words = lines.select("row", "doc_id", "line", words_in("content").alias("words"))
-    hit = words.select("*", F.explode(F.array_distinct("words")).alias("word")).join(leads, "word")
-    held = hit.groupBy("row", "doc_id", "line").agg(F.first("words").alias("words"))
-    run = F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line"))  # equal for neighbouring lines
+    hit = words.where(F.exists("words", lambda w: w.isin(model.leads)))  # a set of literals, of a size fixed by the templates
+    here = Window.partitionBy("row").orderBy("line")
+    starts = F.when(F.col("line") - F.lag("line").over(here) <= GAP, 0).otherwise(1)
     grams = F.expr("array_distinct(concat(words, zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b))))")
-    held = held.withColumns({"run": run, "grams": grams})
+    held = hit.withColumns({"starts": starts, "grams": grams}).withColumn("run", F.sum("starts").over(here))
     single = held.select("row", "doc_id", "run", F.col("line").alias("first"), F.col("line").alias("last"), "grams")
     several = held.groupBy("row", "doc_id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")).where("last > first")
     return single.unionByName(several)
