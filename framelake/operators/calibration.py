@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from .lineage import cut
+from .lineage import discard, kept
 from .merge import PIXEL, bin_lookup, darker_samples
 from .pixels import RGB
 
@@ -57,23 +57,98 @@ def calibrate_turn(samples: DataFrame, curve: DataFrame) -> DataFrame:
     return normalised(filled.select(*CURVE, "bin", F.coalesce(F.last("mean", ignorenulls=True).over(before), F.lit(0.0)).alias("value")))
 
 
+FOLDED = 1_000_000  # distinct sample tuples of a scene and channel that one task folds; with more of them, a curve takes some jobs a turn
+
+
+def sample_tuples(stack: DataFrame, weight: str) -> DataFrame:
+    """(scene_id, channel, times, values, weights, n): how many pixels have these samples in a channel, darkest first."""
+    step = F.round(F.col("ev") * 1e6).cast("bigint")
+    one = F.struct(step.alias("step"), F.col("exposure_idx").alias("i"), F.pow(F.lit(2.0), F.col("ev")).alias("time"), *RGB)
+    pixel = stack.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(one)).alias("s"))  # as many as a bracket has exposures
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"s.{c}").alias("values")) for c in RGB])).alias("c")
+    flat = pixel.select("scene_id", F.col("s.step").alias("steps"), F.col("s.time").alias("times"), each).select("scene_id", "c.channel", "steps", "times", "c.values")
+    counts = flat.groupBy("scene_id", "channel", "steps", "times", "values").agg(F.count("*").alias("n"))
+    return counts.withColumn("weights", F.transform("values", lambda v: color.weight(v, weight)))
+
+
 def calibrate_response(stack: DataFrame, weight: str = "triangular", response: str = "linear", turns: int = MOST_TURNS, enough: float = ENOUGH) -> DataFrame:
     """(scene_id, channel, bin, value): the response of each scene and channel, turned until its mean square change is below `enough`.
 
-    The samples are laid out once; a turn is two look-ups, one window by pixel and one aggregation by bin. Curves that are done drop out. What a turn
-    reads is cut from its past by a checkpoint.
+    Pixels are first counted by their tuples of samples, which is all that a turn needs. All turns of up to FOLDED tuples are folded in one task;
+    the others run turn by turn over the samples themselves.
     """
-    samples = cut(samples_of(stack, weight).repartition(*PIXEL, "channel"))
-    curve = cut(first_curves(samples, response))
-    known, done = curve, []
+    spark, written = stack.sparkSession, []
+    tuples = kept(sample_tuples(stack, weight), written)
+    many = kept(tuples.groupBy(*CURVE).agg(F.count("*").alias("m")).where(F.col("m") > FOLDED).select(*CURVE), written)
+    curves = turned_at_once(tuples.join(many, CURVE, "left_anti"), response, turns, enough)
+    if not many.isEmpty():
+        curves = curves.unionByName(turned_by_jobs(samples_of(stack, weight).join(many, CURVE, "left_semi"), response, turns, enough))
+    found = kept(curves)
+    discard(spark, written)
+    return found
+
+
+def turned_at_once(tuples: DataFrame, response: str, turns: int, enough: float) -> DataFrame:
+    """All turns of each curve over its tuples of samples."""
+    bins, last = color.BINS, color.BINS - 1
+    start = [r[0] for r in tuples.sparkSession.range(bins).select("id", color.response(F.col("id") / float(last) + 1e-9, response).alias("v")).orderBy("id").select("v").collect()]  # one number a bin
+
+    def fold(part):
+        import numpy as np
+        import pandas as pd
+
+        size = part["values"].map(len).to_numpy()
+        own, flat = np.repeat(np.arange(len(part)), size), lambda c, kind: np.concatenate([np.asarray(x, kind) for x in part[c]])
+        steps, times, values, w, n = flat("steps", np.int64), flat("times", float), flat("values", float), flat("weights", float), part["n"].to_numpy(float)[own]
+        begins = np.r_[True, (own[1:] != own[:-1]) | (steps[1:] != steps[:-1])]  # of samples as dark as each other
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(own)), 0))
+        dark = np.where((first > 0) & (own[first - 1] == own), first - 1, -1)  # the last one of those before them
+        place, n_time = np.floor(values * last).astype(int), n * times
+
+        def unit(curve):
+            lit = np.flatnonzero(curve)
+            return curve / curve[lit[lit >= lit[0] + (lit[-1] - lit[0]) // 2][0]] if len(lit) else curve
+
+        curve = known = unit(np.array(start))
+        for _ in range(turns):
+            with np.errstate(all="ignore"):
+                res = curve[place]
+                left = np.maximum(0.0, 1 - (times / times[dark] * res[dark] / curve[last]) ** 4)
+            weight = np.where(dark < 0, np.maximum(w, 1e-6), w * left)
+            above, below = np.bincount(own, weight * res), np.bincount(own, weight * times)
+            merged = np.divide(above, below, out=np.zeros_like(above), where=below != 0)
+            total, count = np.bincount(place, n_time * merged[own], bins), np.bincount(place, n, bins)
+            there = np.maximum.accumulate(np.where(count > 0, np.arange(bins), -1))  # an empty bin is as the one before it
+            means = np.divide(total, count, out=np.zeros(bins), where=count > 0)
+            new = unit(np.where(there >= 0, means[there], 0.0))
+            lit, curve = new != 0, new
+            if lit.any() and not ((new[lit] - known[lit]) ** 2).mean() >= enough:
+                break
+            known = np.where(lit, new, known)
+        return pd.DataFrame({"scene_id": part["scene_id"].iat[0], "channel": part["channel"].iat[0], "bin": np.arange(bins, dtype="int32"), "value": curve})
+
+    return tuples.groupBy(*CURVE).applyInPandas(fold, "scene_id bigint, channel string, bin int, value double")
+
+
+def turned_by_jobs(samples: DataFrame, response: str, turns: int, enough: float) -> DataFrame:
+    """The same over samples, turn by turn: two look-ups, one window by pixel and one aggregation by bin. Curves that are done drop out. What a turn reads is
+    kept in the shared folder, and deleted when the next one is done."""
+    spark, written, older, made, done = samples.sparkSession, [], [], [], []
+    samples = kept(samples.repartition(*PIXEL, "channel"), written)
+    curve = known = kept(first_curves(samples, response), written)
     for _ in range(turns):
-        new = cut(calibrate_turn(samples, curve))  # scenes and channels without a curve have dropped out
+        made = []
+        new = kept(calibrate_turn(samples, curve), made)  # scenes and channels without a curve have dropped out
         both = new.join(known.withColumnRenamed("value", "old"), [*CURVE, "bin"])
         change = both.where("value <> 0").groupBy(*CURVE).agg(F.avg((F.col("value") - F.col("old")) ** 2).alias("change"))
-        ready = cut(change.where(~(F.col("change") >= enough)).select(*CURVE))
-        done.append(new.join(ready, CURVE, "left_semi"))
-        curve = cut(new.join(ready, CURVE, "left_anti"))
+        ready = kept(change.where(~(F.col("change") >= enough)).select(*CURVE), made)
+        done.append(kept(new.join(ready, CURVE, "left_semi")))
+        curve = kept(new.join(ready, CURVE, "left_anti"), made)
         if curve.isEmpty():
             break
-        known = cut(both.select(*CURVE, "bin", F.when(F.col("value") != 0, F.col("value")).otherwise(F.col("old")).alias("value")))
-    return reduce(DataFrame.unionByName, [*done, curve])
+        known = kept(both.select(*CURVE, "bin", F.when(F.col("value") != 0, F.col("value")).otherwise(F.col("old")).alias("value")), made)
+        discard(spark, older)
+        older = made
+    curves = [*done, kept(curve)]
+    discard(spark, written + older + made)
+    return reduce(DataFrame.unionByName, curves)

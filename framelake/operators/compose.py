@@ -146,6 +146,7 @@ PROJECTIONS = {"mirrorball": 1, "angular": 1, "cylindrical": 2, "polar": 2}
 def project(df: DataFrame, src: str, dst: str, xsize: int, rotation=(0.0, 0.0, 0.0), oversample: int = 1, interpolate: bool = True, angle: float = 360.0) -> DataFrame:
     """Frames of one projection in another, xsize wide: each target pixel is the mean of oversample^2 directions, looked up in the source with four taps or the nearest;
     pixels outside a disc are 0. A target pixel is listed once a tap and summed map-side."""
+    src, dst = src.lower(), dst.lower()
     for name in (src, dst):
         if name not in PROJECTIONS:
             raise ValueError(f"unknown projection {name}; known: {', '.join(PROJECTIONS)}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from .lineage import cut
+from .lineage import discard, kept
 from .pixels import RGB
 
 
@@ -156,25 +156,73 @@ def wb_shades_of_gray(df: DataFrame, p: float = 6.0) -> DataFrame:
     return with_stats(df, gains).withColumns({c: F.col(c) * F.col(f"gain_{c}") for c in RGB}).drop(*[f"gain_{c}" for c in RGB])
 
 
+FOLDED = 2_000_000  # colours of a frame that one task folds; a frame with more of them takes a job a turn
+
+
 def wb_robust(df: DataFrame, max_iter: int = 1000, u: float = 0.3, a: float = 0.8, b: float = 0.001, c: float = 10.0, t: float = 0.3) -> DataFrame:
-    """(frame_id, gain_r, gain_b) of iterated grey-pixel balance; frames that have converged drop out of the next turn.
+    """(frame_id, gain_r, gain_b) of iterated grey-pixel balance.
 
-    A turn is one aggregation by frame. The gains (a row a frame) are joined to the pixels of frames still at work.
+    Pixels are first counted by colour, which is all that a turn needs. All turns of a frame of up to FOLDED colours are folded in one task, so
+    they take one job together; frames with more colours take a job a turn over their counts, and drop out of the next turn once they have converged.
     """
-    df = cut(df.select("frame_id", *RGB))
-    gains = df.select("frame_id").distinct().select("frame_id", F.lit(1.0).alias("gain_r"), F.lit(1.0).alias("gain_b"), F.lit(False).alias("done"))
+    spark, written = df.sparkSession, []
+    counts = kept(df.groupBy("frame_id", *RGB).agg(F.count("*").alias("n")), written)
+    many = kept(counts.groupBy("frame_id").agg(F.count("*").alias("m")).where(F.col("m") > FOLDED).select("frame_id"), written)
+    gains = balanced_at_once(counts.join(many, "frame_id", "left_anti"), max_iter, u, a, b, c, t)
+    if not many.isEmpty():
+        gains = gains.unionByName(balanced_by_turns(counts.join(many, "frame_id", "left_semi"), max_iter, u, a, b, c, t))
+    found = kept(gains)
+    discard(spark, written)
+    return found
+
+
+def balanced_at_once(counts: DataFrame, max_iter: int, u: float, a: float, b: float, c: float, t: float) -> DataFrame:
+    """All turns of a frame over its colours (frame_id, r, g, b, n)."""
+    yuv = color.RGB_TO_YUV
+
+    def fold(part):
+        import numpy as np
+        import pandas as pd
+
+        red, green, blue, n = (part[x].to_numpy(float) for x in (*RGB, "n"))
+        gain_r = gain_b = 1.0
+        for _ in range(max_iter):
+            y, uu, vv = (k[0] * red * gain_r + k[1] * green + k[2] * blue * gain_b for k in yuv)
+            with np.errstate(all="ignore"):
+                grey = ((np.abs(uu) + np.abs(vv)) / y < t) & (y != 0)
+            total = n[grey].sum()
+            if not total:
+                break
+            ub, vb = (uu[grey] @ n[grey]) / total, (vv[grey] @ n[grey]) / total
+            err = ub if abs(ub) > abs(vb) else vb
+            if abs(err) >= c or abs(err) < b:
+                break
+            delta = 2 * np.sign(err) * u if abs(err) >= a else err * u
+            gain_r, gain_b = (gain_r, gain_b - delta) if abs(ub) > abs(vb) else (gain_r - delta, gain_b)
+        return pd.DataFrame({"frame_id": [part["frame_id"].iat[0]], "gain_r": [float(gain_r)], "gain_b": [float(gain_b)]})
+
+    return counts.groupBy("frame_id").applyInPandas(fold, "frame_id bigint, gain_r double, gain_b double")
+
+
+def balanced_by_turns(counts: DataFrame, max_iter: int, u: float, a: float, b: float, c: float, t: float) -> DataFrame:
+    """The same, each turn one aggregation by frame. What a turn reads is kept in the shared folder, and deleted two turns later."""
+    spark, old, older = counts.sparkSession, [], []
+    gains = counts.select("frame_id").distinct().select("frame_id", F.lit(1.0).alias("gain_r"), F.lit(1.0).alias("gain_b"), F.lit(False).alias("done"))
     for _ in range(max_iter):
-        at = df.join(gains.where(~F.col("done")), "frame_id")
+        at = counts.join(gains.where(~F.col("done")), "frame_id")
         y, uu, vv = color.rgb_to_yuv(F.col("r") * F.col("gain_r"), F.col("g"), F.col("b") * F.col("gain_b"))
-        grey = (F.abs(uu) + F.abs(vv)) / y < t
-        bars = at.groupBy("frame_id").agg(F.avg(F.when(grey, uu)).alias("ub"), F.avg(F.when(grey, vv)).alias("vb"))
+        n = F.when((F.abs(uu) + F.abs(vv)) / y < t, F.col("n"))
+        bars = at.groupBy("frame_id").agg((F.sum(uu * n) / F.sum(n)).alias("ub"), (F.sum(vv * n) / F.sum(n)).alias("vb"))
         err = F.when(F.abs("ub") > F.abs("vb"), F.col("ub")).otherwise(F.col("vb"))
         stop = F.col("ub").isNull() | (F.abs(err) >= c) | (F.abs(err) < b)
         delta = F.when(stop, 0.0).when(F.abs(err) >= a, 2 * F.sign(err) * u).otherwise(err * u)
         blue = F.abs("ub") > F.abs("vb")
         step = bars.select("frame_id", F.when(blue, 0.0).otherwise(delta).alias("dr"), F.when(blue, delta).otherwise(0.0).alias("db"), stop.alias("stop"))
         gains = gains.join(step, "frame_id", "left").select("frame_id", (F.col("gain_r") - F.coalesce("dr", F.lit(0.0))).alias("gain_r"), (F.col("gain_b") - F.coalesce("db", F.lit(0.0))).alias("gain_b"), (F.col("done") | F.coalesce("stop", F.lit(False))).alias("done"))
-        gains = cut(gains)  # a turn reads the gains twice: without a cut the plan would double with every turn
+        discard(spark, older)
+        older, old = old, []
+        gains = kept(gains, old)
         if gains.where(~F.col("done")).isEmpty():
             break
+    discard(spark, older)
     return gains.select("frame_id", "gain_r", "gain_b")

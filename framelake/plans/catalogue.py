@@ -75,7 +75,8 @@ over_px("frame_arith", lambda p: pixels.frame_arith(p, pixels.each(p, lambda c:
 
 # Geometry and neighbours
 over_px("crop", lambda p: pixels.crop(p, 3, 2, 20, 15), f"select frame_id, x-3 as x, y-2 as y, {three('$')} from px where x >= 3 and x < 20 and y >= 2 and y < 15")
-over_px("shift", lambda p: pixels.shift(p, -2, 1), f"select a.frame_id, a.x, a.y, {triple([f'coalesce(b.{c}, 0e0)' for c in RGB])} from px a left join px b on a.frame_id = b.frame_id and b.x = a.x-2 and b.y = a.y+1")
+SHIFTED = lambda c: f"case when x >= 2 then coalesce(lead({c}, 22) over (partition by frame_id order by y, x), 0e0) else 0e0 end"  # noqa: E731  lines are 24 pixels wide
+over_px("shift", lambda p: pixels.shift(p, -2, 1), f"select {PIX}, {triple([SHIFTED(c) for c in RGB])} from px")
 over_px("rotate_clockwise", lambda p: pixels.rotate(p, True), f"z as (select frame_id, max(x)+1 as w, max(y)+1 as h from px group by 1) select frame_id, h-1-y as x, x as y, {three('$')} from px join z using (frame_id)")
 over_px("rotate_counterclockwise", lambda p: pixels.rotate(p, False), f"z as (select frame_id, max(x)+1 as w, max(y)+1 as h from px group by 1) select frame_id, y as x, w-1-x as y, {three('$')} from px join z using (frame_id)")
 over_px("resize_bilinear", lambda p: pixels.resize_bilinear(p, 10), """z as (select frame_id, max(x)+1 as w, max(y)+1 as h from px group by 1), t as (select frame_id, w, h, cast(floor(h*10/w) as int) as h2 from z),
@@ -145,7 +146,7 @@ Q = lambda c: f"(floor({c}*4095e0)/4095e0)"
 TRI = lambda c: f"(case when {Q(c)} < {2 / 4096!r}e0 or {Q(c)} > 1e0-{2 / 4096!r}e0 then 0e0 when {Q(c)} < 0.5e0 then 2e0*{Q(c)} else 2e0*(1e0-{Q(c)}) end)"
 RES = lambda c: f"(greatest(floor({c}*4095e0), 1e0)/4095e0)"
 DARK = f"dk as (select a.scene_id, a.x, a.y, a.exposure_idx as i, pow(2e0, a.ev) as t, a.r, a.g, a.b, d.r as dr, d.g as dg, d.b as db from stack a left join stack d on a.scene_id = d.scene_id and a.x = d.x and a.y = d.y and d.exposure_idx = a.exposure_idx-1)"
-add("darker_samples", lambda s, d: r6(merge.darker_samples(views.stack(s, d)).select("scene_id", "exposure_idx", "x", "y", "dark_r", "dark_g", "dark_b"), "dark_r", "dark_g", "dark_b"), f"{DARK} select scene_id, i as exposure_idx, x, y, {s6('dr', 'dark_r')}, {s6('dg', 'dark_g')}, {s6('db', 'dark_b')} from dk")
+add("darker_samples", lambda s, d: r6(merge.darker_samples(views.stack(s, d)).select("scene_id", "exposure_idx", "x", "y", "dark_r", "dark_g", "dark_b"), "dark_r", "dark_g", "dark_b"), f"select scene_id, exposure_idx, x, y, {', '.join(s6(f'lag({c}) over (partition by scene_id, x, y order by exposure_idx)', f'dark_{c}') for c in RGB)} from stack")
 DEB = f"{DARK}, wt as (select *, case when dr is null then greatest(({TRI('r')}+{TRI('g')}+{TRI('b')})/3e0, 1e-6) else ({TRI('r')}+{TRI('g')}+{TRI('b')})/3e0*greatest(0e0, least(1e0, 1e0-pow(4e0*{RES('dr')}, 4e0), 1e0-pow(4e0*{RES('dg')}, 4e0), 1e0-pow(4e0*{RES('db')}, 4e0))) end as w from dk)"
 MERGED = f"mg as (select scene_id, x, y, {', '.join(f'exp(sum(w*(ln({RES(c)})-ln(t)))/sum(w)) as {c}' for c in RGB)} from wt group by 1, 2, 3)"
 add("merge_debevec", lambda s, d: r6(merge.merge(views.stack(s, d)), *RGB), f"{DEB}, {MERGED} select scene_id, x, y, {three('$')} from mg")

@@ -208,7 +208,9 @@ def exposure_gradients(s, d, exposure: int) -> DataFrame:
 
 MIX = lambda c: f"case when coalesce(ghost, false) and dnx is not null then (case when y % high = 0 and lf{c} is not null and rt{c} is not null then (rt{c}+lf{c})/2e0 when x % wide = 0 and up{c} is not null then (dn{c}+up{c})/2e0 else h{c} end) else g{c} end"
 add("blend_gradients", lambda s, d: r6(deghost.blend_gradients(exposure_gradients(s, d, 2), exposure_gradients(s, d, 1), patches(s, d).withColumnRenamed("scene_id", "frame_id"), SMALL), "gx", "gy"), f"{GHOST}, {GRADS}, {BOTH} select qn.frame_id, x, y, {s6(MIX('x'), 'gx')}, {s6(MIX('y'), 'gy')} from qn join pz on pz.scene_id = qn.frame_id left join gp on gp.scene_id = qn.frame_id and gp.px = floor(x/wide) and gp.py = floor(y/high)")
-add("select_gradients", lambda s, d: r6(deghost.select_gradients(exposure_gradients(s, d, 2), exposure_gradients(s, d, 1), views.px(s, d).where("r > b")), "gx", "gy"), f"{GRADS}, {BOTH} select qb.frame_id, qb.x, qb.y, {s6('case when r > b then hx else gx end', 'gx')}, {s6('case when r > b then hy else gy end', 'gy')} from qb join px using (frame_id, x, y)")
+add("select_gradients", lambda s, d: r6(deghost.select_gradients(exposure_gradients(s, d, 2), exposure_gradients(s, d, 1), views.px(s, d).where("r > b")), "gx", "gy"), f"""qr as (select frame_id, x, y, r as pr, b as pb, t.exposure_idx, least(1e0, g/60e0*pow(2e0, t.ev)) as v from px cross join (select 1 as exposure_idx, 0e0 as ev union all select 2, 2e0) t), qs as (select *, cast(floor(v*255e0+5e-1) as double)/255e0 as g from qr),
+qg as (select *, coalesce((lead(g) over wx - lag(g) over wx)/2e0, 0e0) as gx, coalesce((lead(g) over wy - lag(g) over wy)/2e0, 0e0) as gy from qs window wx as (partition by frame_id, exposure_idx, y order by x), wy as (partition by frame_id, exposure_idx, x order by y))
+select frame_id, x, y, {s6('case when max(pr) > max(pb) then max(gx) filter (exposure_idx = 1) else max(gx) filter (exposure_idx = 2) end', 'gx')}, {s6('case when max(pr) > max(pb) then max(gy) filter (exposure_idx = 1) else max(gy) filter (exposure_idx = 2) end', 'gy')} from qg group by 1, 2, 3""")
 Q = lambda c: f"(floor({c}*4095e0)/4095e0)"
 KINDS = {
     "triangular": lambda c: f"(case when {Q(c)} < {2 / 4096!r}e0 or {Q(c)} > 1e0-{2 / 4096!r}e0 then 0e0 when {Q(c)} < 0.5e0 then 2e0*{Q(c)} else 2e0*(1e0-{Q(c)}) end)",
@@ -257,6 +259,7 @@ ca as (select a.*, d.ev as dev, d.v as dv from ch a left join ch d on a.scene_id
 cc as (select scene_id, channel, v, pow(2e0, ev) as t, sum(w*res) over p as sr, sum(w*pow(2e0, ev)) over p as sd from cb window p as (partition by scene_id, channel, x, y)), cd as (select scene_id, channel, cast(floor(v*4095e0) as int) as bin, avg(t*case when sd <> 0 then sr/sd else 0e0 end) as m from cc group by 1, 2, 3),
 ce as (select scene_id, channel, cast(bin as int) as bin from (select distinct scene_id, channel from ch) cross join (select unnest(range(4096)) as bin)), cf as (select scene_id, channel, bin, coalesce(last_value(m ignore nulls) over (partition by scene_id, channel order by bin), 0e0) as v from ce left join cd using (scene_id, channel, bin)),
 cg as (select scene_id, channel, min(bin)+floor((max(bin)-min(bin))/2) as mid from cf where v <> 0 group by 1, 2), ci as (select scene_id, channel, arg_min(v, bin) as u from cf join cg using (scene_id, channel) where bin >= mid and v <> 0 group by 1, 2)"""
+add("calibrate_response", lambda s, d: r6(calibration.calibrate_response(views.stack(s, d)), "value"))
 add("calibrate_turn", lambda s, d: r6(one_turn(s, d), "value"), f"{TURN} select scene_id, channel, bin, {s6('v/coalesce(u, 1e0)', 'value')} from cf left join ci using (scene_id, channel)")
 
 # Neighbourhoods and receptors
@@ -371,3 +374,24 @@ union all select p.seq_id, p.n, p.point, least(f.k+1, 4), p.y, f.x1, f.x2, {TAP(
 add("filter_tone_curves", lambda s, d: r6(sequences.filter_tone_curves(curve_points(s, d), 25, -0.5, 1.5), "y"), f"{FILTER} select seq_id, n, point, {s6('least(greatest(y1, -0.5e0), 1.5e0)', 'y')} from tf")
 add("frame_stats", lambda s, d: r6(sequences.frame_stats(views.seq(s, d)), "lo", "hi", "mean"), f"select date_trunc('hour', ts) as start, count(*) as frames, {s6('min(lum)', 'lo')}, {s6('max(lum)', 'hi')}, {s6('avg(lum)', 'mean')} from seq group by 1")
 add("frame_sessions", lambda s, d: r6(sequences.frame_stats(views.seq(s, d), gap="6 hours"), "lo", "hi", "mean"), f"ta as (select *, case when ts - lag(ts) over (partition by seq_id order by ts) < interval 6 hours then 0 else 1 end as new from seq), tb as (select *, sum(new) over (partition by seq_id order by ts) as k from ta) select seq_id, min(ts) as start, count(*) as frames, {s6('min(lum)', 'lo')}, {s6('max(lum)', 'hi')}, {s6('avg(lum)', 'mean')} from tb group by seq_id, k")
+
+
+# The same with two coarser levels: each level's bitmaps, then nine shifts around twice the coarser level's best.
+def level_sql(name: str, src: str, k: int) -> str:
+    return f"""{name}z as (select scene_id, floor((max(x)+1)/{2**(k - 1)}e0) as w, floor((max(y)+1)/{2**(k - 1)}e0) as h from gy group by 1),
+{name}g as (select *, x0+1 as x1, y0+1 as y1, sx-x0 as fx, sy-y0 as fy from (select *, cast(floor(sx) as int) as x0, cast(floor(sy) as int) as y0 from (select scene_id, cast(tx as int) as tx, cast(ty as int) as ty, tx*(w-1)/floor(w/2) as sx, ty*(h-1)/floor(h/2) as sy
+from (select *, unnest(range(0, cast(floor(w/2) as bigint))) as tx from {name}z) cross join lateral (select unnest(range(0, cast(floor(h/2) as bigint))) as ty) u))),
+{name} as (select a.scene_id, a.e, tx as x, ty as y, cast(floor((a.l*(1-fx)+b.l*fx)*(1-fy)+(c.l*(1-fx)+d.l*fx)*fy+1e-9) as int) as l from {name}g q join {src} a on a.scene_id = q.scene_id and a.x = x0 and a.y = y0 join {src} b on b.scene_id = a.scene_id and b.e = a.e and b.x = x1 and b.y = y0
+join {src} c on c.scene_id = a.scene_id and c.e = a.e and c.x = x0 and c.y = y1 join {src} d on d.scene_id = a.scene_id and d.e = a.e and d.x = x1 and d.y = y1)"""
+
+
+def search_sql(name: str, src: str, guess: str, scale: int) -> str:
+    return f"""{name}b as (select scene_id, e, x, y, l >= t as bit from {src} join gt using (scene_id, e) where abs(l-t) >= 4), {name}s as (select scene_id, e, p, q, {scale}*u+p as i, {scale}*v+q as j from {guess} cross join (select unnest([-1, 0, 1]) as p) cross join (select unnest([-1, 0, 1]) as q)),
+{name}e as (select s.scene_id, s.e, s.p, s.q, count(*) filter (b.bit <> a.bit) as err from {name}s s join {name}b b on b.scene_id = s.scene_id and b.e = s.e join {name}b a on a.scene_id = b.scene_id and a.e = b.e-1 and a.x = b.x-s.i and a.y = b.y-s.j group by 1, 2, 3, 4),
+{name} as (select scene_id, e, i as u, j as v from (select *, row_number() over (partition by scene_id, e order by coalesce(err, 0), p, q) as rn from {name}s left join {name}e using (scene_id, e, p, q)) where rn = 1)"""
+
+
+add("mtb_align_levels", lambda s, d: alignment.mtb_align(views.stack(s, d), levels=2), f"""gy as materialized (select scene_id, exposure_idx as e, x, y, cast(floor(greatest(0e0, least(1e0, 0.2126729e0*r+0.7151522e0*g+0.072175e0*b))*255e0+0.5e0) as int) as l from stack), gh as (select scene_id, e, l, count(*) as n from gy group by 1, 2, 3),
+gt as materialized (select scene_id, e, min(l) as t from (select *, sum(n) over (partition by scene_id, e order by l) as c, sum(n) over (partition by scene_id, e) as a from gh) where c >= floor(a*0.5e0) group by 1, 2), {level_sql('ga', 'gy', 1).replace('ga as (', 'ga as materialized (')}, {level_sql('gd', 'ga', 2).replace('gd as (', 'gd as materialized (')},
+g0 as (select distinct scene_id, e, 0 as u, 0 as v from gy where e > 0), {search_sql('m2', 'gd', 'g0', 1)}, {search_sql('m1', 'ga', 'm2', 2)}, {search_sql('m0', 'gy', 'm1', 2)}, mm as (select scene_id, e, u, v from m0 union all select distinct scene_id, 0, 0, 0 from gy)
+select scene_id, cast(e as int) as exposure_idx, cast(sum(u) over (partition by scene_id order by e) as int) as dx, cast(sum(v) over (partition by scene_id order by e) as int) as dy from mm""")

@@ -11,7 +11,7 @@ from ..sources import views
 from ..sources.views import CTE
 
 RGB = pixels.RGB
-NUDGE = 1.7e-08
+NUDGE = 1.7320508075688772e-08  # more digits than any decimal of the tables: their values never end up on a tie
 QUERIES: dict = {}
 ORACLES: dict = {}
 

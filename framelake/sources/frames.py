@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder  # noqa: F401
 from . import pfs
 
 
@@ -41,11 +40,6 @@ def write_pixels(df: DataFrame, path: str) -> None:
     known(WRITERS, path)(df, path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can write: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-
-
 def as_floats(df: DataFrame, columns=("r", "g", "b")) -> DataFrame:
     """Samples as a container of 32-bit floats gives them back."""
     return df.withColumns({c: F.col(c).cast("float").cast("double") for c in columns})
