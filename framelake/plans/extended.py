@@ -12,7 +12,7 @@ from ..operators import alignment, calibration, compose, deghost, levels, luts,
 from ..sources import frames, pfs, text_files, views
 from ..streaming import sequences
 from . import render
-from .registry import HSL_SQL, KEYS, LUM, PIX, RGB, WAVE, WX, WY, add, over_px, pct, r6, s6, three, triple
+from .registry import HSL_SQL, KEYS, LUM, PIX, RGB, WAVE, WX, WY, add, over_px, pct, r6, s6, srgb, three, triple
 
 
 def lum(s, d) -> DataFrame:
@@ -276,7 +276,18 @@ def log_intensity(s, d) -> DataFrame:
 
 
 add("bilateral", lambda s, d: r6(stencils.bilateral(log_intensity(s, d), "i", 1.0, 0.4), "value"), f"{BASE} select {PIX}, {s6('v', 'value')} from ik")
-over_px("tm_durand", lambda p: stencils.tm_durand(p, 1.0, 0.4, 2.0), None)
+DURAND = f"""{pct('dq', 'ik', 'v', 'frame_id', 0.01, 0.99)}, ds as (select *, 2.48e0*pow(k, 0.82e0)/(1e0+1.48e0*pow(k, 0.82e0)) as s from (select frame_id, q_lo, 2e0/(q_hi-q_lo) as k from dq) u), dl as (select px.*, (20e0*r+40e0*g+b)/61e0 as li, v, k, s, q_lo from px join ik using (frame_id, x, y) join ds using (frame_id)),
+dm as (select {PIX}, {', '.join(f'exp(s*ln({c}/li)+v*(k-1e0)+ln(li)-(4.3e0+q_lo*k)) as {c}' for c in RGB)} from dl) select {PIX}, {triple([srgb(c) for c in RGB])} from dm"""
+over_px("tm_durand", lambda p: stencils.tm_durand(p, 1.0, 0.4, 2.0), f"{BASE}, {DURAND}")
+# The grid with cells of 6 pixels and half of 0.4: cells, three blurs, and the eight cells around a pixel.
+TAP = lambda n: f"(select d, exp(-d*d/7.5e0) as w from (select unnest(range(-{n}, {n + 1})) as d) u)"
+GRID = f"""ii as (select {PIX}, ln((20e0*r+40e0*g+b)/61e0) as i from px), c0 as (select frame_id, cast(floor(x/6e0+0.5e0) as int) as cx, cast(floor(y/6e0+0.5e0) as int) as cy, cast(floor(i/{0.4 / 2!r}e0+0.5e0) as int) as cz, cast(count(*) as double) as n, sum(i) as v from ii group by all),
+c1 as (select frame_id, cx, cy, cz+d as cz, sum(n*w) as n, sum(v*w) as v from c0 cross join {TAP(7)} t group by 1, 2, 3, 4), c2 as (select frame_id, cx+d as cx, cy, cz, sum(n*w) as n, sum(v*w) as v from c1 cross join {TAP(4)} t where cx+d >= 0 group by 1, 2, 3, 4),
+c3 as (select frame_id, cx, cy+d as cy, cz, sum(n*w) as n, sum(v*w) as v from c2 cross join {TAP(4)} t where cy+d >= 0 group by 1, 2, 3, 4), c4 as (select {PIX}, cast(floor(x/6e0) as int) as fx, cast(floor(y/6e0) as int) as fy, cast(floor(i/{0.4 / 2!r}e0) as int) as fz, x/6e0 as ux, y/6e0 as uy, i/{0.4 / 2!r}e0 as uz from ii),
+ik as (select c4.frame_id, x, y, sum(v*(1e0-abs(ux-cx))*(1e0-abs(uy-cy))*(1e0-abs(uz-cz)))/sum(n*(1e0-abs(ux-cx))*(1e0-abs(uy-cy))*(1e0-abs(uz-cz))) as v from c4 cross join (select unnest([0, 1]) as a) ka cross join (select unnest([0, 1]) as b) kb cross join (select unnest([0, 1]) as c) kc
+join c3 on c3.frame_id = c4.frame_id and cx = fx+a and cy = fy+b and cz = fz+c group by 1, 2, 3)"""
+add("bilateral_grid", lambda s, d: r6(stencils.bilateral_grid(log_intensity(s, d), "i", 12.0, 0.4, 2), "value"), f"{GRID} select {PIX}, {s6('v', 'value')} from ik")
+over_px("tm_durand_wide", lambda p: stencils.tm_durand(p, 12.0, 0.4, 2.0, 2), f"{GRID}, {DURAND}")
 SOLVE = lambda drive: f"list_reduce(list_prepend(sqrt(sqrt({drive})), [1e0, 2e0, 3e0, 4e0, 5e0, 6e0, 7e0, 8e0]), lambda x, k: x-(0.09e0*x*x*x*x*x+x*x*x*x-({drive}))/(0.45e0*x*x*x*x+4e0*x*x*x))"
 over_px("tm_vanhateren", stencils.tm_vanhateren, f"vg as (select {PIX}, {', '.join(f'pow({c}, {1 / 1.8!r}e0) as {c}' for c in RGB)} from px), vl as (select *, 0.2126729e0*g+0.7151522e0*r+0.072175e0*b as lum from vg), vd as (select *, 1e0/(2.8e-3+1.6e-4*lum*10e0) as dv from vl) select {PIX}, {three(f'$*(1e0-{SOLVE("dv")}/{SOLVE("1e0/2.8e-3")})/lum')} from vd")
 
