@@ -2,38 +2,75 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .luts import interpolate
-from .pixels import blur, blur_level, downsample2, frame_sizes, gradients
+from .pixels import CENTRE, frame_sizes
 from .stats import with_stats
+from .stencils import TILE, dealt_tiles, window_of
+
+
+def level_tiles(df: DataFrame, col: str, deepest: int) -> DataFrame:
+    """(frame_id, level, x, y, value, gx, gy): all levels of all frames down to `deepest`, with their clamped gradients, from one shuffle.
+
+    A tile's margin holds what its coarsest level needs: blurring spoils one cell at the window's edge on each level, a gradient looks one further.
+    """
+    margin = 2 << deepest
+    side = max(TILE, 2 * margin)
+
+    def run(part):
+        import pandas as pd
+
+        grid, y0, x0 = window_of(part, margin, side)
+        frame, found = part["frame_id"].iat[0], []
+        for level in range(deepest + 1):
+            if level:
+                for axis in (1, 0):
+                    before, after = neighbours(grid, axis)
+                    grid = (2 * grid + before + after) / 4
+                grid = (grid[::2, ::2] + grid[1::2, ::2] + grid[::2, 1::2] + grid[1::2, 1::2]) / 4
+                y0, x0 = y0 // 2, x0 // 2
+            (west, east), (north, south) = neighbours(grid, 1), neighbours(grid, 0)
+            first, size = margin >> level, side >> level
+            home = np.s_[first : first + size, first : first + size]
+            ys, xs = np.nonzero(~np.isnan(grid[home]))
+            pick = lambda a: a[home][ys, xs]
+            scale = 2.0 ** (level + 1)
+            found.append({"level": np.full(len(ys), level, "int32"), "x": (xs + x0 + first).astype("int32"), "y": (ys + y0 + first).astype("int32"), "value": pick(grid), "gx": pick(west - east) / scale, "gy": pick(south - north) / scale})
+        return pd.DataFrame({"frame_id": frame} | {c: np.concatenate([f[c] for f in found]) for c in found[0]})
+
+    return dealt_tiles(df, col, margin, side).groupBy("frame_id", "tx", "ty").applyInPandas(run, "frame_id bigint, level int, x int, y int, value double, gx double, gy double")
+
+
+def neighbours(grid: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values before and after each one along an axis; outside the frame its own."""
+    before, after = grid.copy(), grid.copy()
+    if axis:
+        before[:, 1:], after[:, :-1] = grid[:, :-1], grid[:, 1:]
+    else:
+        before[1:], after[:-1] = grid[:-1], grid[1:]
+    return np.where(np.isnan(before), grid, before), np.where(np.isnan(after), grid, after)
+
+
+def frame_levels(df: DataFrame, col: str, min_side: int) -> DataFrame:
+    """level_tiles of each frame while its lesser side is at least min_side; level 0 is always there."""
+    side = F.least("width", "height")
+    sizes = frame_sizes(df).select("frame_id", F.greatest(F.lit(0), F.floor(F.log2(side / float(min_side)) + 1e-12)).cast("int").alias("most"))
+    deepest = sizes.agg(F.max("most")).first()[0] or 0
+    return with_stats(level_tiles(df, col, deepest), sizes).where("level <= most").drop("most")
 
 
 def pyramid(df: DataFrame, col: str, min_side: int = 32) -> DataFrame:
     """(frame_id, level, x, y, col): the frame, then blurred and halved, while its lesser side is at least min_side; level 0 is always there."""
-    side = F.least("width", "height")
-    sizes = frame_sizes(df).select("frame_id", F.greatest(F.lit(0), F.floor(F.log2(side / float(min_side)) + 1e-12)).cast("int").alias("most"))
-    deepest = sizes.agg(F.max("most")).first()[0] or 0
-    found = [df.select("frame_id", "x", "y", col)]
-    for level in range(1, deepest + 1):
-        own = found[-1].join(sizes.where(F.col("most") >= level), "frame_id", "left_semi")
-        found.append(downsample2(blur(own, col), col))
-    return reduce(DataFrame.unionByName, [d.select("frame_id", F.lit(k).alias("level"), "x", "y", col) for k, d in enumerate(found)])
+    return frame_levels(df, col, min_side).select("frame_id", "level", "x", "y", F.col("value").alias(col))
 
 
 def gradient_attenuation(df: DataFrame, col: str, alpha: float = 1.0, beta: float = 0.9, noise: float = 0.02, min_side: int = 32) -> DataFrame:
     """(frame_id, level, x, y, grad, mean, factor): gradient of each pixel of a pyramid, its mean over the level, and ((grad + noise) / (alpha mean))^(beta - 1),
     gradients below 1e-4 taken as that."""
-    levels = pyramid(df, col, min_side)
-    deepest = levels.agg(F.max("level")).first()[0] or 0
-    steep = []
-    for k in range(deepest + 1):
-        own = gradients(levels.where(F.col("level") == k), col, "clamped", k)
-        steep.append(own.select("frame_id", "level", "x", "y", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("grad")))
-    steep = reduce(DataFrame.unionByName, steep)
+    steep = frame_levels(df, col, min_side).select("frame_id", "level", "x", "y", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("grad"))
     means = steep.groupBy("frame_id", "level").agg(F.avg("grad").alias("mean"))
     factor = F.pow((F.greatest("grad", F.lit(1e-4)) + noise) / (alpha * F.col("mean")), F.lit(beta - 1))
     return with_stats(steep, means, ("frame_id", "level")).withColumn("factor", factor)
@@ -44,21 +81,53 @@ THRESHOLD, STEP, WIDEST, LEAST = 0.0043, 0.1, 0.7, 1e-8
 LIGHT_BINS, CONTRAST_BINS, MIDDLE = 161, 15, 7
 
 
+def reflected(at: np.ndarray, size: int) -> np.ndarray:
+    at = np.abs(at)
+    return np.where(at >= size, 2 * size - 2 - at, at)
+
+
+def contrast_counts(high: DataFrame, levels: int) -> DataFrame:
+    """(frame_id, level, light, contrast, n) of each tile of (frame_id, x, y, high, width, height): all levels from one shuffle, pixels counted where they lie."""
+    margin = 2 * ((1 << levels) - 1)  # two steps of each level
+    side = max(TILE, margin)
+    weights = (0.25 - CENTRE / 2, 0.25, CENTRE, 0.25, 0.25 - CENTRE / 2)
+
+    def run(part):
+        import pandas as pd
+
+        width, height = int(part["width"].iat[0]), int(part["height"].iat[0])
+        grid, y0, x0 = window_of(part, margin, side)
+        n, rows = len(grid), []
+        ys, xs = np.arange(y0, y0 + n), np.arange(x0, x0 + n)
+        inside = ((ys >= 0) & (ys < height))[:, None] & ((xs >= 0) & (xs < width))
+        home = np.zeros((n, n), np.bool_)
+        home[margin : margin + side, margin : margin + side] = True
+        home &= inside
+        for level in range(levels):
+            low = grid
+            for axis, at, size, start in ((1, xs, width, x0), (0, ys, height, y0)):
+                # a place outside the window is needed by no pixel of the tile
+                taps = [np.clip(reflected(at + (j - 2) * (1 << level), size) - start, 0, n - 1) for j in range(5)]
+                low = sum(w * (low[:, t] if axis else low[t]) for w, t in zip(weights, taps, strict=True))
+            g, dim = grid[home] - low[home], low[home]
+            light, place = np.floor((dim + 8) / STEP + 0.5).astype(int), np.floor((g + WIDEST) / STEP + 0.5).astype(int)
+            contrast = np.where((g > THRESHOLD) & (g < STEP / 2), MIDDLE + 1, np.where((g < -THRESHOLD) & (g > -STEP / 2), MIDDLE - 1, place))
+            counted = (light >= 0) & (light < LIGHT_BINS) & (place >= 0) & (place < CONTRAST_BINS)
+            cells, times = np.unique(light[counted] * CONTRAST_BINS + contrast[counted], return_counts=True)
+            rows.append(pd.DataFrame({"level": level, "light": cells // CONTRAST_BINS, "contrast": cells % CONTRAST_BINS, "n": times}))
+            grid = np.where(inside, low, np.nan)
+        return pd.concat(rows).assign(frame_id=part["frame_id"].iat[0])[["frame_id", "level", "light", "contrast", "n"]]
+
+    dealt = dealt_tiles(high, "high", margin, side, ("width", "height"))
+    return dealt.groupBy("frame_id", "tx", "ty").applyInPandas(run, "frame_id bigint, level int, light int, contrast int, n bigint")
+
+
 def contrast_density(df: DataFrame, col: str, levels: int = 4) -> DataFrame:
     """(frame_id, level, light, contrast, n): pixels by log10 light and by contrast to the next coarser level. Small contrasts above the threshold count beside the middle
     bin; light without any contrast gets one on either side."""
     least = df.groupBy("frame_id").agg(F.greatest(F.min(F.when(F.col(col) > 0, F.col(col))), F.lit(LEAST)).alias("least"))
     high = with_stats(df.select("frame_id", "x", "y", col), least).select("frame_id", "x", "y", F.log10(F.greatest(col, "least")).alias("high"))
-    found = []
-    for level in range(levels):
-        low = blur_level(high, "high", level).withColumnRenamed("high", "low")
-        g = F.col("high") - F.col("low")
-        light, contrast = F.floor((F.col("low") + 8) / STEP + 0.5).cast("int"), F.floor((g + WIDEST) / STEP + 0.5).cast("int")
-        moved = F.when((g > THRESHOLD) & (g < STEP / 2), MIDDLE + 1).when((g < -THRESHOLD) & (g > -STEP / 2), MIDDLE - 1).otherwise(contrast)
-        at = high.join(low, ["frame_id", "x", "y"]).select("frame_id", F.lit(level).alias("level"), light.alias("light"), contrast.alias("place"), moved.alias("contrast"))
-        found.append(at.where((F.col("light") >= 0) & (F.col("light") < LIGHT_BINS) & (F.col("place") >= 0) & (F.col("place") < CONTRAST_BINS)).groupBy("frame_id", "level", "light", "contrast").agg(F.count("*").alias("n")))
-        high = low.withColumnRenamed("low", "high")
-    counts = reduce(DataFrame.unionByName, found)
+    counts = contrast_counts(with_stats(high, frame_sizes(df)), levels).groupBy("frame_id", "level", "light", "contrast").agg(F.sum("n").alias("n"))
     flat = counts.groupBy("frame_id", "level", "light").agg(F.count_if(F.col("contrast") != MIDDLE).alias("others")).where("others = 0")
     beside = flat.select("frame_id", "level", "light", F.explode(F.array(F.lit(MIDDLE - 1), F.lit(MIDDLE + 1))).alias("contrast"), F.lit(1).cast("bigint").alias("n"))
     return counts.unionByName(beside)

@@ -90,19 +90,30 @@ def cumulate(hist: DataFrame, keys=("frame_id",)) -> DataFrame:
     return hist.withColumn("cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+FINE_BITS = 10  # a coarse bin holds 2^10 fine ones
+
+
 def channel_quantiles(df: DataFrame, columns, lo_share: float, hi_share: float, bins: int = 65535) -> DataFrame:
-    """(frame_id, lo_<c>, hi_<c> of each column): edges of the bins in which the cumulated histograms reach the shares.
+    """(frame_id, from_<c>, to_<c> of each column): edges of the bins in which the cumulated histograms reach the shares.
 
-    All columns go together: one pass for their spans, one for the counts of their bins, summed map-side.
+    All columns go together: one pass for their spans, one for the counts of coarse bins, and one for the bins inside those coarse ones that
+    hold a quantile. So no more than some hundred counts a frame and column are shuffled, and few samples are counted twice.
     """
     span = df.groupBy("frame_id").agg(F.count("*").alias("total"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
     at = with_stats(df.select("frame_id", *columns), span)
     kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.coalesce(rounded_bin(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), bins), F.lit(0)).alias("bin")) for c in columns]))
-    hist = at.select("frame_id", kinds.alias("k")).groupBy("frame_id", "k.channel", "k.bin").agg(F.count("*").alias("n"))
-    cum = with_stats(cumulate(hist, ("frame_id", "channel")), span)
-    at_share = lambda c, share: F.min(F.when((F.col("channel") == c) & (F.col("cum") >= share * F.col("total")), F.col("bin")))
-    ends = [e for c in columns for e in (at_share(c, lo_share).alias(f"a_{c}"), at_share(c, hi_share).alias(f"b_{c}"))]
-    edges = with_stats(cum.groupBy("frame_id").agg(*ends), span)
+    each = at.select("frame_id", "total", kinds.alias("k")).select("frame_id", "total", "k.channel", "k.bin", F.shiftright("k.bin", FINE_BITS).alias("coarse"))
+    key = ["frame_id", "channel"]
+    hist = each.groupBy(*key, "total", "coarse").agg(F.count("*").alias("n"))
+    cum = F.sum("n").over(Window.partitionBy(*key).orderBy("coarse").rowsBetween(Window.unboundedPreceding, 0))
+    first = lambda share: F.min(F.when(F.col("cum") >= share * F.col("total"), F.struct("coarse", (F.col("cum") - F.col("n")).alias("before"))))
+    held = hist.withColumn("cum", cum).groupBy(*key).agg(first(lo_share).alias("a"), first(hi_share).alias("b"))
+    near = each.join(held, key).where((F.col("coarse") == F.col("a.coarse")) | (F.col("coarse") == F.col("b.coarse")))
+    fine = near.groupBy(*key, "total", "a", "b", "coarse", "bin").agg(F.count("*").alias("n"))
+    fine = fine.withColumn("cum", F.sum("n").over(Window.partitionBy(*key, "coarse").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    reached = lambda e, share: (F.col("coarse") == F.col(f"{e}.coarse")) & (F.col(f"{e}.before") + F.col("cum") >= share * F.col("total"))
+    ends = [F.min(F.when((F.col("channel") == c) & reached(e, share), F.col("bin"))).alias(f"{e}_{c}") for c in columns for e, share in (("a", lo_share), ("b", hi_share))]
+    edges = with_stats(fine.groupBy("frame_id").agg(*ends), span)
     edge = lambda n, c: F.col(f"lo_{c}") + F.col(f"{n}_{c}") * (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / float(bins - 1)
     return edges.select("frame_id", *[e for c in columns for e in (edge("a", c).alias(f"from_{c}"), edge("b", c).alias(f"to_{c}"))])
 
@@ -112,9 +123,33 @@ def hist_quantiles(df: DataFrame, col: str, lo_share: float, hi_share: float, bi
     return channel_quantiles(df, (col,), lo_share, hi_share, bins).select("frame_id", F.col(f"from_{col}").alias("q_lo"), F.col(f"to_{col}").alias("q_hi"))
 
 
+MEDIAN_BINS, MEDIAN_PASSES = 4096, 2
+
+
+def ranked_value(df: DataFrame, col: str, share: float = 0.5) -> DataFrame:
+    """(frame_id, value, mean): of each frame's n values that one of rank ceil(share * n), by narrowing its interval.
+
+    Each pass counts the values of the interval in MEDIAN_BINS bins and goes on with the least and greatest value of the bin that holds the rank;
+    what is left is counted value by value. So no frame is gathered or sorted, ties are exact, and only counts are shuffled. Nulls do not count.
+    """
+    values = df.select("frame_id", F.col(col).alias("v")).where("v is not null")
+    bounds = values.groupBy("frame_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.ceil(share * F.count("*")).alias("rank"), F.avg("v").alias("mean"))
+    known = ["frame_id", "rank", "mean"]
+    for _ in range(MEDIAN_PASSES):
+        at = with_stats(values, bounds).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(MEDIAN_BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * MEDIAN_BINS).cast("int"))).otherwise(0)
+        bins = at.groupBy(*known, place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bins = bins.withColumn("cum", F.sum("n").over(Window.partitionBy("frame_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+        found = F.min(F.when(F.col("cum") >= F.col("rank"), F.struct("bin", "lo", "hi", (F.col("rank") - F.col("cum") + F.col("n")).alias("rank")))).alias("f")
+        bounds = bins.groupBy("frame_id", "mean").agg(found).select("frame_id", "mean", "f.lo", "f.hi", "f.rank")
+    left = with_stats(values, bounds).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).groupBy(*known, "v").agg(F.count("*").alias("n"))
+    left = left.withColumn("cum", F.sum("n").over(Window.partitionBy("frame_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return left.where("cum >= rank").groupBy("frame_id", "mean").agg(F.min("v").alias("value")).select("frame_id", "value", "mean")
+
+
 def robust_center(df: DataFrame, col: str) -> DataFrame:
     """sqrt(mean * lower median)."""
-    return df.groupBy("frame_id").agg(F.sqrt(F.avg(col) * F.expr(f"percentile_disc(0.5) within group (order by {col})")).alias("center"))
+    return ranked_value(df, col).select("frame_id", F.sqrt(F.col("mean") * F.col("value")).alias("center"))
 
 
 def minkowski_mean(df: DataFrame, p: float = 6.0) -> DataFrame:

@@ -21,27 +21,37 @@ from .tonemap import TONE_MAPPERS
 TILE = 64
 
 
+def dealt_tiles(df: DataFrame, col: str, margin: int, side: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(frame_id, tx, ty, x, y, value, also): every pixel in the tile of `side` that it lies in, and in those that have it in their margin."""
+    reach = lambda c: F.sequence(F.floor((F.col(c) - margin) / side), F.floor((F.col(c) + margin) / side))
+    return df.select("frame_id", "x", "y", F.col(col).cast("double").alias("value"), *also, F.explode(reach("x")).alias("tx")).select("*", F.explode(reach("y")).alias("ty"))
+
+
+def window_of(part, margin: int, side: int) -> tuple[np.ndarray, int, int]:
+    """A tile with its margin as an array, NaN outside the frame, and the place of its first line and column."""
+    x0, y0, n = int(part["tx"].iat[0]) * side - margin, int(part["ty"].iat[0]) * side - margin, side + 2 * margin
+    grid = np.full((n, n), np.nan)
+    grid[part["y"].to_numpy() - y0, part["x"].to_numpy() - x0] = part["value"].to_numpy()
+    return grid, y0, x0
+
+
 def tiled(df: DataFrame, col: str, margin: int, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
     """(frame_id, x, y, value): kernel(values, ys, xs) of each tile with its margin, kept where the tile itself lies. Outside a frame, values are NaN."""
     side = max(tile, margin)
-    reach = lambda c: F.sequence(F.floor((F.col(c) - margin) / side), F.floor((F.col(c) + margin) / side))
-    dealt = df.select("frame_id", "x", "y", F.col(col).cast("double").alias("value"), F.explode(reach("x")).alias("tx")).select("*", F.explode(reach("y")).alias("ty"))
 
     def run(part):
         import pandas as pd
 
-        frame, tx, ty = part["frame_id"].iat[0], int(part["tx"].iat[0]), int(part["ty"].iat[0])
-        x0, y0, n = tx * side - margin, ty * side - margin, side + 2 * margin
-        grid = np.full((n, n), np.nan)
-        grid[part["y"].to_numpy() - y0, part["x"].to_numpy() - x0] = part["value"].to_numpy()
+        grid, y0, x0 = window_of(part, margin, side)
+        n = len(grid)
         ys, xs = np.mgrid[y0 : y0 + n, x0 : x0 + n]
         out = kernel(grid, ys, xs)
         home = np.zeros((n, n), np.bool_)
         home[margin : margin + side, margin : margin + side] = True
         home &= ~np.isnan(grid)
-        return pd.DataFrame({"frame_id": frame, "x": xs[home].astype("int32"), "y": ys[home].astype("int32"), "value": out[home]})
+        return pd.DataFrame({"frame_id": part["frame_id"].iat[0], "x": xs[home].astype("int32"), "y": ys[home].astype("int32"), "value": out[home]})
 
-    return dealt.groupBy("frame_id", "tx", "ty").applyInPandas(run, "frame_id bigint, x int, y int, value double")
+    return dealt_tiles(df, col, margin, side).groupBy("frame_id", "tx", "ty").applyInPandas(run, "frame_id bigint, x int, y int, value double")
 
 
 def moved(grid: np.ndarray, dy: int, dx: int) -> np.ndarray:

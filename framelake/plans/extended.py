@@ -112,12 +112,10 @@ STEEP = "ga as (select frame_id, level, x, y, sqrt(pow((coalesce(lag(g) over wx,
 add("gradient_attenuation", lambda s, d: r6(pyramids.gradient_attenuation(views.px(s, d), "g", 0.9, 0.85, 0.02, 5), "grad", "mean", "factor"), f"{PYR}, {STEEP} select {PIX}, level, {s6('grad', 'grad')}, {s6('mean', 'mean')}, {s6('pow((greatest(grad, 1e-4)+0.02e0)/(0.9e0*mean), -0.15e0)', 'factor')} from gb")
 
 
-def log_light(s, d) -> DataFrame:
-    """Light of rounded logarithms, so that bins do not hang on the last digits."""
-    return views.px(s, d).select(*KEYS, F.pow(F.lit(10.0), F.round(F.log10("g"), 3)).alias("lum"))
-
-
-add("contrast_density", lambda s, d: pyramids.contrast_density(log_light(s, d), "lum", 2))
+DENSITY = ", ".join(["l0 as (select frame_id, x, y, log10(g) as g from px)", *(five(f"l{k}", f"l{k + 1}", "g", k, 20 + k) for k in range(4))]) + f""", dd as ({' union all '.join(f'select frame_id, {k} as level, a.g-b.g as c, b.g as low from l{k} a join l{k + 1} b using (frame_id, x, y)' for k in range(4))}),
+de as (select *, cast(floor((low+8e0)/0.1e0+0.5e0) as int) as light, cast(floor((c+0.7e0)/0.1e0+0.5e0) as int) as place from dd), dc as (select frame_id, level, light, case when c > 0.0043e0 and c < 0.05e0 then 8 when c < -0.0043e0 and c > -0.05e0 then 6 else place end as contrast, count(*) as n
+from de where light between 0 and 160 and place between 0 and 14 group by all)"""
+add("contrast_density", lambda s, d: pyramids.contrast_density(views.px(s, d), "g"), f"{DENSITY} select * from dc union all select frame_id, level, light, unnest([6, 8]), 1 from (select frame_id, level, light from dc group by 1, 2, 3 having count(*) filter (contrast <> 7) = 0) u")
 CODE = lambda w: f"(list_aggregate(list_transform(range(0, 106), lambda i: case when {w} >= cw[i+1] and {w} < cw[i+2] then (i+({w}-cw[i+1])/(cw[i+2]-cw[i+1]))/106e0 else 0e0 end), 'sum') + case when {w} >= cw[107] then 1e0 else 0e0 end)"
 WT = f"cw as (select [{', '.join(f'{w!r}e0' for w in pyramids.CONTRASTS)}] as cw)"
 LOGS = f"lg as (select {PIX}, ln(g) as g from px), lx as (select {PIX}, coalesce(lead(g) over {WX} - g, 0e0) as gx from lg)"
@@ -354,12 +352,13 @@ F32 = ", ".join(s6(f"cast(cast({c} as float) as double)", c) for c in RGB)
 add("container", lambda s, d: r6(container_rows(s, d), *RGB), f"select {PIX}, {F32} from px")
 
 
-def stored(s, d) -> DataFrame:
-    path = f"{frames.shared_folder(s)}/frames-{uuid.uuid4().hex}.orc"
+def stored(s, d, kind: str = "orc") -> DataFrame:
+    path = f"{frames.shared_folder(s)}/frames-{uuid.uuid4().hex}.{kind}"
     frames.write_pixels(views.px(s, d).select(*KEYS, *RGB), path)
     return frames.read_pixels(s, path)
 
 
+add("stored_containers", lambda s, d: r6(stored(s, d, "pfs"), *RGB), f"select {PIX}, {F32} from px")
 add("stored_frames", lambda s, d: r6(stored(s, d), *RGB), f"select {PIX}, {three('$')} from px")
 
 # J: sequences

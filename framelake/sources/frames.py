@@ -15,10 +15,11 @@ def extension(path: str) -> str:
 
 READERS = {
     "parquet": lambda spark, path: spark.read.parquet(path), "orc": lambda spark, path: spark.read.orc(path), "json": lambda spark, path: spark.read.schema(PIXELS).json(path),
-    "csv": lambda spark, path: spark.read.schema(PIXELS).csv(path, header=True), "pfs": lambda spark, path: pfs.read_pfs(spark, path),
+    "csv": lambda spark, path: spark.read.schema(PIXELS).csv(path, header=True), "pfs": pfs.read_pixels,
 }
 WRITERS = {
     "parquet": lambda df, path: df.write.parquet(path), "orc": lambda df, path: df.write.orc(path), "json": lambda df, path: df.write.json(path), "csv": lambda df, path: df.write.csv(path, header=True),
+    "pfs": pfs.write_pixels,
 }
 PIXELS = "frame_id bigint, x int, y int, r double, g double, b double"
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 CHANNELS = ("X", "Y", "Z")
 
@@ -79,3 +84,74 @@ def to_pfs_bytes(pixels: DataFrame) -> DataFrame:
         return pd.DataFrame({"frame_id": [frame["frame_id"].iat[0]], "content": [encode(width, height, planes)]})
 
     return pixels.groupBy("frame_id").applyInPandas(pack, "frame_id bigint, content binary")
+
+
+def read_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_id, x, y, r, g, b) of a folder of <frame_id>.pfs, as other formats give them. A broken file fails the job; read_pfs tells it in a row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfs").load(path).select("path", "content")
+    told = F.raise_error(F.concat("path", F.lit(": "), "error"))
+    rows = pixels_of(files).withColumn("frame_id", F.when(F.col("error").isNotNull(), told.cast("string")).otherwise(F.regexp_extract("path", r"([^/]*)\.pfs$", 1)))
+    return rows.select(F.col("frame_id").cast("bigint").alias("frame_id"), "x", "y", "r", "g", "b")
+
+
+def write_pixels(df: DataFrame, path: str) -> None:
+    """A folder of <frame_id>.pfs. Files appear whole and together, when all tasks are done."""
+    df.sparkSession.dataSource.register(FrameContainers)
+    to_pfs_bytes(df).write.format(FrameContainers.name()).mode("append").save(path)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class FrameContainers(DataSource):
+    """Sink of (frame_id, content): a file a frame in a new folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "frame_containers"
+
+    def schema(self) -> str:
+        return "frame_id bigint, content binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return FrameContainerWriter(self.options["path"])
+
+
+class FrameContainerWriter(DataSourceWriter):
+    """Tasks write under _temporary; the commit moves the files of the tasks that count. Files of lost or repeated tasks go with the folder."""
+
+    def __init__(self, path: str):
+        self.path, self.job = path, uuid.uuid4().hex
+        system, at = self.system()
+        if system.get_file_info(at).type != fs.FileType.NotFound:
+            raise ValueError(f"{path} exists already")
+
+    def system(self) -> tuple[fs.FileSystem, str]:
+        system, at = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        return system, at.rstrip("/")
+
+    def write(self, rows: Iterator) -> Written:
+        system, at = self.system()
+        folder, files = f"{at}/_temporary/{self.job}", []
+        system.create_dir(folder)
+        for row in rows:
+            place = f"{folder}/{uuid.uuid4().hex}"
+            with system.open_output_stream(place) as out:
+                out.write(bytes(row["content"]))
+            files.append((place, f"{at}/{row['frame_id']}.pfs"))
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, at = self.system()
+        system.create_dir(at)
+        for message in messages:
+            for place, final in message.files if message else ():
+                system.move(place, final)
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, at = self.system()
+        if system.get_file_info(f"{at}/_temporary").type != fs.FileType.NotFound:
+            system.delete_dir(f"{at}/_temporary")

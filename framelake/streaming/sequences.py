@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,22 +71,47 @@ def temporal_adaptation(seq: DataFrame, dt: float = 1 / 25, chunk: int = CHUNK)
     return at.groupBy(*by).cogroup(begins.groupBy(*by)).applyInPandas(lambda frames, start: fold(frames, start[list(STATES)].iloc[0], dt), f"seq_id bigint, n bigint, {kinds}")
 
 
-def temporal_adaptation_stream(seq: DataFrame, dt: float = 1 / 25) -> DataFrame:
-    """The same recurrence with its four numbers kept as state; rows of a micro-batch are taken in order of n."""
+def released(frames, state: GroupState, columns: tuple[str, ...], start: tuple) -> tuple[list[tuple], tuple, list[tuple]]:
+    """(rows to fold, what was folded so far, rows to wait): of the rows (us, columns) that wait and those that came, the ones that the watermark has passed, in order
+    of the columns. The state is (microseconds of the waiting rows, each of their columns, .. what was folded)."""
+    held, now = [], start
+    if state.exists:
+        old = state.get
+        held, now = list(zip(*old[: len(columns) + 1], strict=True)), tuple(old[len(columns) + 1 :])
+    for f in frames:
+        held += zip(f["us"].tolist(), *(f[c].tolist() for c in columns), strict=True)
+    passed = state.getCurrentWatermarkMs() * 1000
+    ready = sorted((r for r in held if r[0] <= passed), key=lambda r: r[1:])
+    return ready, now, [r for r in held if r[0] > passed]
+
+
+def wait(state: GroupState, waiting: list[tuple], width: int, now: tuple) -> None:
+    """Keep the waiting rows and what was folded; come back when the watermark passes the first of them."""
+    state.update((*(list(c) for c in (zip(*waiting, strict=True) if waiting else [[]] * (width + 1))), *now))
+    if waiting:
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), min(r[0] for r in waiting) // 1000) + 1)
+
+
+def temporal_adaptation_stream(seq: DataFrame, dt: float = 1 / 25, delay: str = "10 seconds") -> DataFrame:
+    """The same recurrence over a stream of (seq_id, n, lum, ts): a frame waits until the watermark, `delay` behind the latest time seen, has passed it, and is then
+    folded in order of n, whatever batch it came in. A frame that comes when a later one has been folded is dropped. State: four numbers a sequence and the frames of the delay."""
     kinds = ", ".join(f"{name} double" for name in STATES)
 
     def step(key, frames, state: GroupState):
         import pandas as pd
 
-        now = state.get if state.exists else START
+        ready, (last, *now), waiting = released(frames, state, ("n", "lum"), (0, *START))
         rows = []
-        for n, lum in sorted((n, lum) for f in frames for n, lum in zip(f["n"], f["lum"], strict=True)):
-            now = tuple(a * s + b for (a, b), s in zip(steps(lum, dt), now, strict=True))
-            rows.append((key[0], n, *now))
-        state.update(now)
+        for _, n, lum in ready:
+            if n > last:
+                last, now = n, [a * s + b for (a, b), s in zip(steps(lum, dt), now, strict=True)]
+                rows.append((key[0], n, *now))
+        wait(state, waiting, 2, (last, *now))
         yield pd.DataFrame(rows, columns=["seq_id", "n", *STATES])
 
-    return seq.groupBy("seq_id").applyInPandasWithState(step, f"seq_id bigint, n bigint, {kinds}", kinds, "append", GroupStateTimeout.NoTimeout)
+    timed = seq.withWatermark("ts", delay).select("seq_id", F.col("n").cast("bigint").alias("n"), F.col("lum").cast("double").alias("lum"), "ts", F.unix_micros("ts").alias("us"))
+    kept = f"held array<bigint>, held_n array<bigint>, held_lum array<double>, last bigint, {kinds}"
+    return timed.groupBy("seq_id").applyInPandasWithState(step, f"seq_id bigint, n bigint, {kinds}", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # Coefficients of the tone-curve filter by frames a second, of past outputs and of inputs.
@@ -112,35 +137,92 @@ def filtered(value: float, state: tuple, fps: int) -> tuple[float, tuple]:
 UNSEEN = (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 
 
-def filter_tone_curves(curves: DataFrame, fps: int = 25, lo: float = float("-inf"), hi: float = float("inf")) -> DataFrame:
-    """(seq_id, n, point, y): tone curves (seq_id, n, point, y) smoothed over time, each point on its own; outputs are clamped, what the filter remembers is not."""
+def filter_tone_curves(curves: DataFrame, fps: int = 25, lo: float = float("-inf"), hi: float = float("inf"), chunk: int = CHUNK) -> DataFrame:
+    """(seq_id, n, point, y): tone curves (seq_id, n, point, y), n = 1, 2, ..., smoothed over time, each point on its own; outputs are clamped, what the filter remembers is not.
+
+    The filter is linear in its last three outputs, so a chunk of a sequence is summed up as a matrix and a vector from its own inputs and the three before
+    them; these sums are carried through in order, and the chunks are filtered from the outputs they begin with. A task holds a chunk of at least 4 frames.
+    """
     if fps not in FILTERS:
         raise ValueError(f"no filter for {fps} frames a second; known: {', '.join(map(str, FILTERS))}")
-
-    def run(frame):
-        frame, state, out = frame.sort_values("n"), UNSEEN, []
-        for v in frame["y"].tolist():
+    chunk = max(4, chunk)
+    place = F.floor((F.col("n") - 1) / chunk)
+    both = F.when(F.pmod(F.col("n") - 1, F.lit(chunk)) >= chunk - 3, F.array(place, place + 1)).otherwise(F.array(place))  # the last three inputs also go to the next chunk
+    at = curves.select("seq_id", "n", "point", "y", F.explode(both).alias("chunk")).withColumn("own", F.floor((F.col("n") - 1) / chunk) == F.col("chunk"))
+    by, starts = ["seq_id", "point", "chunk"], ", ".join(f"s{i} double" for i in range(3))
+
+    def run(frame, outputs):
+        """The chunk's rows and its filter outputs, the three outputs before it being given (None for the first chunk)."""
+        frame = frame.sort_values("n")
+        own, values = frame["own"].to_numpy(bool), frame["y"].tolist()
+        before = int((~own).sum())
+        state = UNSEEN if not before else (3, *values[:before][::-1], *outputs)
+        out = []
+        for v in values[before:]:
             y, state = filtered(v, state, fps)
-            out.append(min(hi, max(lo, y)))
-        return frame[["seq_id", "n", "point"]].assign(y=out)
+            out.append(y)
+        return frame[own], out, state[4:]
+
+    def sum_up(frame):
+        import numpy as np
+        import pandas as pd
 
-    return curves.select("seq_id", "n", "point", "y").groupBy("seq_id", "point").applyInPandas(run, "seq_id bigint, n bigint, point int, y double")
+        key = {c: frame[c].iat[0] for c in by}
+        if not frame["own"].any():  # behind the last chunk
+            return pd.DataFrame(columns=[*by, "turn", "shift"])
+        shift = np.array(run(frame, (0.0, 0.0, 0.0))[2])
+        first, turn = bool(frame["own"].all()), np.zeros((3, 3))
+        if not first:
+            a = FILTERS[fps][0]
+            step = np.array([[-a[0], -a[1], -a[2]], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]])
+            turn = np.linalg.matrix_power(step, int(frame["own"].sum()))
+        return pd.DataFrame([key | {"turn": turn.ravel().tolist(), "shift": shift.tolist()}])
 
+    def carry(frame):
+        import numpy as np
 
-def filter_tone_curves_stream(curves: DataFrame, fps: int = 25, lo: float = float("-inf"), hi: float = float("inf")) -> DataFrame:
-    """The same with the last three inputs and outputs of every point as state."""
+        frame, state, begins = frame.sort_values("chunk"), np.zeros(3), []
+        for turn, shift in zip(frame["turn"], frame["shift"], strict=True):
+            begins.append(state)
+            state = np.asarray(turn).reshape(3, 3) @ state + np.asarray(shift)
+        return frame[by].assign(**{f"s{i}": [b[i] for b in begins] for i in range(3)})
+
+    def filter_chunk(frame, start):
+        import pandas as pd
+
+        if not len(start):
+            return pd.DataFrame(columns=["seq_id", "n", "point", "y"])
+        own, out, _ = run(frame, tuple(start[["s0", "s1", "s2"]].iloc[0]))
+        return own[["seq_id", "n", "point"]].assign(y=[min(hi, max(lo, y)) for y in out])
+
+    key = "seq_id bigint, point int, chunk bigint"
+    sums = at.groupBy(*by).applyInPandas(sum_up, f"{key}, turn array<double>, shift array<double>")
+    begins = sums.groupBy("seq_id", "point").applyInPandas(carry, f"{key}, {starts}")
+    return at.groupBy(*by).cogroup(begins.groupBy(*by)).applyInPandas(filter_chunk, "seq_id bigint, n bigint, point int, y double")
+
+
+def filter_tone_curves_stream(curves: DataFrame, fps: int = 25, lo: float = float("-inf"), hi: float = float("inf"), delay: str = "10 seconds") -> DataFrame:
+    """The same over a stream of (seq_id, n, point, y, ts) with the last three inputs and outputs of every point as state; frames wait for the watermark as in
+    temporal_adaptation_stream."""
+    if fps not in FILTERS:
+        raise ValueError(f"no filter for {fps} frames a second; known: {', '.join(map(str, FILTERS))}")
 
     def step(key, frames, state: GroupState):
         import pandas as pd
 
-        now, rows = state.get if state.exists else UNSEEN, []
-        for n, v in sorted((n, v) for f in frames for n, v in zip(f["n"], f["y"], strict=True)):
-            y, now = filtered(v, now, fps)
-            rows.append((key[0], n, key[1], min(hi, max(lo, y))))
-        state.update(now)
+        ready, (last, *now), waiting = released(frames, state, ("n", "y"), (0, *UNSEEN))
+        rows = []
+        for _, n, v in ready:
+            if n > last:
+                y, now = filtered(v, tuple(now), fps)
+                last = n
+                rows.append((key[0], n, key[1], min(hi, max(lo, y))))
+        wait(state, waiting, 2, (last, *now))
         yield pd.DataFrame(rows, columns=["seq_id", "n", "point", "y"])
 
-    return curves.groupBy("seq_id", "point").applyInPandasWithState(step, "seq_id bigint, n bigint, point int, y double", CURVE_STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = curves.withWatermark("ts", delay).select("seq_id", F.col("n").cast("bigint").alias("n"), "point", F.col("y").cast("double").alias("y"), "ts", F.unix_micros("ts").alias("us"))
+    kept = f"held array<bigint>, held_n array<bigint>, held_y array<double>, last bigint, {CURVE_STATE}"
+    return timed.groupBy("seq_id", "point").applyInPandasWithState(step, "seq_id bigint, n bigint, point int, y double", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def frame_stats(seq: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str | None = None, gap: str | None = None) -> DataFrame:
@@ -152,32 +234,41 @@ def frame_stats(seq: DataFrame, size: str = "1 hour", slide: str | None = None,
     return out.select(*keys, F.col("w.start").alias("start"), "frames", "lo", "hi", "mean")
 
 
+def assemble_brackets(files: DataFrame, n: int, timeout: str = "1 hour") -> DataFrame:
+    """(folder_id, files): the brackets of n files that (folder_id, file, ts) form in order of time, then name. A file that comes again is ignored; when nothing
+    comes for longer than the timeout, an incomplete bracket is dropped. A window sorts a folder's files; nothing gathers them."""
+    first = files.groupBy("folder_id", "file").agg(F.min("ts").alias("ts"))
+    along = Window.partitionBy("folder_id").orderBy("ts", "file")
+    late = F.col("ts") > F.lag("ts").over(along) + F.expr(f"interval {timeout}")
+    sessions = first.withColumn("late", F.coalesce(late.cast("int"), F.lit(0))).withColumn("session", F.sum("late").over(along))
+    place = F.row_number().over(Window.partitionBy("folder_id", "session").orderBy("ts", "file")) - 1
+    whole = sessions.withColumn("bracket", F.floor(place / n)).groupBy("folder_id", "session", "bracket").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return whole.where(F.size("files") == n).select("folder_id", "files")
+
+
 def assemble_brackets_stream(files: DataFrame, n: int, timeout: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """(folder_id, files): a bracket as soon as n files of a folder have arrived; a file that comes again is ignored, an incomplete
-    bracket is dropped at its timeout. Input: (folder_id, file, ts)."""
+    """The same over a stream: a file waits until the watermark, `delay` behind the latest time seen, has passed it, so that brackets do not hang on the order of
+    arrival; files behind those that were taken are dropped, and so are copies that come within the delay. State: the waiting files and an incomplete bracket of each folder."""
 
     def gather(key, frames, state: GroupState):
         import pandas as pd
 
-        held = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            return
-        latest = 0
-        for f in frames:
-            for name, ts in zip(f["file"], f["ts"], strict=True):
-                latest = max(latest, int(ts.timestamp() * 1000))
-                if name not in held:
-                    held.append(name)
-        held.sort()
-        done = [held[i : i + n] for i in range(0, len(held) - n + 1, n)]
-        held = held[len(done) * n :]
-        if held:
-            state.update((held,))
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(pd.Timedelta(timeout).total_seconds() * 1000))
-        elif state.exists:
-            state.remove()
+        ready, (names, last), waiting = released(frames, state, ("at", "file"), ([], 0))
+        names, done, most = list(names), [], int(pd.Timedelta(timeout).total_seconds() * 1_000_000)
+        for ts, _, name in ready:
+            if ts < last:
+                continue
+            if ts - last > most:
+                names = []
+            last = ts
+            if name not in names:
+                names.append(name)
+            if len(names) == n:
+                done.append(sorted(names))
+                names = []
+        wait(state, waiting, 2, (names, last))
         yield pd.DataFrame({"folder_id": [key[0]] * len(done), "files": done})
 
-    fresh = files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["folder_id", "file"])
-    return fresh.groupBy("folder_id").applyInPandasWithState(gather, "folder_id bigint, files array<string>", "files array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    fresh = files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["folder_id", "file"]).select("folder_id", "file", "ts", F.unix_micros("ts").alias("us"), F.unix_micros("ts").alias("at"))
+    kept = "held array<bigint>, held_at array<bigint>, held_file array<string>, names array<string>, last bigint"
+    return fresh.groupBy("folder_id").applyInPandasWithState(gather, "folder_id bigint, files array<string>", kept, "append", GroupStateTimeout.EventTimeTimeout)

@@ -204,6 +204,25 @@ def test_formats(spark, tmp_path):
     for ext in ("parquet", "orc", "json", "csv"):
         frames.write_pixels(df, str(tmp_path / f"a.{ext}"))
         assert frames.read_pixels(spark, str(tmp_path / f"a.{ext}")).exceptAll(df).isEmpty()
-    for call in (lambda: frames.read_pixels(spark, "a.tga"), lambda: frames.write_pixels(df, "a.pfs")):
+    for call in (lambda: frames.read_pixels(spark, "a.tga"), lambda: frames.write_pixels(df, "a.tga")):
         with pytest.raises(ValueError, match="unknown format"):
             call()
+
+
+def test_frame_containers(spark, tmp_path):
+    """A folder of whole files, the schema of the other formats; broken and existing targets are errors."""
+    rng = np.random.default_rng(3)
+    df = frames.as_floats(pixels(spark, {7: rng.uniform(0, 1, (2, 3, 3)), 12: rng.uniform(0, 9, (4, 1, 3))}))
+    path = str(tmp_path / "a.pfs")
+    frames.write_pixels(df, path)
+    assert sorted(p.name for p in (tmp_path / "a.pfs").iterdir() if not p.name.startswith(".")) == ["12.pfs", "7.pfs"]
+    got = frames.read_pixels(spark, path)
+    assert got.schema == frames.read_pixels(spark, path).schema and got.columns == ["frame_id", "x", "y", "r", "g", "b"]
+    assert got.exceptAll(df).isEmpty() and got.count() == df.count()
+    with pytest.raises(Exception, match="exists already"):
+        frames.write_pixels(df, path)
+    frames.write_pixels(df, f"file://{tmp_path}/b.pfs")
+    assert frames.read_pixels(spark, f"file://{tmp_path}/b.pfs").exceptAll(df).isEmpty()
+    (tmp_path / "a.pfs" / "9.pfs").write_bytes(b"PFS1\n2 2\n")
+    with pytest.raises(Exception, match="9.pfs"):
+        frames.read_pixels(spark, path).collect()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from framelake.functions import color
 from framelake.operators import merge, pixels, tonemap
 from framelake.sources import pfs, text_files
-from framelake.streaming import sequences
 
 
 @pytest.fixture(scope="module")
@@ -82,22 +81,3 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "s.txt").write_text("# made\nTMO=Drago03\nBIAS = 0.8\nTMO=Mai\nLOCAL=yes\n")
     got = text_files.read_settings(spark, str(tmp_path / "s.txt")).first()
     assert (got["tmo"], got["numbers"], got["switches"], got["texts"]) == ("Mai", {"bias": 0.8}, {"local": True}, {})
-
-
-def test_stream_is_batch(spark, tmp_path):
-    seq = spark.createDataFrame([(s, n, float((s * 7 + n * 3) % 11)) for s in range(4) for n in range(1, 9)], "seq_id bigint, n bigint, lum double")
-    seq.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = sequences.temporal_adaptation_stream(spark.readStream.schema(seq.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("adapted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table("adapted").orderBy("seq_id", "n").collect()
-    want = sequences.temporal_adaptation(seq).orderBy("seq_id", "n").collect()
-    assert len(got) == 32 and all(a["cone"] == pytest.approx(b["cone"]) and a["rod"] == pytest.approx(b["rod"]) for a, b in zip(got, want, strict=True))
-
-
-def test_bracket_stream(spark, tmp_path):
-    files = spark.sql("select 1L as folder_id, concat('f', id % 4) as file, timestamp'2024-01-01' + make_dt_interval(0,0,0,id) as ts from range(5) union all select 2L, 'a', timestamp'2024-01-01'")
-    files.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = sequences.assemble_brackets_stream(spark.readStream.schema(files.schema).parquet(str(tmp_path / "in")), 3).writeStream.format("memory").queryName("brackets").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table("brackets").collect()
-    assert len(got) == 1 and got[0]["folder_id"] == 1 and len(set(got[0]["files"])) == 3
