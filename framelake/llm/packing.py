@@ -4,7 +4,8 @@ Every document becomes ids plus an end id; longer ones are cut into full pieces.
 sequence of its own. The others meet in groups of bounded size, dealt by a hash and the place of the row, and each group is packed
 longest first. A sequence has residual capacities in tokens, documents and attention cost (sum of squared lengths); a piece
 may only go where all three hold it. Of all such sequences it takes the one whose residual vector after the placement has the
-smallest weighted norm, the oldest among equals. A piece that alone costs more than a sequence may is a sequence of its own.
+smallest weighted norm, the oldest among equals. A piece that alone costs more than a sequence may is a sequence of its own. The default limits of documents
+and cost are the largest that can matter: they steer the choice by their weights and never cost a sequence; a caller may set smaller ones, which bind.
 
 Null and empty texts are documents of the end id alone. Repeated rows are packed as often as they come;
 a null doc_id is kept. An empty table gives no sequence.
@@ -27,8 +28,8 @@ from .common import Memo, in_worker, materialize, table, tidied
 VOCABULARY = "word_bpe_49k.json"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 CAPACITY = 2048
-MAX_DOCS = 256  # documents of a sequence
-COST_SHARE = 0.98  # attention cost of a sequence, as a share of the squared capacity
+MAX_DOCS = CAPACITY  # documents of a sequence: each has a token at least, so this limit costs no sequence
+COST_SHARE = 1.0  # attention cost of a sequence, as a share of the squared capacity: nor does this one
 WEIGHTS = (1.0, 0.05, 0.05)  # of the residual tokens, documents and cost
 GROUP_PIECES = 20_000  # pieces that meet in one task; a group's waste is about one sequence
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

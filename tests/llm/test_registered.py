@@ -148,6 +148,19 @@ def test_op10(spark, docs):
     holds(run(spark, "op10_best_fit_packing"), docs)
 
 
+def test_op10_takes_as_few_sequences_as_it_can(spark, tmp_path):
+    """Through the registered query: 20,000 empty texts, and texts of log-normal lengths, take no sequence more than their tokens need (one for a group's rest)."""
+    rng = np.random.default_rng(10)
+    lengths = np.clip(np.exp(rng.normal(4.5, 1.2, 3000)), 1, 2047).astype(int)
+    for name, texts in (("empty", [""] * 20_000), ("mixed", ["a " * n for n in lengths])):
+        folder = tmp_path / name
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+        got = queries.QUERIES["op10_best_fit_packing"](spark, str(folder)).toPandas()
+        assert got.length.sum() == sum(len(t) // 2 + 1 for t in texts) and got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
+        if name == "empty":
+            assert got.sequence_id.nunique() == 10
+
+
 def test_pipeline_from_end_to_end(spark, docs):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, SF).toPandas()
