@@ -139,13 +139,58 @@ def rotated(d: Vector, degrees: tuple[float, float, float]) -> Vector:
     return x, y, z
 
 
+SOURCE_TILE, TARGET_BLOCK = 64, 256
+
+
+def sampled(points: DataFrame, df: DataFrame, interpolate: bool) -> DataFrame:
+    """(frame_id, px, py, r, g, b): sums of the samples of `df` at the points (frame_id, px, py, sx, sy, width, height) of a target pixel that lie in one tile.
+
+    Points meet the pixels of the tile of the source that they fall into (with the line and column behind it) once for each block of the target, so that a
+    point is one row whatever its taps, a pixel is copied to a few blocks, and a pole that fills much of the target is no hot key. A point without a pixel gives 0.
+    """
+    keys = ["frame_id", "tx", "ty", "bx", "by"]
+    start = (lambda c: F.floor(c)) if interpolate else (lambda c: F.floor(F.col(c) + 0.5))
+    first = {f"{c}0": F.least(start(f"s{c}"), F.col(size) - 1).cast("int") for c, size in (("x", "width"), ("y", "height"))}
+    tile = lambda c: F.floor(F.col(c) / SOURCE_TILE)
+    block = {"bx": F.floor(F.col("px") / TARGET_BLOCK), "by": F.floor(F.col("py") / TARGET_BLOCK)}
+    dealt = points.withColumns(first).withColumns({"tx": tile("x0"), "ty": tile("y0")} | block)
+    dealt = dealt.select(*keys, "px", "py", "x0", "y0", (F.col("sx") - start("sx")).alias("fx"), (F.col("sy") - start("sy")).alias("fy"))
+    both = lambda c: F.explode(F.when((F.col(c) % SOURCE_TILE == 0) & (F.col(c) > 0), F.array(tile(c), tile(c) - 1)).otherwise(F.array(tile(c))))
+    pixels = df.select("frame_id", "x", "y", *RGB, both("x").alias("tx")).select("*", both("y").alias("ty")).join(dealt.select(*keys).distinct(), keys[:3])
+    own_keys = {f"own_{k}": F.col(k) for k in keys}  # names of their own: both sides come from the same points
+    pixels = pixels.select(*[c.alias(k) for k, c in own_keys.items()], "x", "y", *RGB)
+
+    def look(at, own):
+        import numpy as np
+        import pandas as pd
+
+        if not len(at):
+            return pd.DataFrame(columns=["frame_id", "px", "py", *RGB])
+        x0, y0, n = int(at["tx"].iat[0]) * SOURCE_TILE, int(at["ty"].iat[0]) * SOURCE_TILE, SOURCE_TILE + 1
+        grid = np.zeros((n, n, 3))
+        there = np.zeros((n, n), bool)
+        ys, xs = own["y"].to_numpy(int) - y0, own["x"].to_numpy(int) - x0
+        grid[ys, xs], there[ys, xs] = own[list(RGB)].to_numpy(float), True
+        x, y = at["x0"].to_numpy(int) - x0, at["y0"].to_numpy(int) - y0
+        if interpolate:
+            right, below = np.where(there[y, np.minimum(x + 1, n - 1)], x + 1, x), np.where(there[np.minimum(y + 1, n - 1), x], y + 1, y)  # the last line stands for the one behind it
+            fx, fy = at["fx"].to_numpy()[:, None], at["fy"].to_numpy()[:, None]
+            value = (grid[y, x] * (1 - fx) + grid[y, right] * fx) * (1 - fy) + (grid[below, x] * (1 - fx) + grid[below, right] * fx) * fy
+        else:
+            value = grid[y, x]
+        found = pd.DataFrame(value, columns=list(RGB)).assign(frame_id=at["frame_id"].iat[0], px=at["px"].to_numpy(), py=at["py"].to_numpy())
+        return found.groupby(["frame_id", "px", "py"], as_index=False, sort=False)[list(RGB)].sum()
+
+    return dealt.groupBy(*keys).cogroup(pixels.groupBy(*own_keys)).applyInPandas(look, "frame_id bigint, px int, py int, r double, g double, b double")
+
+
 # Width over height of a panorama in each projection.
 PROJECTIONS = {"mirrorball": 1, "angular": 1, "cylindrical": 2, "polar": 2}
 
 
 def project(df: DataFrame, src: str, dst: str, xsize: int, rotation=(0.0, 0.0, 0.0), oversample: int = 1, interpolate: bool = True, angle: float = 360.0) -> DataFrame:
     """Frames of one projection in another, xsize wide: each target pixel is the mean of oversample^2 directions, looked up in the source with four taps or the nearest;
-    pixels outside a disc are 0. A target pixel is listed once a tap and summed map-side."""
+    pixels outside a disc are 0. Directions go to the tile of the source that they point at; see sampled()."""
     src, dst = src.lower(), dst.lower()
     for name in (src, dst):
         if name not in PROJECTIONS:
@@ -163,13 +208,6 @@ def project(df: DataFrame, src: str, dst: str, xsize: int, rotation=(0.0, 0.0, 0
     grid = grid.withColumns(dict(zip(("dx", "dy", "dz"), rotated((F.col("dx"), F.col("dy"), F.col("dz")), rotation), strict=True)))
     u, v = project_to(src, (F.col("dx"), F.col("dy"), F.col("dz")), angle)
     grid = grid.withColumns({"sx": u * F.col("width"), "sy": v * F.col("height")})
-    last = lambda c, size: F.least(c, F.col(size) - 1).cast("int")
-    if interpolate:
-        grid = grid.withColumns({"x0": F.floor("sx"), "y0": F.floor("sy")}).withColumns({"fx": F.col("sx") - F.col("x0"), "fy": F.col("sy") - F.col("y0")})
-        tap = lambda i, j: F.struct(last(F.col("x0") + i, "width").alias("x"), last(F.col("y0") + j, "height").alias("y"), ((F.col("fx") if i else 1 - F.col("fx")) * (F.col("fy") if j else 1 - F.col("fy"))).alias("w"))
-        taps = F.array(tap(0, 0), tap(1, 0), tap(0, 1), tap(1, 1))
-    else:
-        taps = F.array(F.struct(last(F.floor(F.col("sx") + 0.5), "width").alias("x"), last(F.floor(F.col("sy") + 0.5), "height").alias("y"), F.lit(1.0).alias("w")))
-    met = grid.select("frame_id", "px", "py", F.explode(taps).alias("t")).select("frame_id", "px", "py", "t.*").join(df, PIXEL)
-    sums = met.groupBy("frame_id", "px", "py").agg(*[(F.sum(F.col("w") * F.col(c)) / oversample**2).alias(c) for c in RGB])
+    met = sampled(grid.select("frame_id", "px", "py", "sx", "sy", "width", "height"), df, interpolate)
+    sums = met.groupBy("frame_id", "px", "py").agg(*[(F.sum(c) / oversample**2).alias(c) for c in RGB])
     return every.join(sums, ["frame_id", "px", "py"], "left").select("frame_id", F.col("px").alias("x"), F.col("py").alias("y"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in RGB])
