@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from .lineage import kept
 from .luts import bin_lookup
 from .pixels import RGB
 
@@ -86,8 +87,8 @@ def merge_debevec(stack: DataFrame, weight: str = "triangular", response: str |
     """Weighted mean of ln(response) - ln(time), weights suppressed where the darker exposure shows saturation."""
     d = with_response(darker_samples(stack), response)
     w = sum(color.weight(F.col(c), weight) for c in RGB) / 3.0
-    kept = F.least(F.lit(1.0), *[1 - F.pow(F.col("time") / F.col("dark_time") * F.col(f"dark_res_{c}") / F.col(f"top_{c}"), F.lit(4.0)) for c in RGB])
-    d = d.withColumn("w", F.when(F.col("dark_time").isNull(), F.greatest(w, F.lit(1e-6))).otherwise(w * F.greatest(F.lit(0.0), kept)))
+    shares = F.least(F.lit(1.0), *[1 - F.pow(F.col("time") / F.col("dark_time") * F.col(f"dark_res_{c}") / F.col(f"top_{c}"), F.lit(4.0)) for c in RGB])
+    d = d.withColumn("w", F.when(F.col("dark_time").isNull(), F.greatest(w, F.lit(1e-6))).otherwise(w * F.greatest(F.lit(0.0), shares)))
     logs = lambda c: F.sum(F.col("w") * (F.ln(f"res_{c}") - F.ln("time")))
     return d.groupBy(*PIXEL).agg(*[F.exp(logs(c) / F.sum("w")).alias(c) for c in RGB])
 
@@ -116,10 +117,11 @@ def merge_robertson(stack: DataFrame, weight: str = "triangular", response: str
 
 
 def repair_normalize(merged: DataFrame) -> DataFrame:
-    """NaN channels take the first finite one (or the scene's maximum), then all go to [0, 1]; a negative makes a pixel black."""
+    """NaN channels take the first finite one (or the scene's maximum), then all go to [0, 1]; a negative makes a pixel black. The merged pixels are written once, to the
+    shared folder, as they are read for the range and again for the result."""
     clean = {c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in RGB}
     first = F.coalesce(*clean.values())
-    fixed = merged.withColumns({c: F.coalesce(clean[c], first) for c in RGB})
+    fixed = kept(merged.withColumns({c: F.coalesce(clean[c], first) for c in RGB}))
     s = fixed.groupBy("scene_id").agg(F.min(F.least(*RGB)).alias("lo"), F.max(F.greatest(*RGB)).alias("hi"))
     unit = {c: (F.coalesce(F.col(c), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo")) for c in RGB}
     black = F.least(*unit.values()) < 0

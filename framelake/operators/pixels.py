@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from .lineage import kept
 
 RGB = ("r", "g", "b")
 KEYS = ["frame_id"]
@@ -182,9 +183,10 @@ def contrast_equalize(grad: DataFrame, factor: float) -> DataFrame:
     """Gradients scaled by factor * cdf / magnitude, the cdf being the rank among all magnitudes of the frame.
 
     Ranks are exact: counts of logarithmic bins give the rank at which a bin starts, and only the pixels of one bin are sorted together.
-    Flat pixels (often most of a frame) need no rank of their own.
+    Flat pixels (often most of a frame) need no rank of their own. The gradients are written once, to the shared folder: counts and both kinds of pixels read them.
     """
     g = grad.withColumn("mag", F.round(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2), 9)).withColumn("bin", F.when(F.col("mag") > 0, F.floor(F.log2("mag") * BINS_PER_OCTAVE).cast("int")))
+    g = kept(g)
     hist = g.groupBy("frame_id", "bin").agg(F.count("*").alias("n"))
     by_bin = Window.partitionBy("frame_id").orderBy(F.asc_nulls_first("bin"))
     hist = hist.withColumns({"before": F.sum("n").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "total": F.sum("n").over(Window.partitionBy("frame_id"))}).drop("n")

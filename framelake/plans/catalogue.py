@@ -165,11 +165,12 @@ zc as (select *, 0.18e0*pow(4e0, (2e0*(log2(av+1e-6)-mn)-rg)/rg) as ky, 1.5e0*po
 zd as (select frame_id, zone, q_lo, q_lo*ky/av as b, wh from pm join zc using (frame_id)), zs as (select frame_id, zone, log2(b*(1e0+b/(wh*wh))/(1e0+b)/q_lo+1e-6) as stop from zd)"""
 add("zone_exposure", lambda s, d: r6(levels.zone_exposure(views.px(s, d))[1], "stop"), f"{ZONES} select frame_id, zone, {s6('stop', 'stop')} from zs")
 over_px("tm_zone", levels.tm_zone, f"{ZONES} select {PIX}, {three('$*pow(2e0, stop)')} from zl join zs using (frame_id, zone)")
-add("auto_levels", lambda s, d: r6(levels.auto_levels(pixels.quantize(views.px(s, d), 0.0, 60.0), 0.9), "lo", "hi", "gamma"), f"""au as (select frame_id, {', '.join(f'cast(floor(floor(least(greatest({c}/60e0, 0e0), 1e0)*255e0+0.5e0)/255e0*255e0+1e-9) as int) as {c}' for c in RGB)} from px),
-ah as (select frame_id, ch, bin, count(*) as n from (select frame_id, 'r' as ch, r as bin from au union all select frame_id, 'g', g from au union all select frame_id, 'b', b from au union all select frame_id, 'light', cast(floor((greatest(r,g,b)+least(r,g,b))/2) as int) from au) group by 1, 2, 3),
+AUTO = lambda share: f"""ah as (select frame_id, ch, bin, count(*) as n from (select frame_id, 'r' as ch, r as bin from au union all select frame_id, 'g', g from au union all select frame_id, 'b', b from au union all select frame_id, 'light', cast(floor((greatest(r,g,b)+least(r,g,b))/2) as int) from au) group by 1, 2, 3),
 ap as (select frame_id, ch, greatest(1, least(254, min(bin))) as pk from (select *, max(n) over (partition by frame_id, ch) as top from ah) where n = top group by 1, 2), ag as (select *, unnest(range(256)) as bin from ap), ad as (select ag.*, coalesce(n, 0) as n from ag left join ah using (frame_id, ch, bin)),
 aw as (select *, sum(case when bin < pk then n else 0 end) over (partition by frame_id, ch order by bin desc) as bl, sum(case when bin < pk then n else 0 end) over (partition by frame_id, ch) as lt, sum(case when bin >= pk then n else 0 end) over (partition by frame_id, ch order by bin) as ab, sum(case when bin >= pk then n else 0 end) over (partition by frame_id, ch) as rt from ad),
-ae as (select frame_id, ch, coalesce(max(case when bin >= 1 and bin < pk and bl >= 0.9e0*lt then bin end), 0) as xa, coalesce(min(case when bin >= pk and bin < 254 and ab >= 0.9e0*rt then bin+1 end), 255) as xb from aw group by 1, 2)
+ae as (select frame_id, ch, coalesce(max(case when bin >= 1 and bin < pk and bl >= {share!r}e0*lt then bin end), 0) as xa, coalesce(min(case when bin >= pk and bin < 254 and ab >= {share!r}e0*rt then bin+1 end), 255) as xb from aw group by 1, 2)"""
+add("auto_levels", lambda s, d: r6(levels.auto_levels(pixels.quantize(views.px(s, d), 0.0, 60.0), 0.9), "lo", "hi", "gamma"), f"""au as (select frame_id, {', '.join(f'cast(floor(floor(least(greatest({c}/60e0, 0e0), 1e0)*255e0+0.5e0)/255e0*255e0+1e-9) as int) as {c}' for c in RGB)} from px),
+{AUTO(0.9)}
 select frame_id, {s6('min(xa)/255e0', 'lo')}, {s6('max(xb)/255e0', 'hi')}, 1e0 as gamma from ae group by 1""")
 add("upsample2", lambda s, d: r6(levels.upsample2(views.px(s, d), "g"), "g"), f"select frame_id, cast(x*2+i as int) as x, cast(y*2+j as int) as y, {s6('g', 'g')} from px cross join (select unnest(range(2)) as i) cross join (select unnest(range(2)) as j)")
 
@@ -218,3 +219,20 @@ v2 as (select *, bc*{MR('(a*5e0)', 'sc')}+br*{MR('(a*5e0)', 'sr')} as ws, bc*{MR
 v3 as (select *, case when ws > wd then ws when ks < kd then ks else 0e0 end as dx, case when ws > wd then wd when ks < kd then kd else 0e0 end as dz, case when ws > wd or ks < kd then least((wd-kd)/(ws-ks), 1e0) else 1e0 end as dy, (wd-kd)/log10(32e0) as sd from v2),
 v4 as (select lm.*, v3.* exclude (frame_id), br*{MR('lum', 'sr')} as rr, bc*{MR('lum', 'sc')} as rc from lm join v3 using (frame_id)), v5 as (select *, greatest(0e0, least(0.9999999e0, (rr+rc-dx)*dy+dz)) as ra, bc*pow(sc, 0.73e0)*0.73e0*pow(lum, 0.73e0)/pow(pow(lum, 0.73e0)+pow(sc, 0.73e0), 2e0)/sd as co from v4)
 select {PIX}, {three(f'least(greatest(ds/125e0*pow(ra/(1e0-ra), {1 / 0.73!r}e0)*(pow($/lum, co)*rc/(rr+rc)+rr/(rr+rc)), 0e0), 1e0)')} from v5""")
+
+# I10, I14 whole
+over_px("tm_pattanaik_local", extended.stencils.tm_pattanaik_local, f"""{extended.NEAR}, v0 as (select frame_id, 5e0*exp(avg(ln(lum+2.3e-5))) as a from lm group by 1), v1 as (select frame_id, a, 2e6/(2e6+a) as bc, 0.04e0/(0.04e0+a) as br, {CSG('a')} as sc, {RSG('a')} as sr, {CSG('25e0')} as ds from v0),
+v2 as (select *, bc*{MR('(a*5e0)', 'sc')}+br*{MR('(a*5e0)', 'sr')} as ws, bc*{MR('(a/6.4e0)', 'sc')}+br*{MR('(a/6.4e0)', 'sr')} as ks, {MR('125e0', 'ds')} as wd, {MR('(25e0/6.4e0)', 'ds')} as kd from v1),
+v3 as (select frame_id, ds, case when ws > wd then ws when ks < kd then ks else 0e0 end as dx, case when ws > wd then wd when ks < kd then kd else 0e0 end as dz, case when ws > wd or ks < kd then least((wd-kd)/(ws-ks), 1e0) else 1e0 end as dy, (wd-kd)/log10(32e0) as sd from v2),
+vl as (select lm.*, coalesce(v, lm.lum) as la from lm left join ob using (frame_id, x, y)), vm as (select *, 2e6/(2e6+la) as bc, 0.04e0/(0.04e0+la) as br, {CSG('la')} as sc, {RSG('la')} as sr from vl),
+v4 as (select vm.*, v3.* exclude (frame_id), br*{MR('lum', 'sr')} as rr, bc*{MR('lum', 'sc')} as rc from vm join v3 using (frame_id)), v5 as (select *, greatest(0e0, least(0.9999999e0, (rr+rc-dx)*dy+dz)) as ra, bc*pow(sc, 0.73e0)*0.73e0*pow(lum, 0.73e0)/pow(pow(lum, 0.73e0)+pow(sc, 0.73e0), 2e0)/sd as co from v4)
+select {PIX}, {three(f'least(greatest(ds/125e0*pow(ra/(1e0-ra), {1 / 0.73!r}e0)*(pow($/lum, co)*rc/(rr+rc)+rr/(rr+rc)), 0e0), 1e0)')} from v5""")
+REINHARD = lambda src: f"rl as (select *, {Y} as lum from {src}), rz as (select frame_id, exp(avg(ln(lum+1e-5))) as av, max(lum) as top from rl group by 1), rq as (select rl.*, lum*0.18e0/av as v, top*0.18e0/av as t from rl join rz using (frame_id)), rt as (select {PIX}, {', '.join(f'{c}*(v*(1e0+v/(t*t))/(1e0+v))/lum as {c}' for c in RGB)} from rq)"
+DRAGO = f"dz as (select frame_id, max(g) as top, exp(avg(ln(g+1e-4))) as av from px group by 1), dq as (select px.*, g/av as w, top/av as t from px join dz using (frame_id)), dn as (select *, ln(w+1e0)/(ln(2e0+8e0*exp((ln(0.85e0)/ln(0.5e0))*(ln(w)-ln(t))))*log10(t+1e0)) as l from dq), dt as (select {PIX}, {', '.join(f'{c}*(case when g <> 0 then l/g else 0e0 end) as {c}' for c in RGB)} from dn)"
+BYTE = lambda c: f"cast(floor(floor(least(greatest({c}, 0e0), 1e0)*255e0+0.5e0)/255e0*255e0+1e-9) as int)"
+TURNED = ", ".join(f"pow(greatest({w}, 0e0), {1 / 1.2!r}e0) as {c}" for w, c in zip((WAVE("0e0"), WAVE("4e0"), WAVE("2e0")), RGB, strict=True))
+over_px("render_auto", lambda p: render.render(p, "reinhard02", pregamma=1.1, postsaturation=0.8, postgamma=1.2, crop=(1, 1, 22, 20), auto=0.95, bits=32), f"""cp as (select frame_id, x-1 as x, y-1 as y, {', '.join(f'pow({c}, {1 / 1.1!r}e0) as {c}' for c in RGB)} from px where x >= 1 and x < 22 and y >= 1 and y < 20), {REINHARD('cp')}, {HSL_SQL.replace('/60e0', '').replace('from px', 'from rt')},
+h4 as (select {PIX}, h, s*0.8e0 as s, l from h3), ft as (select {PIX}, {TURNED} from h4), au as (select frame_id, {', '.join(f'{BYTE(c)} as {c}' for c in RGB)} from ft), {AUTO(0.95)}, an as (select frame_id, min(xa)/255e0 as lo, max(xb)/255e0 as hi from ae group by 1)
+select {PIX}, {three('least(greatest(($-lo)/(hi-lo), 0e0), 1e0)')} from ft join an using (frame_id)""")
+add("render_batch", extended.render_presets, f"""{DRAGO}, {REINHARD('px')} select {PIX}, {', '.join(f'floor(least(greatest({c}, 0e0), 1e0)*65535e0+0.5e0) as {c}' for c in RGB)}, 'a' as preset from dt
+union all select {PIX}, {', '.join(f"cast({BYTE(f'pow({c}, {1 / 1.5!r}e0)')} as double)" for c in RGB)}, 'b' from rt union all select {PIX}, {', '.join(f"cast({BYTE(f'pow({c}, {1 / 2.0!r}e0)')} as double)" for c in RGB)}, 'd' from dt""")

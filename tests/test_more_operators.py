@@ -191,14 +191,37 @@ def test_contrast_density_by_hand(spark):
     assert got == want
 
 
-def test_errors_of_a_preset_do_not_stop_the_others(spark):
-    df = pixels(spark, {1: np.random.default_rng(1).uniform(0.1, 9, (6, 7, 3))})
-    made, errors = render.render_batch(df, {"a": {"tmo": "drago"}, "b": {"tmo": "nothing"}})
-    assert made.count() == 42 and list(errors) == ["b"]
-    auto = render.render(df, "reinhard02", auto=0.985, bits=16)
+def test_errors_do_not_stop_the_others(spark):
+    """A preset that cannot be planned and a frame that has no result are rows of the error table; the rest is made."""
+    rng = np.random.default_rng(1)
+    broken = rng.uniform(0.1, 9, (6, 7, 3))
+    broken[2, 3] = np.nan
+    df = pixels(spark, {1: rng.uniform(0.1, 9, (6, 7, 3)), 2: np.zeros((4, 4, 3)), 3: broken})
+    presets = {"a": {"tmo": "reinhard02"}, "b": {"tmo": "nothing"}, "c": {"tmo": "reinhard02", "bits": 16, "postgamma": 2.0}, "d": {"tmo": "drago", "no_such": 1}}
+    made, errors = render.render_batch(df, presets)
+    told = {(r["preset"], r["frame_id"]) for r in errors.collect()}
+    assert {("b", None), ("d", None), ("a", 3), ("c", 3)} <= told and ("a", 1) not in told
+    want = {(p, f) for p in ("a", "c") for f in (1, 2, 3)} - told
+    assert {(r["preset"], r["frame_id"]) for r in made.select("preset", "frame_id").distinct().collect()} == want and ("a", 1) in want
+    one = made.where("preset = 'c' and frame_id = 1").orderBy("y", "x").select("r", "g", "b").collect()
+    alone = render.render(df.where("frame_id = 1"), "reinhard02", postgamma=2.0, bits=16).orderBy("y", "x").select("r", "g", "b").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in alone]
+    with pytest.raises(ValueError, match="no preset"):
+        render.render_batch(df, {"b": {"tmo": "nothing"}})
+    auto = render.render(df.where("frame_id = 1"), "reinhard02", auto=0.985, bits=16)
     assert auto.agg(F.max("g")).first()[0] <= 65535
 
 
+def test_presets_that_begin_alike_share_statistics(spark):
+    """One aggregation by frame serves both presets; the other shuffles of the plan are reuses of it."""
+    df = pixels(spark, {1: np.random.default_rng(1).uniform(0.1, 9, (6, 7, 3))})
+    base = render.mapped(df, "reinhard02")
+    both = render.finished(base, postgamma=2.0).unionByName(render.finished(base, postsaturation=0.5))
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 1
+
+
 def test_formats(spark, tmp_path):
     df = pixels(spark, {1: np.random.default_rng(1).uniform(0, 1, (2, 3, 3))})
     for ext in ("parquet", "orc", "json", "csv"):
