@@ -55,6 +55,10 @@ over_px("sample_conversion", lambda p: pixels.each(p, lambda c: color.to_float(c
 over_px("calibrate", lambda p: pixels.calibrate(p, 1.5, -3.0), f"select {PIX}, {three('$*1.5e0-3e0')} from px")
 over_px("log_irradiance", lambda p: pixels.each(p, lambda c: color.log_irradiance(F.floor(c / 10).cast("double"))), f"select {PIX}, {three('case when floor($/10e0) = 0 then -11.09e0 else ln(floor($/10e0)) end')} from px")
 add("quantize_u8", lambda s, d: pixels.quantize(views.px(s, d), 0.0, 60.0, "gamma2.2", 8), f"select {PIX}, {', '.join(f'cast(floor(pow(floor(least(greatest({c}/60e0, 0e0), 1e0)*255e0+0.5e0)/255e0, {1 / 2.2!r}e0)*255e0+1e-9) as int) as {c}' for c in RGB)} from px")
+for power in (1.4, 1.8, 2.6):
+    add(f"quantize_gamma{power}", lambda s, d, m=f"gamma{power}": pixels.quantize(views.px(s, d), 1.0, 50.0, m, 16), f"select {PIX}, {', '.join(f'cast(floor(pow(least(greatest(({c}-1e0)/49e0, 0e0), 1e0), {1 / power!r}e0)*65535e0+0.5e0) as int) as {c}' for c in RGB)} from px")
+add("quantize_linear", lambda s, d: pixels.quantize(views.px(s, d), 1.0, 50.0, "linear", 8), f"select {PIX}, {', '.join(f'cast(floor(floor(least(greatest(({c}-1e0)/49e0, 0e0), 1e0)*255e0+0.5e0)/255e0*255e0+1e-9) as int) as {c}' for c in RGB)} from px")
+add("quantize_float", lambda s, d: r6(pixels.quantize(views.px(s, d), 1.0, 50.0, "linear", 32).select("frame_id", "x", "y", *RGB), *RGB), f"select {PIX}, {three('least(greatest(($-1e0)/49e0, 0e0), 1e0)')} from px")
 add("quantize_u16", lambda s, d: pixels.quantize(views.px(s, d), 0.0, 60.0, "log", 16), f"select {PIX}, {', '.join(f'cast(floor(pow(least(greatest({c}/60e0, 0e0), 1e0), 2.2e0)*65535e0+0.5e0) as int) as {c}' for c in RGB)} from px")
 
 
@@ -71,6 +75,8 @@ RGBE = """e0 as (select *, greatest(r,g,b)/179e0 as v from px), e1 as (select *,
 e2 as (select frame_id, x, y, cast(floor(r/179e0*256e0/pow(2e0,e)) as int) as r, cast(floor(g/179e0*256e0/pow(2e0,e)) as int) as g, cast(floor(b/179e0*256e0/pow(2e0,e)) as int) as b, e+128 as e from e1)"""
 add("rgbe_pack", rgbe, f"{RGBE} select {PIX}, r, g, b, e from e2")
 add("rgbe_unpack", rgbe_round, f"{RGBE} select {PIX}, {three('$*pow(2e0, e-136)')} from e2")
+for op, form in {"mul": "$*($+1e0)", "div": "$/($+1e0)", "add": "$+($+1e0)", "sub": "$-($*0.25e0)", "adds": "$+0.5e0*($+1e0)"}.items():
+    over_px(f"frame_{op}", lambda p, op=op: pixels.frame_arith(p, pixels.each(p, (lambda c: c * 0.25) if op == "sub" else lambda c: c + 1), op, 0.5), f"select {PIX}, {three(form)} from px")
 over_px("frame_arith", lambda p: pixels.frame_arith(p, pixels.each(p, lambda c: c + 1), "subs", 0.5), f"select {PIX}, {three('$-0.5e0*($+1e0)')} from px")
 
 # Geometry and neighbours
