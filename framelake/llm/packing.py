@@ -14,12 +14,14 @@ a null doc_id is kept. An empty table gives no sequence.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 # Fixed value: the pre-tokens of the vocabulary's pattern in lower-cased text of ASCII alone.
 ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s\x1c-\x1fa-z0-9]+")
+# The same for any text, and the signs that stand for bytes: printable Latin-1 for themselves, the others from 256 on.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+LATIN = "\u0250"  # below it, lower case is that of each letter by itself
 
 
 class WordEncoder:
@@ -64,6 +71,8 @@ class WordEncoder:
             if not word.isprintable():  # control characters and white space: as the library has them
                 return self.encode(word)
             return b"".join([self.parts[p] for p in ASCII_PRE_TOKEN.findall(word.lower())])
+        if max(word) < LATIN and word.isprintable() and unicodedata.is_normalized("NFC", word):
+            return b"".join([self.parts[p.encode().decode("latin-1").translate(BYTE_SIGNS)] for p in PRE_TOKEN.findall(word.lower())])
         normal = self.normalizer.normalize_str(word)
         return b"".join([self.parts[p] for p, _ in self.cut.pre_tokenize_str(normal)])
 
