@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, tidied
 
 MIN_PAGES, MIN_SHARE = 3, 0.02  # a subtree on so many pages of different text of its host, and on such a share of them, is template
-INSIDE_PAGES, INSIDE_SHARE = 10, 0.5  # the same inside an article
+INSIDE_PAGES, INSIDE_SHARE = 5, 0.5  # the same inside an article
 
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style|noscript|template|svg|iframe)\b.*?(?:</(?P=raw)\s*+>|\Z)"

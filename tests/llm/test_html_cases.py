@@ -49,7 +49,7 @@ def test_lists_that_repeat_in_articles(run):
 
 
 def test_templates_without_names(run):
-    """Without an article, what recurs on a host's pages is template; inside one, only on half of the host's pages and ten of them."""
+    """Without an article, what recurs on a host's pages is template; inside one, only on half of the host's pages and five of them."""
     plain = "<body><div><p>welcome to the site</p></div><div><p>text {0} of the page</p></div><div>imprint</div></body>"
     got = run([(i, f"http://plain.org/{i}", plain.format(i)) for i in range(5)])
     assert got == {i: f"text {i} of the page" for i in range(5)}
