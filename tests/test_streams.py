@@ -109,3 +109,18 @@ def test_brackets_out_of_order(spark, tmp_path):
 def test_empty_tables(spark):
     assert sequences.filter_tone_curves(spark.createDataFrame([], "seq_id bigint, n bigint, point int, y double")).count() == 0
     assert sequences.assemble_brackets(spark.createDataFrame([], FILES), 3).count() == 0
+
+
+def test_sequences_share_a_group_call(spark):
+    """Many short sequences, and one far longer than the others, come to the fold together and whole."""
+    rows = [(s, n, float((s * 7 + n * 3) % 11)) for s in range(40) for n in range(1, 2 + (3000 if s == 7 else s % 5))]
+    df = spark.createDataFrame(rows, "seq_id bigint, n bigint, lum double")
+    sizes = sequences.in_groups(df, ["seq_id"], "n", lambda f: f.groupby("seq_id", as_index=False).agg(n=("n", "size"), first=("n", "first")).assign(rows=len(f)), "seq_id bigint, n bigint, first bigint, rows bigint", rows=100).collect()
+    assert sorted((r["seq_id"], r["n"], r["first"]) for r in sizes) == [(s, 3001 if s == 7 else 1 + s % 5, 1) for s in range(40)]
+    assert min(r["rows"] for r in sizes if r["seq_id"] == 7) == 3001 and max(r["rows"] for r in sizes if r["seq_id"] != 7) > 5
+    got = {(r["seq_id"], r["n"]): r[2:] for r in sequences.temporal_adaptation(df, chunk=16).collect()}
+    state, s = list(sequences.START), -1
+    for seq_id, n, lum in rows:
+        state = list(sequences.START) if seq_id != s else state
+        state, s = [a * x + b for (a, b), x in zip(sequences.steps(lum, 1 / 25), state, strict=True)], seq_id
+        np.testing.assert_allclose(got[seq_id, n], state, rtol=1e-9)
