@@ -124,3 +124,19 @@ def test_sequences_share_a_group_call(spark):
         state = list(sequences.START) if seq_id != s else state
         state, s = [a * x + b for (a, b), x in zip(sequences.steps(lum, 1 / 25), state, strict=True)], seq_id
         np.testing.assert_allclose(got[seq_id, n], state, rtol=1e-9)
+
+
+@pytest.mark.parametrize("chunk", [4, 7, 4096])
+def test_black_frames_and_missing_points(spark, chunk):
+    """-inf (the logarithm of a black frame) takes the filter to NaN, which is clamped to the top as SQL has it; behind a missing input everything is at the bottom."""
+    rows = [(s, n, 0, None if (s, n) == (9, 3) else -np.inf if s == n else 0.5 + n % 3) for s in (1, 4, 5, 8, 9, 30) for n in range(1, 20)]
+    got = sequences.filter_tone_curves(spark.createDataFrame(rows, "seq_id bigint, n bigint, point int, y double"), 25, -0.5, 1.5, chunk).toPandas()
+    for s, own in got.sort_values("n").groupby("seq_id"):
+        state, want = sequences.UNSEEN, []
+        for y in (r[3] for r in rows if r[0] == s):
+            out, state = sequences.filtered(np.nan if y is None else y, state, 25)
+            want.append(1.5 if np.isnan(out) else min(1.5, max(-0.5, out)))
+        if s == 9:
+            want[2:] = [-0.5] * 17
+        np.testing.assert_allclose(own["y"], want, atol=1e-9)
+    assert sorted(set(got[(got.seq_id == 4) & (got.n > 5)]["y"])) == [1.5]
