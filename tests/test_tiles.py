@@ -5,7 +5,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from framelake.operators import stencils
+from framelake.operators import pyramids, stencils
 from framelake.plans import catalogue
 
 
@@ -43,7 +43,7 @@ def test_grid_of_tiles_and_of_rows(spark, wide, monkeypatch, cells):
     assert {tuple(r[:3]): r["value"] for r in stencils.bilateral_grid(df, "i", 5.0, 0.3, 2).collect()} == pytest.approx(want)
 
 
-@pytest.mark.parametrize("name", ["tm_pattanaik_local"])
+@pytest.mark.parametrize("name", ["tm_pattanaik_local", "contrast_density"])
 def test_tiles_share_a_call(spark, name):
     text = plan(catalogue.QUERIES[name](spark, SF))
     assert "MapInPandas" in text and "FlatMapGroupsInPandas" not in text
@@ -58,3 +58,11 @@ def test_local_adaptation_over_tiles(spark, wide):
         ys, xs = np.mgrid[max(1, y - 4) : min(h, y + 5), max(1, x - 4) : min(w, x + 5)]
         k = np.exp(-((logs[ys, xs] - logs[y, x]) ** 6)) * ((ys - y) ** 2 + (xs - x) ** 2 <= 16)
         assert value == pytest.approx((k * im[ys, xs]).sum() / k.sum(), rel=1e-9)
+
+
+def test_contrast_counts_every_pixel(spark, wide):
+    """Frames of several tiles count each pixel once a level, a frame without contrast gets a one beside the middle."""
+    _, df = wide
+    got = pyramids.contrast_density(df, "v").toPandas()
+    assert got[got.frame_id == 1].groupby("level")["n"].sum().tolist() == [90 * 210] * 4
+    assert sorted(got[(got.frame_id == 2) & (got.level == 0)][["contrast", "n"]].itertuples(index=False, name=None)) == [(6, 1), (7, 5), (8, 1)]
